@@ -1,12 +1,77 @@
-"""Corpus pipeline: quality rules, near-duplicate removal, substring dedup, secret scans, packing."""
+"""Corpus pipeline: quality rules, near-duplicate removal, substring dedup, secret scans, best-fit packing."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from eventpulse.llm.jaccard_join import jaccard_components
+from eventpulse.llm.packing import pack_documents
+from eventpulse.llm.quality import quality_rules
+from eventpulse.llm.secrets import redacted, secret_spans
+from eventpulse.llm.storage import saved
+from eventpulse.llm.substring import substring_dedup
+
+
+def _with_text(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The documents' columns from their struct _row, with the text replaced and n_chars following it."""
+    new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in columns else {})
+    return rows.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_body"), F.col("source").alias("_source"))
+    return quality_rules(packed, ["_row"], host="_source", text="_body").filter("kept").select("_row.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of 0.8-similar texts (sets of five-word shingles): that with the smallest doc_id."""
+    found = jaccard_components(docs, width=5, percent=80)
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("_first")).filter("_first is not null").select("_first")
+    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
+    return kept.unionByName(docs.filter("doc_id is null")).dropDuplicates(["doc_id", "text"])
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words of repeated 35-word passages; documents of which nothing is left go."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", "text")
+    cut = substring_dedup(rows, ["_row"], window=35, as_text=True)
+    return _with_text(cut.filter("n_removed = 0 or n_removed < n_words"), columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced by a mask."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_body"))
+    spans = secret_spans(rows, ["_row"], text="_body").select("_row", "spans")
+    return _with_text(redacted(spans.withColumn("_body", F.col("_row.text")), ["_row"], text="_body"), columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences of 2048."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("secret scans", secret_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Tokenisation and packing have no SQL form; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on documents; between stages the rows are written and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs)
+    return docs

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .packing import pack_documents
 from .quality import quality_rules
+from .secrets import secret_spans
+from .substring import substring_dedup
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +28,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_quality_rules)}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("spans_text").alias("spans"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), ["doc_id"], window=35)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op8_substring_dedup)}
 SQL: dict[str, str] = {}
