@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a grouped prefix join over the shingle sets of documents.
 
 1. Texts with equal shingle sets fall to one node (128-bit fingerprint of the sorted set).
-2. A first prefix, in hash order, leaves the nodes that share some prefix shingle with another node.
+2. A longer prefix, in hash order, is a sample in which linked nodes share a known number of shingles; nodes that
+   share fewer with others have no link. What stays is marked in a bitmap of fixed size, which may mark more.
 3. Among these, shingles are counted exactly in hash buckets; each node learns its shared shingles with their
    counts, and prefixes are taken rarest first. Unshared shingles fill the prefix at no cost, and a node whose
    whole prefix is unshared has no partner.
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import saved, shuffle_partitions
-from .wordblocks import chain, mix, word_blocks
+from .wordblocks import chain, word_blocks
 
-MOST_TOKENS = 1 << 20
+MOST_TOKENS = 1 << 19
+#: 8 MB of bits, broadcast; when more documents than bits are candidates, more sets than needed are dealt, none less.
+CHOSEN_BITS = 1 << 26
 
 
 def block_sets(block, width: int) -> Iterator[np.ndarray]:
@@ -47,102 +50,139 @@ def _fingerprint(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def _prefix_length(n: int, percent: int, shared: int = 1) -> int:
+    """Two linked sets have `shared` common tokens in prefixes of this length, under any common order."""
+    return n - (percent * n + 99) // 100 + shared
 
 
-def _signatures(width: int, percent: int):
+def _sample_share(n: int, percent: int) -> int:
+    """How many common tokens the first, longer prefix is made for."""
+    return max(1, (100 - percent) * n // 100)
+
+
+def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in word_blocks(batch.column(1), lower=True):
-                sizes, nodes, prefixes = [], [], []
+                sizes, nodes = [], []
                 for own in block_sets(block, width):
                     sizes.append(len(own))
                     nodes.append(_fingerprint(own) if len(own) else None)
-                    prefixes.append(own[: _prefix_length(len(own), percent)].tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.n), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "prefix"],
+                    [batch.column(0).slice(block.first, block.n), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array([n and int.from_bytes(n[:8], "little", signed=True) for n in nodes], pa.int64())],
+                    names=["doc_id", "n_shingles", "node", "node8"],
                 )
 
     return run
 
 
-def _dealt(n_buckets: int):
-    """(node, size, tokens) rows to one row per bucket with its tokens and their owners."""
-
-    def deal(nodes: list[bytes], sizes: list[int], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        flat = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
-        bucket = (mix(flat) % np.uint64(n_buckets)).astype(np.int32)
+class _Dealer:
+    """Gathers sets and deals their tokens to buckets, each with its owners' keys, sizes and token counts."""
+
+    def __init__(self, n_buckets: int, token_type: str, key_bytes: int):
+        self.n_buckets, self.token_type, self.key_bytes = n_buckets, token_type, key_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: dict[bytes, int] = {}
+        self.tokens: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, node: bytes, size: int, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if node[: self.key_bytes] not in self.keys:  # copies travel once
+            self.keys[node[: self.key_bytes]] = size
+            self.tokens.append(tokens)
+            self.held += len(tokens)
+            if self.held >= MOST_TOKENS:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        flat = np.concatenate(self.tokens)
+        owner = np.repeat(np.arange(len(self.tokens)), [len(t) for t in self.tokens])
+        bucket = ((flat >> np.uint64(32)) % np.uint64(self.n_buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        flat, owner, bucket = flat[order], owner[order], bucket[order]
+        flat, owner, bucket = flat[order].astype(self.token_type), owner[order], bucket[order]
+        keys = np.frombuffer(b"".join(self.keys), dtype=np.uint8).reshape(-1, self.key_bytes)
+        sizes = np.array(list(self.keys.values()), dtype=np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        keys, counts = np.array(nodes, dtype="S16").view(np.uint8).reshape(-1, 16), np.array(sizes, dtype=np.int64)
         rows = []
         for a, b in zip(cuts, np.append(cuts[1:], len(flat)), strict=True):
-            there, local = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(bucket[a]), flat[a:b].tobytes(), local.astype(np.uint32).tobytes(), keys[there].tobytes(), counts[there].tobytes()))
+            first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+            there = owner[a:b][first]
+            rows.append((int(bucket[a]), flat[a:b].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint16 if b - a < 1 << 16 else np.uint32).tobytes(), keys[there].tobytes(), sizes[there].astype(np.uint32).tobytes()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "tokens", "owners", "nodes", "sizes"]
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "tokens", "counts", "nodes", "sizes"]
         )
+        self.clear()
+
+
+def _dealt(width: int, percent: int, n_buckets: int, chosen=None):
+    """(doc_id, text) rows to buckets: samples (32-bit tokens of the longer prefix), or, with a bitmap of chosen
+    doc_id hashes, whole sets of the chosen documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sizes, tokens, held = [], [], [], 0
+        dealer = _Dealer(n_buckets, "<u4", 8) if chosen is None else _Dealer(n_buckets, "<u8", 16)
         for batch in batches:
-            for node, size, own in _token_rows(batch):
-                nodes.append(node)
-                sizes.append(size)
-                tokens.append(own)
-                held += len(own)
-                if held >= MOST_TOKENS:
-                    yield from deal(nodes, sizes, tokens)
-                    nodes, sizes, tokens, held = [], [], [], 0
-        if held:
-            yield from deal(nodes, sizes, tokens)
+            if chosen is not None:
+                at = np.asarray(batch.column(0), dtype=np.int64) % (8 * len(chosen.value))
+                batch = batch.filter(pa.array((chosen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1, pa.uint8()).cast(pa.bool_()))
+            for block in word_blocks(batch.column(1), lower=True):
+                for own in block_sets(block, width):
+                    n = len(own)
+                    if n:
+                        taken = own if chosen is not None else own[: _prefix_length(n, percent, _sample_share(n, percent))]
+                        yield from dealer.add(_fingerprint(own), n, taken)
+        yield from dealer.flush()
 
     return run
 
 
-def _token_rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, np.ndarray]]:
-    columns = (batch.column(c).to_pylist() for c in range(3))
-    for node, size, tokens in zip(*columns, strict=True):
-        yield node, size, np.frombuffer(tokens, dtype=np.uint64)
-
-
-def _gathered(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """A bucket's tokens, owners, owners' keys and sizes, sorted by token, with how often each token occurs."""
-    tokens, owners, keys, sizes, base = [], [], [], [], 0
-    for t, o, k, s in zip(*(table.column(c).to_pylist() for c in ("tokens", "owners", "nodes", "sizes")), strict=True):
-        tokens.append(np.frombuffer(t, dtype=np.uint64))
-        owners.append(np.frombuffer(o, dtype=np.uint32).astype(np.int64) + base)
-        keys.append(np.frombuffer(k, dtype=np.uint8).reshape(-1, 16))
-        sizes.append(np.frombuffer(s, dtype=np.int64))
-        base += len(keys[-1])
-    tokens, owners = np.concatenate(tokens), np.concatenate(owners)
-    order = np.argsort(tokens, kind="stable")
+def _gathered(table: pa.Table, token_type: str, key_bytes: int) -> tuple[np.ndarray, ...]:
+    """A bucket's distinct (token, node) entries sorted by token, how many nodes have the token, the nodes' keys and sizes."""
+    tokens, counts, keys, sizes = [], [], [], []
+    for t, c, k, s in zip(*(table.column(x).to_pylist() for x in ("tokens", "counts", "nodes", "sizes")), strict=True):
+        tokens.append(np.frombuffer(t, dtype=token_type))
+        keys.append(np.frombuffer(k, dtype=f"V{key_bytes}"))
+        sizes.append(np.frombuffer(s, dtype=np.uint32))
+        counts.append(np.frombuffer(c, dtype=np.uint16 if len(c) == 2 * len(keys[-1]) else np.uint32).astype(np.int64))
+    tokens, counts, keys, sizes = (np.concatenate(x) for x in (tokens, counts, keys, sizes))
+    names, code = np.unique(_words(keys, key_bytes), axis=0, return_inverse=True)
+    owners = np.repeat(code.reshape(-1), counts)
+    size = np.zeros(len(names), dtype=np.int64)
+    size[code.reshape(-1)] = sizes
+    order = np.lexsort((owners, tokens))
     tokens, owners = tokens[order], owners[order]
+    fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])])
+    tokens, owners = tokens[fresh], owners[fresh]
     cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     seen = np.diff(np.append(cuts, len(tokens)))
-    return tokens, owners, np.repeat(seen, seen), np.concatenate(keys), np.concatenate(sizes)
+    return tokens, owners, np.repeat(seen, seen), names, size
+
+
+def _words(keys: np.ndarray, key_bytes: int) -> np.ndarray:
+    """Keys as rows of 64-bit words."""
+    return np.frombuffer(keys.tobytes(), dtype=np.uint64).reshape(-1, key_bytes // 8)
 
 
 def _sharing(table: pa.Table) -> pa.Table:
-    """Nodes with a token that some other node has."""
-    _, owners, seen, keys, _ = _gathered(table)
-    found = np.unique(keys[np.unique(owners[seen > 1])], axis=0)
-    return pa.table({"node": pa.array([k.tobytes() for k in found], pa.binary())})
+    """(node8, size, shared): how many of a node's sample tokens in this bucket some other node has."""
+    _, owners, seen, names, size = _gathered(table, "<u4", 8)
+    shared = np.bincount(owners[seen > 1], minlength=len(names))
+    found = np.flatnonzero(shared)
+    return pa.table({"node8": pa.array(names[found, 0].view(np.int64)), "size": pa.array(size[found]), "shared": pa.array(shared[found])})
 
 
 def _shared_tokens(table: pa.Table) -> pa.Table:
     """For each owner its shared tokens in this bucket, and how many have each."""
-    tokens, owners, seen, keys, sizes = _gathered(table)
+    tokens, owners, seen, names, sizes = _gathered(table, "<u8", 16)
     shared = seen > 1
     tokens, owners, seen = tokens[shared], owners[shared], seen[shared]
     order = np.argsort(owners, kind="stable")
     tokens, owners, seen = tokens[order], owners[order], seen[order]
     cuts = np.flatnonzero(np.diff(owners, prepend=-1))
-    rows = [(keys[owners[a]].tobytes(), int(sizes[owners[a]]), tokens[a:b].tobytes(), seen[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=True)]
+    rows = [(names[owners[a]].tobytes(), int(sizes[owners[a]]), tokens[a:b].tobytes(), seen[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=True)]
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.table({n: pa.array(c, t) for (n, t), c in zip({"node": pa.binary(), "size": pa.int64(), "tokens": pa.binary(), "seen": pa.binary()}.items(), columns, strict=True)})
 
@@ -170,30 +210,29 @@ def _rare_prefixes(percent: int):
     return run
 
 
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size with the bits set that the column h names."""
+    position = F.pmod("h", F.lit(bits))
+    parts = hashes.select(F.shiftright(position, 15).alias("part"), (position % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in parts.collect():  # bits / 32768 rows of 4 KB at most, whatever the input
+        out[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["map"], dtype=np.uint8)
+    return out
+
+
 def _candidate_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Steps 1 to 3: (node, size, alone, grp, prefix, tokens)."""
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
-    dealt = "bucket int, tokens binary, owners binary, nodes binary, sizes binary"
-    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = saved(nodes)
-    sharing = nodes.select("node", "size", "prefix").mapInArrow(_dealt(buckets), dealt).groupBy("bucket").applyInArrow(_sharing, "node binary").distinct()
-    wanted = nodes.join(sharing, "node").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("_node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            expected = batch.column(0).to_pylist()
-            for block in word_blocks(batch.column(1), lower=True):
-                rows = [(node, len(own), own.tobytes()) for node, own in zip(expected[block.first :], block_sets(block, width), strict=False) if len(own) and _fingerprint(own) == node]
-                columns = zip(*rows, strict=True) if rows else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.binary(), pa.int64(), pa.binary()], strict=True)], names=["node", "size", "tokens"])
-
-    shared = (
-        texts.mapInArrow(sets, "node binary, size long, tokens binary")
-        .mapInArrow(_dealt(buckets), dealt)
-        .groupBy("bucket")
-        .applyInArrow(_shared_tokens, "node binary, size long, tokens binary, seen binary")
-    )
+    """Steps 2 and 3: (node, size, alone, grp, prefix, tokens)."""
+    spark = docs.sparkSession
+    buckets = shuffle_partitions(spark)
+    dealt = "bucket int, tokens binary, counts binary, nodes binary, sizes binary"
+    source = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CHOSEN_BITS)).alias("h"), "text")
+    sharing = source.mapInArrow(_dealt(width, percent, buckets), dealt).groupBy("bucket").applyInArrow(_sharing, "node8 long, size long, shared long")
+    least = F.ceil(F.col("size") * percent / 100)
+    enough = F.greatest(F.lit(1), F.floor((100 - percent) * least / 100))
+    near = sharing.groupBy("node8").agg(F.max("size").alias("size"), F.sum("shared").alias("shared")).filter(F.col("shared") >= enough).select("node8")
+    chosen = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("node8").alias("node8"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(chosen.join(near, "node8", "left_semi").select(F.xxhash64("doc_id").alias("h")), CHOSEN_BITS))
+    shared = source.mapInArrow(_dealt(width, percent, buckets, bitmap), dealt).groupBy("bucket").applyInArrow(_shared_tokens, "node binary, size long, tokens binary, seen binary")
     whole = shared.groupBy("node", "size").agg(F.collect_list(F.struct("tokens", "seen")).alias("parts")).select("node", "size", "parts.tokens", "parts.seen")
     return saved(whole.mapInArrow(_rare_prefixes(percent), "node binary, size long, alone long, grp binary, prefix array<long>, tokens array<long>"))
 
@@ -267,7 +306,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     own; null doc_ids take part and are ignored in the minimum. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    signed = saved(docs.mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, node binary, prefix binary"))
+    signed = saved(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, node binary, node8 long"))
     _, found = _links(_candidate_nodes(docs, signed, width, percent), percent)
     least = signed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = least.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
