@@ -55,8 +55,9 @@ def cache_for(key: tuple, make: Callable[[], Callable[[list[str]], list]]) -> Pa
     return _CACHES[key]
 
 
-def byte_bpe_cache(path: str) -> PartCache:
-    """Ids (little-endian unsigned 32-bit) by the tokenizers library, without its own special tokens."""
+def byte_bpe_cache(path: str, special_as_text: bool = False) -> PartCache:
+    """Ids (little-endian unsigned 32-bit) by the tokenizers library; it adds no special tokens, and with special_as_text
+    takes their strings in a text for ordinary text."""
 
     def make() -> Callable[[list[str]], list[bytes]]:
         import os
@@ -68,9 +69,10 @@ def byte_bpe_cache(path: str) -> PartCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        tokenizer.encode_special_tokens = special_as_text
         return lambda parts: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
 
-    return cache_for(("byte_bpe", path), make)
+    return cache_for(("byte_bpe", path, special_as_text), make)
 
 
 def encoded_ids(cache: PartCache, texts: list[str]) -> list[bytes]:

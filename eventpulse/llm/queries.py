@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_and_decode
+from .html_text import extract_main_text
 from .jaccard_join import jaccard_components
+from .licenses import licence_scan
+from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .quality import quality_rules
 from .secrets import secret_spans
 from .substring import substring_dedup
+from .token_counts import document_token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+END_OF_TEXT = 50256
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_rate")
 
 
+def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=20, query_modulus=20)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=0)
 
@@ -37,9 +48,40 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("spans_text").alias("spans"))
 
 
+def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(_table(spark, sf_dir, "documents"), ["doc_id"], WORD_BPE)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), ["doc_id"], window=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op8_substring_dedup)}
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, END_OF_TEXT)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_approximate_nearest_neighbours,
+        op3_best_fit_packing,
+        op4_quality_rules,
+        op5_secret_scans,
+        op6_bpe_encoding,
+        op7_html_extraction,
+        op8_substring_dedup,
+        op9_license_scans,
+        op10_token_counts,
+    )
+}
+#: Left out: what SQL can't express or is too slow for on whole tables; those are tested against brute force.
 SQL: dict[str, str] = {}
