@@ -8,9 +8,9 @@
    whole prefix is unshared has no partner.
 4. Nodes with one size and one prefix form a group. Groups that share a prefix shingle are candidate pairs
    under the size and position filters; they are expanded to members, which are verified on their sets.
-5. Only components are wanted, so no pair inside one component needs a test: two star passes (each list's
-   groups against one group) connect the large clusters with as many tests as list entries, and the last,
-   exhaustive pass tests what still lies in different components.
+5. Only components are wanted, so no pair inside one component needs a test: a star pass (each list's members
+   against two of them) connects the large clusters with at most twice as many tests as list entries, and the
+   last, exhaustive pass tests what still lies in different components.
 """
 
 from __future__ import annotations
@@ -223,7 +223,7 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def _candidate_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Steps 2 and 3: (node, size, alone, grp, prefix, tokens)."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = max(64, shuffle_partitions(spark))
     dealt = "bucket int, tokens binary, counts binary, nodes binary, sizes binary"
     source = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CHOSEN_BITS)).alias("h"), "text")
     sharing = source.mapInArrow(_dealt(width, percent, buckets), dealt).groupBy("bucket").applyInArrow(_sharing, "node8 long, size long, shared long")
@@ -252,48 +252,52 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return tested.filter(100 * both >= percent * (F.col("size_a") + F.col("size_b") - both)).select("a", "b")
 
 
+def _star_pairs(lists: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """In each list and each group, every unit's head against the heads of two units that hashes choose."""
+    entries = lists.select("token", "grp", "size", "pos").join(units, "grp")
+    hub = F.struct("head", "component", "size", "pos")
+    order = F.xxhash64("component")
+    centers = entries.groupBy("token").agg(F.min_by(hub, order).alias("low"), F.max_by(hub, order).alias("high"))
+    centers = centers.select("token", F.explode(F.array("low", "high")).alias("hub")).select("token", "hub.*")
+    across = entries.alias("y").join(centers.alias("x"), "token").filter((F.col("x.component") != F.col("y.component")) & _fits(percent))
+    return across.select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
+
+
+def _rest_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of different components whose groups share a prefix token and pass the filters. In a list
+    with a main component only the others look for partners. A pair of units is met at its first common token only."""
+    units = parts.select("grp", "component").distinct()
+    entries = lists.join(units, "grp")
+    counts = entries.groupBy("token", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "main")
+    entries = entries.join(main, "token")
+    minor = entries.filter("component <> main").alias("x")
+    other = (F.col("y.component") == F.col("y.main")) | (F.col("x.component") < F.col("y.component"))
+    first = ~F.arrays_overlap("x.before", "y.before")
+    across = minor.join(entries.alias("y"), F.col("x.token") == F.col("y.token")).filter((F.col("x.component") != F.col("y.component")) & other & _fits(percent) & first)
+    met = across.select(F.col("x.grp").alias("g1"), F.col("x.component").alias("c1"), F.col("y.grp").alias("g2"), F.col("y.component").alias("c2")).distinct()
+    members = parts.select("grp", "component", "node")
+    one = members.select(F.col("grp").alias("g1"), F.col("component").alias("c1"), F.col("node").alias("a"))
+    two = members.select(F.col("grp").alias("g2"), F.col("component").alias("c2"), F.col("node").alias("b"))
+    return met.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select("a", "b")
+
+
 def _links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Steps 4 and 5: (links that connect, (node, component) of the linked nodes)."""
-    spark = nodes.sparkSession
-    lists = nodes.select("grp", "size", F.posexplode("prefix").alias("i", "token"), "alone").withColumn("pos", F.col("alone") + F.col("i")).select("grp", "size", "pos", "token").distinct()
-    crowded = lists.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    lists = saved(lists.join(crowded, "token"))
-    links = spark.createDataFrame([], "a binary, b binary")
+    groups = nodes.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("size", "alone", "prefix")])
+    lists = groups.select("grp", "size", "alone", "prefix", F.posexplode("prefix").alias("i", "token"))
+    lists = saved(lists.select("grp", "size", "token", (F.col("alone") + F.col("i")).alias("pos"), F.slice("prefix", F.lit(1), F.col("i")).alias("before")))
+    tested = lambda pairs: _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, percent)
     parts = nodes.select("node", "grp", F.col("node").alias("component"))
-    for step in ("first", "second", "rest"):
-        units = parts.groupBy("grp", "component").agg(F.min("node").alias("head"))
-        members = parts.select("grp", "component", "node")
-        # members of one group: each unit's head against the group's first unit, in the last pass all against all
-        inside = parts.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("grp")
-        if step != "rest":
-            best = F.min_by if step == "first" else F.max_by
-            hub = best(F.struct("head", "component"), F.xxhash64("component"))
-            own = units.join(inside, "grp")
-            hubs = own.groupBy("grp").agg(hub.alias("hub")).select("grp", "hub.head", F.col("hub.component").alias("own"))
-            starred = own.select("grp", F.col("head").alias("b"), "component").join(hubs, "grp").filter("component <> own").select(F.col("head").alias("a"), "b")
-            entries = lists.join(units, "grp")
-            center = entries.groupBy("token").agg(best(F.struct("head", "component", "size", "pos", "grp"), F.xxhash64("grp", "component")).alias("hub")).select("token", "hub.*")
-            across = entries.alias("y").join(center.alias("x"), "token").filter((F.col("x.component") != F.col("y.component")) & _fits(percent))
-            pairs = across.select(F.col("x.head").alias("a"), F.col("y.head").alias("b")).unionByName(starred)
-        else:
-            entries = lists.join(units.select("grp", "component"), "grp")
-            counts = entries.groupBy("token", "component").agg(F.count("*").alias("n"))
-            main = counts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "main")
-            entries = entries.join(main, "token")
-            minor = entries.filter("component <> main").alias("x")
-            other = (F.col("y.component") == F.col("y.main")) | (F.col("x.component") < F.col("y.component"))
-            across = minor.join(entries.alias("y"), F.col("x.token") == F.col("y.token")).filter((F.col("x.component") != F.col("y.component")) & other & _fits(percent))
-            units_met = across.select(F.col("x.grp").alias("g1"), F.col("x.component").alias("c1"), F.col("y.grp").alias("g2"), F.col("y.component").alias("c2")).distinct()
-            one = members.select(F.col("grp").alias("g1"), F.col("component").alias("c1"), F.col("node").alias("a"))
-            two = members.select(F.col("grp").alias("g2"), F.col("component").alias("c2"), F.col("node").alias("b"))
-            pairs = units_met.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = saved(links.unionByName(_verified(pairs, nodes, percent)))
-        found = saved(connected_components(links))
-        if step != "rest":
-            parts = nodes.select("node", "grp").join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("component"))
-            parts = saved(parts)
-    return links, found
+    links = saved(tested(_star_pairs(lists, parts.withColumnRenamed("node", "head"), percent)))
+    found = connected_components(links)
+    parts = saved(parts.drop("component").join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("component")))
+    more = saved(tested(_rest_pairs(lists, parts, percent)))
+    links = links.unionByName(more)
+    if more.isEmpty():
+        return links, found
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+    return links, connected_components(stars.unionByName(more))
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
