@@ -5,6 +5,9 @@ leftmost smallest hash of `core` consecutive words) travel as one packed string
 minimiser's bucket; equal windows have equal minimisers, so they meet there. In the bucket windows are sorted
 by a rolling hash and neighbours compared word by word. Equal strings of one block travel once, with the list
 of their places. Windows that start twice or more come back as word ranges of their document.
+
+Strings are some three times as long as the text, and most windows occur once. So minimisers are counted first, by
+short hashes in buckets, and only strings whose minimiser occurs at another place too are packed.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from .storage import shuffle_partitions
 from .wordblocks import chain, mix, powers, word_blocks
 
+COUNT_SCHEMA = "bucket int, hashes binary, docs binary, counts binary, ordinals binary"
+FLAG_SCHEMA = "row_hash long, ordinals binary"
 BUCKET_SCHEMA = "bucket int, counts binary, places binary, docs binary, starts binary, words binary, unknown binary"
-RANGE_SCHEMA = "doc_id long, text_hash long, ranges binary"
+RANGE_SCHEMA = "doc_id long, row_hash long, ranges binary"
 
 
 def _leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,15 +68,66 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _dealt(window: int, core: int, n_buckets: int):
+def _minimisers(window: int, core: int, n_buckets: int):
+    """(row_hash, text) rows to buckets of short minimiser hashes, with their documents and numbers there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.asarray(batch.column(0), dtype=np.int64)
+            for block in word_blocks(batch.column(1)):
+                key, first, _, _ = _super_kmers(block, window, core)
+                if not len(first):
+                    continue
+                doc = np.searchsorted(block.word_bounds, first, side="right") - 1
+                number = np.arange(len(first)) - np.searchsorted(doc, doc)
+                bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                key, doc, number, bucket = key[order], doc[order], number[order], bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = []
+                for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+                    heads = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+                    there = names[block.first + doc[a:b][heads]]
+                    rows.append((int(bucket[a]), key[a:b].astype("<u4").tobytes(), there.tobytes(), np.diff(np.append(heads, b - a)).astype(np.int32).tobytes(), number[a:b].astype(np.int32).tobytes()))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "hashes", "docs", "counts", "ordinals"])
+
+    return run
+
+
+def _flagged(table: pa.Table) -> pa.Table:
+    """For each document the numbers of its strings whose minimiser occurs twice or more."""
+    columns = [table.column(c).to_pylist() for c in ("hashes", "docs", "counts", "ordinals")]
+    hashes, docs, counts, ordinals = (np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(columns, ("<u4", np.int64, np.int32, np.int32), strict=True))
+    docs = np.repeat(docs, counts)
+    code, seen = pd.factorize(hashes)
+    hit = np.flatnonzero(np.bincount(code, minlength=len(seen))[code] > 1)
+    hit = hit[np.argsort(docs[hit], kind="stable")]
+    docs, ordinals = docs[hit], ordinals[hit]
+    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    parts = [ordinals[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(docs)), strict=True)] if len(docs) else []
+    return pa.table({"row_hash": pa.array(docs[cuts], pa.int64()), "ordinals": pa.array(parts, pa.binary())})
+
+
+def _dealt(window: int, core: int, n_buckets: int, at: dict[str, int]):
+    """Rows with the columns of at to buckets of packed strings."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            ids = batch.column(0)
+            ids = batch.column(at["doc_id"])
             missing = np.asarray(ids.is_null())
-            ids, hashes = np.asarray(ids.fill_null(0), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64)
-            for block in word_blocks(batch.column(2)):
+            ids, hashes = np.asarray(ids.fill_null(0), dtype=np.int64), np.asarray(batch.column(at["row_hash"]), dtype=np.int64)
+            wanted = batch.column(at["wanted"])
+            for block in word_blocks(batch.column(at["text"])):
                 key, first, count, words = _super_kmers(block, window, core)
+                chosen = np.zeros(len(first), dtype=bool)
+                heads = np.searchsorted(first, block.word_bounds)
+                for i, parts in enumerate(wanted.slice(block.first, block.n).to_pylist()):
+                    if parts:
+                        own = heads[i] + np.frombuffer(b"".join(parts), np.int32)
+                        chosen[own[own < heads[i + 1]]] = True
+                key, first, count = key[chosen], first[chosen], count[chosen]
                 if not len(first):
                     continue
                 length = count + window - 1
@@ -153,7 +209,7 @@ def _counted(window: int):
         hit = _repeated(words, at, places[string].astype(np.int64), window)
         at, string = at[hit], string[hit]
         if not len(at):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "ranges": pa.array([], pa.binary())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "row_hash": pa.array([], pa.int64()), "ranges": pa.array([], pa.binary())})
         opens = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (string[1:] != string[:-1])])
         first = np.flatnonzero(opens)
         last = np.append(first[1:], len(at)) - 1
@@ -170,26 +226,19 @@ def _counted(window: int):
         both = np.stack([begin, end], axis=1).astype(np.int32)
         ranges = [both[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(both)), strict=True)]
         return pa.table({
-            "doc_id": pa.array(docs[0][take[cuts]], pa.int64(), mask=unknown[take[cuts]]), "text_hash": pa.array(docs[1][take[cuts]], pa.int64()), "ranges": pa.array(ranges, pa.binary()),
+            "doc_id": pa.array(docs[0][take[cuts]], pa.int64(), mask=unknown[take[cuts]]), "row_hash": pa.array(docs[1][take[cuts]], pa.int64()), "ranges": pa.array(ranges, pa.binary()),
         })
 
     return run
 
 
-def text_hash(text: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
-def repeated_ranges(docs: DataFrame, window: int = 35, core: int = 5) -> DataFrame:
-    """(doc_id, text_hash, parts): the word ranges, as packed pairs of int32, that repeated windows cover."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
-    source = docs.select("doc_id", text_hash().alias("text_hash"), "text")
-    found = source.mapInArrow(_dealt(window, core, buckets), BUCKET_SCHEMA).groupBy("bucket").applyInArrow(_counted(window), RANGE_SCHEMA)
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list("ranges").alias("parts"))
+def _same_row(left_id: str, right_id: str) -> Column:
+    """Equal or both null; not as a join key, so that all joins here share one exchange of the texts."""
+    return (F.col(left_id) == F.col(right_id)) | (F.col(left_id).isNull() & F.col(right_id).isNull())
 
 
-def _cut(keep: list[str], as_text: bool):
-    out = "text" if as_text else "kept_sha256"
+def _cut(keep: list[str], text_at: int, ranges_at: int, as_text: bool):
+    out = "kept_text" if as_text else "kept_sha256"
 
     def shortened(text: str | None, parts: list[bytes] | None) -> tuple[int, int, str | None]:
         if as_text and not parts:
@@ -208,11 +257,11 @@ def _cut(keep: list[str], as_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = batch.column(len(keep)), batch.column(len(keep) + 1)
+            texts, parts = batch.column(text_at), batch.column(ranges_at)
             rows = [shortened(t.as_py(), p.as_py()) for t, p in zip(texts, parts, strict=True)]
             n, removed, last = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=[*keep, "n_words", "n_removed", out]
+                [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=[*keep, "n_words", "n_removed", out]
             )
 
     return run, f"n_words long, n_removed long, {out} string"
@@ -220,15 +269,22 @@ def _cut(keep: list[str], as_text: bool):
 
 def substring_dedup(docs: DataFrame, keep: list[str], window: int = 35, core: int = 5, as_text: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): keep's columns, n_words, n_removed, and kept_sha256 of the kept words joined by
-    one space, or with as_text the text: joined kept words where something goes, else unchanged.
+    one space, or with as_text kept_text: the joined kept words where something goes, else the text unchanged.
 
     A word goes when a window of `window` words that covers it also starts anywhere else, the same text included.
-    Null texts count as empty (as_text keeps them null); repeated rows are documents of their own, so their windows
+    Null texts count as empty (kept_text stays null); repeated rows are documents of their own, so their windows
     repeat. Null doc_ids take part. An empty table gives an empty result.
     """
-    found = repeated_ranges(docs, window, core).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "parts")
-    source = docs.select(*keep, F.col("doc_id").alias("_doc"), text_hash().alias("_own"), F.col("text").alias("_text"))
-    joined = source.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left").select(*keep, "_text", "parts")
-    run, added = _cut(keep, as_text)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema)
+    buckets = max(64, shuffle_partitions(docs.sparkSession))
+    source = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), F.xxhash64("doc_id", "text").alias("row_hash"))
+    columns = source.columns
+    counted = source.select("row_hash", "text").mapInArrow(_minimisers(window, core, buckets), COUNT_SCHEMA).groupBy("bucket").applyInArrow(_flagged, FLAG_SCHEMA)
+    flags = counted.groupBy("row_hash").agg(F.collect_list("ordinals").alias("wanted")).withColumnRenamed("row_hash", "_flagged")
+    flagged = source.join(flags, F.col("row_hash") == F.col("_flagged")).select(*columns, "wanted")
+    at = {c: i for i, c in enumerate(flagged.columns)}
+    found = flagged.mapInArrow(_dealt(window, core, 4 * buckets, at), BUCKET_SCHEMA).groupBy("bucket").applyInArrow(_counted(window), RANGE_SCHEMA)
+    ranges = found.groupBy("doc_id", "row_hash").agg(F.collect_list("ranges").alias("parts")).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "parts")
+    joined = source.join(ranges, (F.col("row_hash") == F.col("_hash")) & _same_row("doc_id", "_id"), "left").select(*columns, "parts")
+    run, added = _cut(keep, columns.index("text"), len(columns), as_text)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     return joined.mapInArrow(run, f"{kept}, {added}")
