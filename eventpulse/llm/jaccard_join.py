@@ -238,10 +238,11 @@ def _candidate_nodes(docs: DataFrame, signed: DataFrame, width: int, percent: in
 
 
 def _fits(percent: int) -> Column:
-    """Size and position filters on list entries x and y."""
+    """Size, position and unshared-shingle filters on list entries x and y: shingles that one set alone has are never common."""
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (F.col("x.size") + F.col("y.size")))
+    total = F.col("x.size") + F.col("y.size")
+    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"), F.col("x.size") - F.col("x.alone"), F.col("y.size") - F.col("y.alone"))
+    return (100 * small >= percent * large) & ((100 + percent) * left >= percent * total)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -253,11 +254,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _star_pairs(lists: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """In each list and each group, every unit's head against the heads of two units that hashes choose."""
-    entries = lists.select("token", "grp", "size", "pos").join(units, "grp")
-    hub = F.struct("head", "component", "size", "pos")
-    order = F.xxhash64("component")
-    centers = entries.groupBy("token").agg(F.min_by(hub, order).alias("low"), F.max_by(hub, order).alias("high"))
+    """In each list, every unit's head against two: that with fewest unshared shingles, the likely centre of a cluster of
+    altered copies, and one that a hash chooses."""
+    entries = lists.join(units, "grp")
+    hub = F.struct("head", "component", "size", "alone", "pos")
+    middle, other = F.struct("alone", F.xxhash64("component")), F.xxhash64("component")
+    centers = entries.groupBy("token").agg(F.min_by(hub, middle).alias("low"), F.max_by(hub, other).alias("high"))
     centers = centers.select("token", F.explode(F.array("low", "high")).alias("hub")).select("token", "hub.*")
     across = entries.alias("y").join(centers.alias("x"), "token").filter((F.col("x.component") != F.col("y.component")) & _fits(percent))
     return across.select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
@@ -265,7 +267,7 @@ def _star_pairs(lists: DataFrame, units: DataFrame, percent: int) -> DataFrame:
 
 def _rest_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of different components whose groups share a prefix token and pass the filters. In a list
-    with a main component only the others look for partners. A pair of units is met at its first common token only."""
+    with a main component only the others look for partners."""
     units = parts.select("grp", "component").distinct()
     entries = lists.join(units, "grp")
     counts = entries.groupBy("token", "component").agg(F.count("*").alias("n"))
@@ -273,8 +275,7 @@ def _rest_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     entries = entries.join(main, "token")
     minor = entries.filter("component <> main").alias("x")
     other = (F.col("y.component") == F.col("y.main")) | (F.col("x.component") < F.col("y.component"))
-    first = ~F.arrays_overlap("x.before", "y.before")
-    across = minor.join(entries.alias("y"), F.col("x.token") == F.col("y.token")).filter((F.col("x.component") != F.col("y.component")) & other & _fits(percent) & first)
+    across = minor.join(entries.alias("y"), F.col("x.token") == F.col("y.token")).filter((F.col("x.component") != F.col("y.component")) & other & _fits(percent))
     met = across.select(F.col("x.grp").alias("g1"), F.col("x.component").alias("c1"), F.col("y.grp").alias("g2"), F.col("y.component").alias("c2")).distinct()
     members = parts.select("grp", "component", "node")
     one = members.select(F.col("grp").alias("g1"), F.col("component").alias("c1"), F.col("node").alias("a"))
@@ -285,8 +286,8 @@ def _rest_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 def _links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Steps 4 and 5: (links that connect, (node, component) of the linked nodes)."""
     groups = nodes.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("size", "alone", "prefix")])
-    lists = groups.select("grp", "size", "alone", "prefix", F.posexplode("prefix").alias("i", "token"))
-    lists = saved(lists.select("grp", "size", "token", (F.col("alone") + F.col("i")).alias("pos"), F.slice("prefix", F.lit(1), F.col("i")).alias("before")))
+    lists = groups.select("grp", "size", "alone", F.posexplode("prefix").alias("i", "token"))
+    lists = saved(lists.select("grp", "size", "alone", "token", (F.col("alone") + F.col("i")).alias("pos")))
     tested = lambda pairs: _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, percent)
     parts = nodes.select("node", "grp", F.col("node").alias("component"))
     links = saved(tested(_star_pairs(lists, parts.withColumnRenamed("node", "head"), percent)))
