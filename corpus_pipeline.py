@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventpulse.llm.jaccard_join import jaccard_components
 from eventpulse.llm.packing import pack_documents
-from eventpulse.llm.quality import quality_rules
+from eventpulse.llm.quality import kept_by_quality
 from eventpulse.llm.secrets import redacted, secret_spans
 from eventpulse.llm.storage import saved
 from eventpulse.llm.substring import substring_dedup
@@ -22,8 +22,7 @@ def _with_text(rows: DataFrame, columns: list[str], text: str = "text") -> DataF
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_body"), F.col("source").alias("_source"))
-    return quality_rules(packed, ["_row"], host="_source", text="_body").filter("kept").select("_row.*")
+    return kept_by_quality(docs, host="source", text="text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Texts with secrets replaced by a mask."""
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_body"))
-    spans = secret_spans(rows, ["_row"], text="_body").select("_row", "spans")
+    spans = secret_spans(rows, ["_row"], text="_body", scan_twice=True).select("_row", "spans")
     return _with_text(redacted(spans.withColumn("_body", F.col("_row.text")), ["_row"], text="_body"), columns)
 
 

@@ -117,3 +117,14 @@ def quality_rules(docs: DataFrame, keep: list[str], host: str = "source", text:
     joined = measured.join(verdicts, measured[host] == verdicts["_host"], "left")
     kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
     return joined.select(*keep, *MEASURES, "base_failed", "failure_rate", kept.alias("kept"))
+
+
+def kept_by_quality(docs: DataFrame, host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float = 0.5) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with their columns. Texts are measured twice, so that only hosts and
+    failures, not texts, are written in between."""
+    columns = docs.columns
+    failed = base_failure(min_words, max_repeat_percent)
+    light = saved(measure_texts(docs.select(F.col(host).alias("_host"), F.col(text).alias("_body")), ["_host"], "_body").select("_host", failed.alias("_failed")))
+    verdicts = host_verdicts(light, "_host", F.col("_failed"), host_limit).filter(~F.col("host_kept")).select(F.col("_host").alias("_rejected"))
+    measured = measure_texts(docs.select(F.struct(*columns).alias("_row"), F.col(text).alias("_body")), ["_row"], "_body").filter(~failed)
+    return measured.join(verdicts, F.col(f"_row.{host}") == F.col("_rejected"), "left_anti").select("_row.*")

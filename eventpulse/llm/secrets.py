@@ -171,16 +171,19 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", rate: float = 0.01) -> DataFrame:
+def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", rate: float = 0.01, scan_twice: bool = False) -> DataFrame:
     """Per row of docs: keep's columns, base and spans (arrays of start, kind, end by start and kind, in code points,
     end exclusive), n_assign, n_access, n_hex, base_sha256 and spans_text.
 
     spans adds to base the runs that look random and overlap no base span. `rate` is the false-discovery rate at which
-    a run is declared not random. Null and empty texts have no spans; repeated rows are tested as often as they occur;
+    a run is declared not random. With scan_twice, for keep columns that are large, only p-values are written between the
+    two passes, and texts are scanned again. Null and empty texts have no spans; repeated rows are tested as often as they occur;
     an empty table gives an empty result.
     """
-    scanned = saved(scan_texts(docs, keep, text))
+    scanned = saved(scan_texts(docs, [] if scan_twice else keep, text))
     limits = rejection_limits(scanned, rate)
+    if scan_twice:
+        scanned = scan_texts(docs, keep, text)
 
     def stays(t: Column) -> Column:
         apart = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
