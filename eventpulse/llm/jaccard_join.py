@@ -182,7 +182,7 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
     order = np.argsort(owners, kind="stable")
     tokens, owners, seen = tokens[order], owners[order], seen[order]
     cuts = np.flatnonzero(np.diff(owners, prepend=-1))
-    rows = [(names[owners[a]].tobytes(), int(sizes[owners[a]]), tokens[a:b].tobytes(), seen[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=True)]
+    rows = [] if not len(cuts) else [(names[owners[a]].tobytes(), int(sizes[owners[a]]), tokens[a:b].tobytes(), seen[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(tokens)), strict=True)]
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.table({n: pa.array(c, t) for (n, t), c in zip({"node": pa.binary(), "size": pa.int64(), "tokens": pa.binary(), "seen": pa.binary()}.items(), columns, strict=True)})
 
