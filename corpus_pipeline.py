@@ -35,9 +35,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of repeated 35-word passages; documents of which nothing is left go."""
-    cut = substring_dedup(docs, docs.columns, window=35, as_text=True).filter("n_removed = 0 or n_removed < n_words")
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    cut = substring_dedup(docs.select(others, "doc_id", "text"), ["_row"], window=35, as_text=True)
+    return _with_text(cut.filter("n_removed = 0 or n_removed < n_words"), docs.columns, "kept_text")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
