@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shuffle_partitions
@@ -232,12 +232,7 @@ def _counted(window: int):
     return run
 
 
-def _same_row(left_id: str, right_id: str) -> Column:
-    """Equal or both null; not as a join key, so that all joins here share one exchange of the texts."""
-    return (F.col(left_id) == F.col(right_id)) | (F.col(left_id).isNull() & F.col(right_id).isNull())
-
-
-def _cut(keep: list[str], text_at: int, ranges_at: int, as_text: bool):
+def _cut(keep: list[str], at: dict[str, int], as_text: bool):
     out = "kept_text" if as_text else "kept_sha256"
 
     def shortened(text: str | None, parts: list[bytes] | None) -> tuple[int, int, str | None]:
@@ -257,8 +252,10 @@ def _cut(keep: list[str], text_at: int, ranges_at: int, as_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = batch.column(text_at), batch.column(ranges_at)
-            rows = [shortened(t.as_py(), p.as_py()) for t, p in zip(texts, parts, strict=True)]
+            rows = []
+            for doc, text, parts in zip(*(batch.column(at[c]) for c in ("doc_id", "text", "parts")), strict=True):
+                doc = doc.as_py()
+                rows.append(shortened(text.as_py(), [p["ranges"] for p in parts.as_py() or [] if p["doc_id"] == doc]))
             n, removed, last = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=[*keep, "n_words", "n_removed", out]
@@ -283,8 +280,9 @@ def substring_dedup(docs: DataFrame, keep: list[str], window: int = 35, core: in
     flagged = source.join(flags, F.col("row_hash") == F.col("_flagged")).select(*columns, "wanted")
     at = {c: i for i, c in enumerate(flagged.columns)}
     found = flagged.mapInArrow(_dealt(window, core, 4 * buckets, at), BUCKET_SCHEMA).groupBy("bucket").applyInArrow(_counted(window), RANGE_SCHEMA)
-    ranges = found.groupBy("doc_id", "row_hash").agg(F.collect_list("ranges").alias("parts")).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "parts")
-    joined = source.join(ranges, (F.col("row_hash") == F.col("_hash")) & _same_row("doc_id", "_id"), "left").select(*columns, "parts")
-    run, added = _cut(keep, columns.index("text"), len(columns), as_text)
+    # both joins are on row_hash alone, so that they share one exchange of the texts; doc_ids are compared afterwards
+    ranges = found.groupBy("row_hash").agg(F.collect_list(F.struct("doc_id", "ranges")).alias("parts")).withColumnRenamed("row_hash", "_hash")
+    joined = source.join(ranges, F.col("row_hash") == F.col("_hash"), "left").select(*columns, "parts")
+    run, added = _cut(keep, {c: i for i, c in enumerate(joined.columns)}, as_text)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     return joined.mapInArrow(run, f"{kept}, {added}")
