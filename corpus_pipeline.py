@@ -14,8 +14,8 @@ from eventpulse.llm.storage import saved
 from eventpulse.llm.substring import substring_dedup
 
 
-def _with_text(rows: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """The documents' columns from their struct _row, with the text replaced and n_chars following it."""
+def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The documents' columns from their struct _row and the new text; n_chars follows it."""
     new = {"text": F.col(text)} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in columns else {})
     return rows.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in columns])
 
@@ -42,10 +42,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets replaced by a mask."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_body"))
-    spans = secret_spans(rows, ["_row"], text="_body", scan_twice=True).select("_row", "spans")
-    return _with_text(redacted(spans.withColumn("_body", F.col("_row.text")), ["_row"], text="_body"), columns)
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    spans = secret_spans(docs.select(others, F.col("text").alias("_body")), ["_row", "_body"], text="_body", scan_twice=True)
+    return _with_text(redacted(spans, ["_row"], text="_body"), docs.columns, "redacted")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

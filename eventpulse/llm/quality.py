@@ -63,11 +63,11 @@ def measure_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     """The columns of keep, and per row n_words, word_chars (code points in words), n_symbols, n_dup_lines
     (lines with a word that equal an earlier line) and n_repeat_words (words covered by three-word windows
     that occur twice or more). A null text counts as empty."""
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in word_blocks(batch.column("_text")):
+            for block in word_blocks(batch.column(text)):
                 found, part = _block_measures(block), batch.slice(block.first, block.n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [pa.array(found[m].astype(np.int64)) for m in MEASURES], names=[*keep, *MEASURES]
@@ -126,5 +126,7 @@ def kept_by_quality(docs: DataFrame, host: str = "source", text: str = "text", m
     failed = base_failure(min_words, max_repeat_percent)
     light = saved(measure_texts(docs.select(F.col(host).alias("_host"), F.col(text).alias("_body")), ["_host"], "_body").select("_host", failed.alias("_failed")))
     verdicts = host_verdicts(light, "_host", F.col("_failed"), host_limit).filter(~F.col("host_kept")).select(F.col("_host").alias("_rejected"))
-    measured = measure_texts(docs.select(F.struct(*columns).alias("_row"), F.col(text).alias("_body")), ["_row"], "_body").filter(~failed)
-    return measured.join(verdicts, F.col(f"_row.{host}") == F.col("_rejected"), "left_anti").select("_row.*")
+    others = F.struct(*[c for c in columns if c != text]).alias("_row")
+    measured = measure_texts(docs.select(others, F.col(text).alias("_body")), ["_row", "_body"], "_body").filter(~failed)
+    kept = measured.join(verdicts, F.col(f"_row.{host}") == F.col("_rejected"), "left_anti")
+    return kept.select(*[F.col("_body" if c == text else f"_row.{c}").alias(c) for c in columns])

@@ -127,12 +127,12 @@ TEST = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int
 
 def scan_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep's columns, base (spans of the fixed shapes) and tested (runs with their p-values)."""
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    source = docs.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, tested = [], []
-            for value in batch.column("_text"):
+            for value in batch.column(text):
                 value = value.as_py() or ""
                 shapes, runs = random_runs(value)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(base_spans(value) + shapes)])
@@ -204,12 +204,13 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", rate: flo
 
 
 def redacted(spanned: DataFrame, keep: list[str], text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """keep's columns and text with each covered stretch of spans replaced by mask; rows without spans stay as they are."""
+    """keep's columns and redacted: the text with each covered stretch of spans replaced by mask; rows without spans stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for value, spans in zip(batch.column(text), batch.column("spans"), strict=True):
+                value, spans = value.as_py(), spans.as_py()
                 if value is not None and spans:
                     parts, at = [], 0
                     for s in spans:
@@ -218,8 +219,8 @@ def redacted(spanned: DataFrame, keep: list[str], text: str = "text", mask: str
                         at = max(at, s["end"])
                     value = "".join(parts) + value[at:]
                 out.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, "redacted"])
 
-    source = spanned.select(*keep, F.col(text).alias("_text"), "spans")
+    source = spanned.select(*dict.fromkeys([*keep, text, "spans"]))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema)
-    return source.mapInArrow(run, f"{kept}text string")
+    return source.mapInArrow(run, f"{kept}redacted string")
