@@ -224,7 +224,7 @@ _S = """sched AS (SELECT hour_key AS session_key, arg_min(title, event_id) AS ti
   CAST(coalesce(sum(people) FILTER (WHERE kind = 'reservation'), 0) AS BIGINT) AS reserved_people, count(DISTINCT person) FILTER (WHERE kind = 'reservation') AS participants, count(*) FILTER (WHERE kind = 'cancellation') AS cancellation_rows,
   CAST(coalesce(sum(people) FILTER (WHERE kind = 'cancellation'), 0) AS BIGINT) AS cancelled_people FROM ev GROUP BY hour_key)"""
 _I = "itin AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY s NULLS LAST, e NULLS LAST, title, event_id) AS itinerary_order FROM ev WHERE kind = 'reservation')"
-_MV = """mv AS (SELECT *, CASE WHEN gap_minutes IS NULL OR walk_minutes IS NULL THEN 'unknown' WHEN gap_minutes < 0 THEN 'overlap' WHEN gap_minutes >= walk_minutes + 10 THEN 'comfortable' WHEN gap_minutes >= walk_minutes THEN 'tight' ELSE 'difficult' END AS status FROM (
+_MV = """mv AS (SELECT * REPLACE (CASE WHEN gap_minutes = 0 THEN 0 ELSE gap_minutes END AS gap_minutes), CASE WHEN gap_minutes IS NULL OR walk_minutes IS NULL THEN 'unknown' WHEN gap_minutes < 0 THEN 'overlap' WHEN gap_minutes >= walk_minutes + 10 THEN 'comfortable' WHEN gap_minutes >= walk_minutes THEN 'tight' ELSE 'difficult' END AS status FROM (
   SELECT person, itinerary_order, p.origin, p.destination, round((epoch_us(ns) - epoch_us(e))::DOUBLE / 60000000, 2) AS gap_minutes, walk_minutes, CASE WHEN s IS NULL OR ns IS NULL THEN 'unknown_date' WHEN CAST(s AS DATE) = CAST(ns AS DATE) THEN 'same_day' ELSE 'cross_day' END AS scope, p.origin = p.destination AS same_location
   FROM (SELECT person, itinerary_order, place AS origin, s, e, lead(place) OVER w AS destination, lead(s) OVER w AS ns FROM itin WINDOW w AS (PARTITION BY person ORDER BY itinerary_order)) p LEFT JOIN mat m ON p.origin = m.origin AND p.destination = m.destination WHERE p.destination IS NOT NULL))"""
 _ED = """edges AS (SELECT origin, destination, status, count(*) AS transition_count, round(sum(CAST(round(gap_minutes * 100) AS BIGINT))::DOUBLE / count(gap_minutes) / 100, 2) AS avg_gap, min(gap_minutes) AS min_gap, max(gap_minutes) AS max_gap,
