@@ -21,7 +21,8 @@ def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Arrow batches of whole documents are kept small from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return kept_by_quality(docs, host="source", text="text")
 
 
@@ -49,7 +50,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of 2048."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, cached_parts=60_000)
 
 
 STAGES = [

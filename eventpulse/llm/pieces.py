@@ -48,14 +48,14 @@ class PartCache:
 _CACHES: dict[tuple, PartCache] = {}
 
 
-def cache_for(key: tuple, make: Callable[[], Callable[[list[str]], list]]) -> PartCache:
+def cache_for(key: tuple, make: Callable[[], Callable[[list[str]], list]], most: int = 300_000) -> PartCache:
     """One cache a Python worker for each key."""
     if key not in _CACHES:
-        _CACHES[key] = PartCache(make())
+        _CACHES[key] = PartCache(make(), most)
     return _CACHES[key]
 
 
-def byte_bpe_cache(path: str, special_as_text: bool = False) -> PartCache:
+def byte_bpe_cache(path: str, special_as_text: bool = False, most: int = 300_000) -> PartCache:
     """Ids (little-endian unsigned 32-bit) by the tokenizers library; it adds no special tokens, and with special_as_text
     takes their strings in a text for ordinary text."""
 
@@ -72,7 +72,7 @@ def byte_bpe_cache(path: str, special_as_text: bool = False) -> PartCache:
         tokenizer.encode_special_tokens = special_as_text
         return lambda parts: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
 
-    return cache_for(("byte_bpe", path, special_as_text), make)
+    return cache_for(("byte_bpe", path, special_as_text, most), make, most)
 
 
 def encoded_ids(cache: PartCache, texts: list[str]) -> list[bytes]:
