@@ -94,11 +94,16 @@ def _value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _with_scores(df: DataFrame, outs: dict[str, str], score: Column) -> DataFrame:
-    scored = _value_ranks(df, list(outs)).select("column", "value", score.alias("score"))
-    for column, out in outs.items():
-        own = scored.filter(F.col("column") == column).select(F.col("value").alias("_value"), F.col("score").alias(out))
-        df = df.join(own, F.col(column).cast("double") == F.col("_value"), "left").drop("_value")
-    return df
+    """Scores joined back: one join for all columns, over a row for each, gathered again by a row id."""
+    scored = _value_ranks(df, list(outs)).select(F.col("column").alias("_c"), F.col("value").alias("_v"), score.alias("_score"))
+    if len(outs) == 1:
+        ((column, out),) = outs.items()
+        return df.join(scored.drop("_c"), F.col(column).cast("double") == F.col("_v"), "left").withColumnRenamed("_score", out).drop("_v")
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in outs])
+    spread = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_x", F.explode(entries))
+    joined = spread.join(scored, (F.col("_x.column") == F.col("_c")) & (F.col("_x.value") == F.col("_v")), "left")
+    gathered = joined.groupBy("_id").agg(*[F.first(c).alias(c) for c in df.columns], *[F.max(F.when(F.col("_c") == c, F.col("_score"))).alias(out) for c, out in outs.items()])
+    return gathered.drop("_id")
 
 
 def midrank_scores(df: DataFrame, outs: dict[str, str]) -> DataFrame:
