@@ -2,7 +2,8 @@
 
 Each text is measured once, in Arrow batches. A host's rule failures are summed in a grouped aggregation;
 an empirical beta prior over all hosts, fitted by moments, shrinks the rates of small hosts to the common
-one; hosts whose shrunken rate is surely over the limit are rejected, and the verdicts are joined back.
+one; hosts whose shrunken rate is surely over the limit are rejected, and the verdicts are joined back. The
+limit follows the fitted prior or is fixed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .storage import saved
 from .wordblocks import chain, hash_spans, mix, word_blocks
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = (*MEASURES, "n_lines")
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
@@ -46,7 +48,8 @@ def _block_measures(block) -> dict[str, np.ndarray]:
     with np.errstate(over="ignore"):
         salt = mix(np.arange(1, n + 1, dtype=np.uint64))
         _, first = np.unique(hash_spans(data, starts, ends) + salt[doc], return_index=True)
-    out["n_dup_lines"] = np.bincount(doc, minlength=n) - np.bincount(doc[first], minlength=n)
+    out["n_lines"] = np.bincount(doc, minlength=n)
+    out["n_dup_lines"] = out["n_lines"] - np.bincount(doc[first], minlength=n)
     doc = block.doc_of_words()
     covered = np.zeros(len(doc), dtype=bool)
     if len(doc) > 2:
@@ -61,8 +64,8 @@ def _block_measures(block) -> dict[str, np.ndarray]:
 
 def measure_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns of keep, and per row n_words, word_chars (code points in words), n_symbols, n_dup_lines
-    (lines with a word that equal an earlier line) and n_repeat_words (words covered by three-word windows
-    that occur twice or more). A null text counts as empty."""
+    (lines with a word that equal an earlier line), n_repeat_words (words covered by three-word windows
+    that occur twice or more) and n_lines (lines with a word). A null text counts as empty."""
     source = docs.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,10 +73,10 @@ def measure_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             for block in word_blocks(batch.column(text)):
                 found, part = _block_measures(block), batch.slice(block.first, block.n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(found[m].astype(np.int64)) for m in MEASURES], names=[*keep, *MEASURES]
+                    [part.column(c) for c in keep] + [pa.array(found[m].astype(np.int64)) for m in MEASURED], names=[*keep, *MEASURED]
                 )
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + [f"{m} long" for m in MEASURES])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + [f"{m} long" for m in MEASURED])
     return source.mapInArrow(run, schema)
 
 
@@ -81,11 +84,23 @@ def base_failure(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def host_verdicts(measured: DataFrame, host: str, failed: Column, limit: float = 0.5, certainty: float = 3.0) -> DataFrame:
+def rule_failure(min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30) -> Column:
+    """base_failure, or more symbols than that share of the words, or more repeated lines than that share of the lines;
+    None leaves a rule out. word_chars has no rule: in scripts without spaces long words are no fault."""
+    failed = base_failure(min_words, max_repeat_percent)
+    if max_symbol_percent is not None:
+        failed = failed | (100 * F.col("n_symbols") > max_symbol_percent * F.col("n_words"))
+    if max_dup_line_percent is not None:
+        failed = failed | (100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("n_lines"))
+    return failed
+
+
+def host_verdicts(measured: DataFrame, host: str, failed: Column, limit: float | None = None, certainty: float = 3.0, odds: float = 3.0, least_limit: float = 0.2) -> DataFrame:
     """One row per non-null host: host, n_docs, n_failed, failure_rate (shrunken) and host_kept.
 
     The beta prior (a, b) matches mean and between-host variance of the rates. A host is rejected when its
-    posterior mean lies more than `certainty` posterior standard deviations above `limit`.
+    posterior mean lies more than `certainty` posterior standard deviations above `limit`. Without a limit it is the
+    rate with `odds` times the odds of the prior's mean, or least_limit if that is more: average hosts stay.
     """
     hosts = measured.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.count_if(failed).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
@@ -96,6 +111,8 @@ def host_verdicts(measured: DataFrame, host: str, failed: Column, limit: float =
     noise = mean * (1 - mean)
     between = max((prior["spread"] or 0) - noise * (prior["per_doc"] or 0), 1e-9)
     weight = min(max(noise / between - 1, 1.0), 1e4)
+    if limit is None:
+        limit = max(odds * mean / (1 - mean + odds * mean), least_limit)
     a, b = mean * weight, (1 - mean) * weight
     alpha, total = F.col("n_failed") + F.lit(a), F.col("n_docs") + F.lit(a + b)
     posterior = alpha / total
@@ -103,27 +120,34 @@ def host_verdicts(measured: DataFrame, host: str, failed: Column, limit: float =
     return hosts.select(host, "n_docs", "n_failed", posterior.alias("failure_rate"), (posterior - certainty * deviation <= limit).alias("host_kept"))
 
 
-def quality_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float = 0.5) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float | None = None,
+    max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30,
+) -> DataFrame:
     """Per row of docs: keep's columns, the measures, base_failed, failure_rate of its host and kept.
 
-    kept is false where base_failed, else the host's verdict; rows without a host have none and are kept.
-    Null and empty texts fail (no words). Repeated rows count as often as they occur. An empty table gives
-    an empty result.
+    kept is false where a rule fails (rule_failure), else the host's verdict on the failures of all rules; rows
+    without a host have none and are kept. Null and empty texts fail (no words). Repeated rows count as often as they
+    occur. An empty table gives an empty result.
     """
     columns = list(dict.fromkeys([*keep, host]))
-    measured = saved(measure_texts(docs, columns, text).withColumn("base_failed", base_failure(min_words, max_repeat_percent)))
-    verdicts = host_verdicts(measured, host, F.col("base_failed"), host_limit)
+    failed = rule_failure(min_words, max_repeat_percent, max_symbol_percent, max_dup_line_percent)
+    measured = saved(measure_texts(docs, columns, text).withColumns({"base_failed": base_failure(min_words, max_repeat_percent), "_failed": failed}))
+    verdicts = host_verdicts(measured, host, F.col("_failed"), host_limit)
     verdicts = verdicts.select(F.col(host).alias("_host"), "failure_rate", "host_kept")
     joined = measured.join(verdicts, measured[host] == verdicts["_host"], "left")
-    kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
+    kept = ~F.col("_failed") & F.coalesce("host_kept", F.lit(True))
     return joined.select(*keep, *MEASURES, "base_failed", "failure_rate", kept.alias("kept"))
 
 
-def kept_by_quality(docs: DataFrame, host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float = 0.5) -> DataFrame:
+def kept_by_quality(
+    docs: DataFrame, host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float | None = None,
+    max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30,
+) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their columns. Texts are measured twice, so that only hosts and
     failures, not texts, are written in between."""
     columns = docs.columns
-    failed = base_failure(min_words, max_repeat_percent)
+    failed = rule_failure(min_words, max_repeat_percent, max_symbol_percent, max_dup_line_percent)
     light = saved(measure_texts(docs.select(F.col(host).alias("_host"), F.col(text).alias("_body")), ["_host"], "_body").select("_host", failed.alias("_failed")))
     verdicts = host_verdicts(light, "_host", F.col("_failed"), host_limit).filter(~F.col("host_kept")).select(F.col("_host").alias("_rejected"))
     others = F.struct(*[c for c in columns if c != text]).alias("_row")

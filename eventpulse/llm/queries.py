@@ -32,7 +32,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality_rules(_table(spark, sf_dir, "documents"), ["doc_id"])
+    """With the rules of its SQL: base rules alone, and a fixed limit for hosts."""
+    rated = quality_rules(_table(spark, sf_dir, "documents"), ["doc_id"], host_limit=0.5, max_symbol_percent=None, max_dup_line_percent=None)
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

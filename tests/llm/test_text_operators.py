@@ -55,6 +55,17 @@ def test_bad_hosts_are_rejected_and_good_ones_kept(spark):
     assert quality.kept_by_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == out.filter("kept").count()
 
 
+def test_symbols_and_repeated_lines_fail_and_count_for_hosts(spark):
+    good = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(8))
+    symbols, lines = good.replace(" ", "$$ "), "\n".join([" ".join(f"w{i}" for i in range(60))] + [f"only {i}" for i in range(3)] + ["end"] * 4)
+    rows = [(i, (symbols, lines)[i % 2] if i // 20 % 10 == 0 else good, f"average{i % 20}") for i in range(4000)] + [(5000 + i, symbols if i % 20 < 9 else good, "bad") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.quality_rules(docs, ["doc_id", "source"])
+    kept = {r["doc_id"] for r in out.filter("kept").collect()}
+    assert out.filter("base_failed").count() == 0
+    assert kept == {i for i, t, host in rows if t == good and host != "bad"} == {r["doc_id"] for r in quality.kept_by_quality(docs).collect()}
+
+
 def test_base_secrets(documents):
     def base(t):
         spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
