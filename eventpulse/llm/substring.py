@@ -8,6 +8,11 @@ of their places. Windows that start twice or more come back as word ranges of th
 
 Strings are some three times as long as the text, and most windows occur once. So minimisers are counted first, by
 short hashes in buckets, and only strings whose minimiser occurs at another place too are packed.
+
+A phrase with varying words around can be the minimiser of any number of different strings, which all belong to one
+bucket. Such hot minimisers are counted before, in a plain aggregation; their windows travel one by one, as two
+64-bit hashes, to the bucket of the window's hash. So no bucket grows with one phrase, and the number of buckets
+follows the size of the input.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from .storage import shuffle_partitions
 from .wordblocks import chain, mix, powers, word_blocks
 
 COUNT_SCHEMA = "bucket int, hashes binary, docs binary, counts binary, ordinals binary"
+KEY_SCHEMA = "key long, strings long"
+BUCKET_TEXT = 1 << 26  # bytes of text for a bucket of minimisers
 FLAG_SCHEMA = "row_hash long, ordinals binary"
 BUCKET_SCHEMA = "bucket int, counts binary, places binary, docs binary, starts binary, words binary, unknown binary"
 RANGE_SCHEMA = "doc_id long, row_hash long, ranges binary"
@@ -68,8 +75,37 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _minimisers(window: int, core: int, n_buckets: int):
-    """(row_hash, text) rows to buckets of short minimiser hashes, with their documents and numbers there."""
+def _contents(key: np.ndarray, first: np.ndarray, count: np.ndarray, words: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the strings."""
+    up, down = powers(len(words) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+        return mix((total[first + count + window - 1] - total[first]) * down[first] + mix(key) + count.astype(np.uint64))
+
+
+def _strings_by_key(window: int, core: int):
+    """Texts to minimisers with the number of different strings that they have in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in word_blocks(batch.column(0)):
+                key, first, count, words = _super_kmers(block, window, core)
+                if len(first):
+                    _, unique = np.unique(_contents(key, first, count, words, window), return_index=True)
+                    key, strings = np.unique(key[unique], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(strings.astype(np.int64))], names=["key", "strings"])
+
+    return run
+
+
+def _hot_keys(texts: DataFrame, window: int, core: int, hot: int) -> np.ndarray:
+    """Minimisers with more than `hot` strings in their bucket, sorted; at most one for each `hot` strings of the input."""
+    found = texts.mapInArrow(_strings_by_key(window, core), KEY_SCHEMA).groupBy("key").agg(F.sum("strings").alias("n")).filter(F.col("n") > hot).select("key")
+    return np.sort(np.array([r["key"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+
+
+def _minimisers(window: int, core: int, n_buckets: int, hot: np.ndarray):
+    """(row_hash, text) rows to buckets of short minimiser hashes, with their documents and numbers there; without hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,6 +118,9 @@ def _minimisers(window: int, core: int, n_buckets: int):
                 number = np.arange(len(first)) - np.searchsorted(doc, doc)
                 bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
+                order = order[~np.isin(key[order], hot)]
+                if not len(order):
+                    continue
                 key, doc, number, bucket = key[order], doc[order], number[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 rows = []
@@ -113,7 +152,6 @@ def _dealt(window: int, core: int, n_buckets: int, at: dict[str, int]):
     """Rows with the columns of at to buckets of packed strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = batch.column(at["doc_id"])
             missing = np.asarray(ids.is_null())
@@ -130,43 +168,65 @@ def _dealt(window: int, core: int, n_buckets: int, at: dict[str, int]):
                 key, first, count = key[chosen], first[chosen], count[chosen]
                 if not len(first):
                     continue
-                length = count + window - 1
-                up, down = powers(len(words) + 1)
-                with np.errstate(over="ignore"):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-                    content = mix((total[first + length] - total[first]) * down[first] + mix(key) + count.astype(np.uint64))
-                code, _ = pd.factorize(content)
-                _, unique = np.unique(code, return_index=True)
-                bucket = (mix(key[unique]) % np.uint64(n_buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")  # unique strings by bucket
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                unique, bucket = unique[order], bucket[order]
-                code = rank[code]
-                by_string = np.argsort(code, kind="stable")  # all occurrences by string
-                places = np.bincount(code, minlength=len(unique))
-                doc = np.searchsorted(block.word_bounds, first, side="right") - 1
-                start = (first - block.word_bounds[doc])[by_string].astype(np.int32)
-                doc = doc[by_string] + block.first
-                string_at = np.concatenate([[0], np.cumsum(places)])
-                word_at = np.concatenate([[0], np.cumsum(length[unique])])
-                packed = words[_spread(first[unique], length[unique])]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                rows = []
-                for a, b in zip(cuts, np.append(cuts[1:], len(unique)), strict=True):
-                    own = doc[string_at[a] : string_at[b]]
-                    rows.append((
-                        int(bucket[a]), count[unique[a:b]].astype(np.int32).tobytes(), places[a:b].astype(np.int32).tobytes(),
-                        pack(np.stack([ids[own], hashes[own]]).tobytes()), start[string_at[a] : string_at[b]].tobytes(), pack(packed[word_at[a] : word_at[b]].tobytes()), missing[own].tobytes(),
-                    ))
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 6], strict=True)], names=["bucket", "counts", "places", "docs", "starts", "words", "unknown"]
-                )
+                content = _contents(key, first, count, words, window)
+                yield _packed(block, content, key, first, first, count, count + window - 1, words, n_buckets, ids, hashes, missing)
 
     return run
 
 
+def _dealt_windows(window: int, core: int, n_buckets: int, hot: np.ndarray):
+    """(doc_id, row_hash, text) rows to buckets of the windows of hot minimisers, each packed as two hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            missing = np.asarray(ids.is_null())
+            ids, hashes = np.asarray(ids.fill_null(0), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64)
+            for block in word_blocks(batch.column(2)):
+                key, first, count, words = _super_kmers(block, window, core)
+                chosen = np.isin(key, hot)
+                at = _spread(first[chosen], count[chosen])
+                if len(at):
+                    both = np.stack([chain(words, window)[at], chain(mix(words + np.uint64(1)), window)[at]], axis=1)
+                    ones = np.ones(len(at), np.int64)
+                    yield _packed(block, both[:, 0] ^ mix(both[:, 1]), both[:, 0], at, 2 * np.arange(len(at)), ones, 2 * ones, both.reshape(-1), n_buckets, ids, hashes, missing)
+
+    return run
+
+
+def _packed(block, content, key, first, packed_at, count, length, words, n_buckets, ids, hashes, missing) -> pa.RecordBatch:
+    """Bucket rows of strings that start at word first of the block and are words[packed_at : packed_at + length]; key gives the bucket."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    code, _ = pd.factorize(content)
+    _, unique = np.unique(code, return_index=True)
+    bucket = (mix(key[unique]) % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")  # unique strings by bucket
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    unique, bucket = unique[order], bucket[order]
+    code = rank[code]
+    by_string = np.argsort(code, kind="stable")  # all occurrences by string
+    places = np.bincount(code, minlength=len(unique))
+    doc = np.searchsorted(block.word_bounds, first, side="right") - 1
+    start = (first - block.word_bounds[doc])[by_string].astype(np.int32)
+    doc = doc[by_string] + block.first
+    string_at = np.concatenate([[0], np.cumsum(places)])
+    word_at = np.concatenate([[0], np.cumsum(length[unique])])
+    packed = words[_spread(packed_at[unique], length[unique])]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(unique)), strict=True):
+        own = doc[string_at[a] : string_at[b]]
+        rows.append((
+            int(bucket[a]), count[unique[a:b]].astype(np.int32).tobytes(), places[a:b].astype(np.int32).tobytes(),
+            pack(np.stack([ids[own], hashes[own]]).tobytes()), start[string_at[a] : string_at[b]].tobytes(), pack(packed[word_at[a] : word_at[b]].tobytes()), missing[own].tobytes(),
+        ))
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 6], strict=True)], names=["bucket", "counts", "places", "docs", "starts", "words", "unknown"]
+    )
+
+
 def _repeated(words: np.ndarray, at: np.ndarray, weight: np.ndarray, window: int) -> np.ndarray:
     """Which of the windows words[at : at + window] occur with a total weight of two or more."""
     seed = np.uint64(1)
@@ -189,7 +249,9 @@ def _repeated(words: np.ndarray, at: np.ndarray, weight: np.ndarray, window: int
         seed += np.uint64(1)
 
 
-def _counted(window: int):
+def _counted(window: int, span: int):
+    """Bucket rows to the ranges of repeated windows of packed words; a window stands for span words of its document."""
+
     def run(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         counts, places, docs, starts, words, unknown = ([] for _ in range(6))
@@ -213,7 +275,7 @@ def _counted(window: int):
         opens = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (string[1:] != string[:-1])])
         first = np.flatnonzero(opens)
         last = np.append(first[1:], len(at)) - 1
-        string, begin, end = string[first], at[first] - head[string[first]], at[last] - head[string[first]] + window
+        string, begin, end = string[first], at[first] - head[string[first]], at[last] - head[string[first]] + span
         place_at = np.cumsum(places) - places
         take = _spread(place_at[string], places[string].astype(np.int64))
         begin = np.repeat(begin, places[string]) + starts[take]
@@ -264,22 +326,28 @@ def _cut(keep: list[str], at: dict[str, int], as_text: bool):
     return run, f"n_words long, n_removed long, {out} string"
 
 
-def substring_dedup(docs: DataFrame, keep: list[str], window: int = 35, core: int = 5, as_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, keep: list[str], window: int = 35, core: int = 5, as_text: bool = False, hot: int = 1 << 15) -> DataFrame:
     """Per row of docs (doc_id, text): keep's columns, n_words, n_removed, and kept_sha256 of the kept words joined by
     one space, or with as_text kept_text: the joined kept words where something goes, else the text unchanged.
 
     A word goes when a window of `window` words that covers it also starts anywhere else, the same text included.
     Null texts count as empty (kept_text stays null); repeated rows are documents of their own, so their windows
-    repeat. Null doc_ids take part. An empty table gives an empty result.
+    repeat. Null doc_ids take part. An empty table gives an empty result. Minimisers of more than `hot` strings are
+    split by window.
     """
-    buckets = max(64, shuffle_partitions(docs.sparkSession))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, shuffle_partitions(docs.sparkSession), size // BUCKET_TEXT)
+    keys = _hot_keys(docs.select("text"), window, core, hot)
     source = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), F.xxhash64("doc_id", "text").alias("row_hash"))
     columns = source.columns
-    counted = source.select("row_hash", "text").mapInArrow(_minimisers(window, core, buckets), COUNT_SCHEMA).groupBy("bucket").applyInArrow(_flagged, FLAG_SCHEMA)
+    counted = source.select("row_hash", "text").mapInArrow(_minimisers(window, core, buckets, keys), COUNT_SCHEMA).groupBy("bucket").applyInArrow(_flagged, FLAG_SCHEMA)
     flags = counted.groupBy("row_hash").agg(F.collect_list("ordinals").alias("wanted")).withColumnRenamed("row_hash", "_flagged")
     flagged = source.join(flags, F.col("row_hash") == F.col("_flagged")).select(*columns, "wanted")
     at = {c: i for i, c in enumerate(flagged.columns)}
-    found = flagged.mapInArrow(_dealt(window, core, 4 * buckets, at), BUCKET_SCHEMA).groupBy("bucket").applyInArrow(_counted(window), RANGE_SCHEMA)
+    found = flagged.mapInArrow(_dealt(window, core, 4 * buckets, at), BUCKET_SCHEMA).groupBy("bucket").applyInArrow(_counted(window, window), RANGE_SCHEMA)
+    if len(keys):
+        split = source.select("doc_id", "row_hash", "text").mapInArrow(_dealt_windows(window, core, 4 * buckets, keys), BUCKET_SCHEMA)
+        found = found.unionByName(split.groupBy("bucket").applyInArrow(_counted(2, window), RANGE_SCHEMA))
     # both joins are on row_hash alone, so that they share one exchange of the texts; doc_ids are compared afterwards
     ranges = found.groupBy("row_hash").agg(F.collect_list(F.struct("doc_id", "ranges")).alias("parts")).withColumnRenamed("row_hash", "_hash")
     joined = source.join(ranges, F.col("row_hash") == F.col("_hash"), "left").select(*columns, "parts")

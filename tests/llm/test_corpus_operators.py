@@ -5,12 +5,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventpulse.llm.components import connected_components
 from eventpulse.llm.jaccard_join import jaccard_components
 from eventpulse.llm.neighbours import hadamard, nearest_neighbours
+from eventpulse.llm import substring
 from eventpulse.llm.substring import _leftmost_minima, substring_dedup
+from eventpulse.llm.wordblocks import chain, word_blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,6 +86,35 @@ def test_substring_dedup(documents, window):
     assert sorted(found, key=str) == sorted(expected, key=str)
 
 
+def test_a_common_phrase_is_split_by_window(spark):
+    rng = np.random.default_rng(6)
+    phrases = [[f"p{i}x{k}" for k in range(5)] for i in range(3000)]
+    block = next(word_blocks(pa.array([" ".join(p) for p in phrases])))
+    phrase = phrases[int(np.argmin(chain(block.word_hashes(), 5)[::5]))]  # a phrase that is the minimiser of nearly all its windows
+    rows = []
+    for i in range(240):
+        around = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
+        rows.append((i, " ".join(around[:40] + phrase + around[40:])))
+    rows += [(1000, rows[3][1]), (1001, " ".join(rows[5][1].split()[20:70])), (None, rows[7][1] + " " + rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [t.split()] for i in range(len(w) - 34))
+    expected = []
+    for doc, text in rows:
+        words = text.split()
+        gone = {k for i in range(len(words) - 34) if counts[tuple(words[i : i + 35])] > 1 for k in range(i, i + 35)}
+        expected.append((doc, len(gone)))
+    found = substring_dedup(docs, ["doc_id"], hot=50).collect()
+    assert sorted([(r["doc_id"], r["n_removed"]) for r in found], key=str) == sorted(expected, key=str)
+    keys = substring._hot_keys(docs.select("text"), 35, 5, 50)
+    assert len(keys) == 1
+    batch = pa.record_batch({"doc_id": pa.array(range(240)), "row_hash": pa.array(range(240)), "text": pa.array([t for _, t in rows[:240]])})
+    dealt = Counter()
+    for out in substring._dealt_windows(35, 5, 64, keys)([batch]):
+        for bucket, n in zip(out.column("bucket").to_pylist(), out.column("counts").to_pylist()):
+            dealt[bucket] += len(n) // 4
+    assert sum(dealt.values()) > 3000 and max(dealt.values()) < 3 * sum(dealt.values()) / 64
+
+
 def test_leftmost_minima():
     rng = np.random.default_rng(0)
     for width in (1, 2, 3, 5, 31):
