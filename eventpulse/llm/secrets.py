@@ -1,9 +1,11 @@
 """Secret scans: fixed shapes, and a battery of randomness tests with length-aware false-discovery control.
 
-One pass over each whole text finds the fixed shapes and every long run of encoding characters. A run's
-encoding is inferred from its alphabet; symbols become values, and three tests ask whether these are uniform
-and independent: chi-squared over equal bins, Wald-Wolfowitz runs about the middle, and lag-one serial
-correlation. Fisher's method combines the p-values. Within each encoding and length band the
+One pass over each whole text finds the fixed shapes and every long run of encoding characters. Runs are tested
+whole and, where they hold separators, part by part. The encoding is inferred from the alphabet; symbols become
+values, and three tests ask whether these are uniform and independent: chi-squared over equal bins,
+Wald-Wolfowitz runs about the middle, and lag-one serial correlation. Fisher's method combines the p-values.
+Beside them stand, by Bonferroni, a test of the shares of digits, cases and signs, and one for too many of the letters
+that are common in prose; for letters of one case or digits alone the chance of such a run takes their place. Within each encoding and length band, runs of letters or digits alone apart, the
 Benjamini-Hochberg step rejects randomness at a common false-discovery rate over the whole corpus, from counts
 of binned p-values (a table of bounded size); runs that stay, look random and are reported.
 """
@@ -26,6 +28,7 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+EQUALS = re.compile("=+")
 
 ENCODINGS = ("hex", "base32", "base36", "base64")
 ALPHABETS = {
@@ -35,9 +38,14 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 VALUES = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ALPHABETS.items()}
+COMMON = frozenset("etaoinshrdluETAOINSHRDLU")
+SEPARATORS = re.compile(r"[-_+/]+")
+CLASSES = {name: [sum(map(test, alphabet)) / len(alphabet) for test in (str.isdigit, str.isupper, str.islower)] for name, alphabet in ALPHABETS.items()}
+COMMON_SHARE = {name: sum(c in COMMON for c in alphabet) / len(alphabet) for name, alphabet in ALPHABETS.items()}
 LENGTH_BANDS = (16, 24, 32, 64)
 P_BINS_PER_DECADE = 20
 LEAST_P = 1e-12
+URL_SAFE = {ord("-"): "+", ord("_"): "/"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,18 +60,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def infer_encoding(run: str) -> str | None:
-    """The narrowest encoding whose alphabet holds the run; None unless it has both letters and digits."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return None
-    if all(c in VALUES["hex"] for c in run) or all(c in VALUES["hex"] for c in run.lower()) and run == run.upper():
+    """The narrowest encoding whose alphabet holds the run, in either case for one-case encodings; None for other characters."""
+    one_case = run == run.lower() or run == run.upper()
+    if one_case and all(c in VALUES["hex"] for c in run.lower()):
         return "hex"
-    if all(c in VALUES["base32"] for c in run):
+    if all(c in VALUES["base32"] for c in run) and not run.isalpha():
         return "base32"
-    if all(c in VALUES["base36"] for c in run):
+    if one_case and all(c in VALUES["base36"] for c in run.lower()):
         return "base36"
-    plain = run.translate({ord("-"): "+", ord("_"): "/"})
-    has_both = plain != plain.lower() and plain != plain.upper()
-    return "base64" if has_both and all(c in VALUES["base64"] for c in plain) else None
+    return "base64" if all(c in VALUES["base64"] for c in run.translate(URL_SAFE)) else None
 
 
 def _normal_tail(z: float) -> float:
@@ -104,25 +109,63 @@ def randomness(values: list[int], size: int) -> float:
     return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
 
 
-def random_runs(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
-    """(hex spans, (start, end, stratum, p) of each run with an inferred encoding)."""
+def composition(plain: str, encoding: str) -> float:
+    """p-value of the numbers of digits, upper- and lower-case letters and signs, and of common letters (too many), of a
+    uniform source: twice the smaller one."""
+    n, shares = len(plain), CLASSES[encoding]
+    found = [sum(map(test, plain)) for test in (str.isdigit, str.isupper, str.islower)]
+    cells = [(k, n * share) for k, share in zip([*found, n - sum(found)], [*shares, 1 - sum(shares)], strict=True) if share > 1e-9]
+    classes = _chi_squared_tail(sum((k - e) ** 2 / e for k, e in cells), len(cells) - 1) if len(cells) > 1 else 1.0
+    share, k = COMMON_SHARE[encoding], sum(c in COMMON for c in plain)
+    prose = _normal_tail((k - 0.5 - n * share) / math.sqrt(n * share * (1 - share)))
+    return min(1.0, 2 * min(classes, prose))
+
+
+def tested_run(body: str) -> tuple[int, float] | None:
+    """Stratum and p-value of a run; a run of one case is taken without its separators."""
+    if body == body.lower() or body == body.upper():
+        body = SEPARATORS.sub("", body)
+    if len(body) < LENGTH_BANDS[0] or not (encoding := infer_encoding(body)):
+        return None
+    plain = body.lower() if encoding in ("hex", "base36") else body.translate(URL_SAFE)
+    mixed = any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
+    stratum = (ENCODINGS.index(encoding) * 2 + (not mixed)) * len(LENGTH_BANDS) + sum(len(body) >= b for b in LENGTH_BANDS) - 1
+    if not mixed and encoding != "base64":  # of one case: the chance that a uniform source gives letters or digits alone
+        digits = CLASSES[encoding][0]
+        return stratum, (digits if body.isdigit() else 1 - digits) ** len(body)
+    p = randomness([VALUES[encoding][c] for c in plain], len(ALPHABETS[encoding]))
+    return stratum, min(1.0, 2 * min(p, composition(plain, encoding)))
+
+
+def _pieces(run: str, separators: re.Pattern, least: int) -> Iterator[tuple[int, str]]:
+    """(place, piece) of the pieces of at least that length between separators."""
+    at = 0
+    for m in [*separators.finditer(run), None]:
+        piece = run[at : m.start() if m else len(run)]
+        if len(piece) >= least:
+            yield at, piece
+        at = m.end() if m else at
+
+
+def random_runs(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
+    """(hex spans, (start, end, stratum, p, and of a part the same four of its whole run) of each tested run and part)."""
     shapes, tested = [], []
     for m in RUN.finditer(text):
         shapes += [(m.start() + h.start(), 2, m.start() + h.end()) for h in HEX.finditer(m[0]) if len(h[0]) >= 24]
-        body = m[0].rstrip("=")
-        body = body[body.rfind("=") + 1 :]  # of name=value the value
-        if len(body) < LENGTH_BANDS[0] or not (encoding := infer_encoding(body)):
-            continue
-        plain = body.lower() if encoding == "hex" else body.translate({ord("-"): "+", ord("_"): "/"})
-        values = [VALUES[encoding][c] for c in plain]
-        end = m.start() + len(m[0].rstrip("="))
-        stratum = ENCODINGS.index(encoding) * len(LENGTH_BANDS) + sum(len(body) >= b for b in LENGTH_BANDS) - 1
-        tested.append((end - len(body), end, stratum, randomness(values, len(ALPHABETS[encoding]))))
+        for at, body in _pieces(m[0], EQUALS, LENGTH_BANDS[0]):  # names and values apart
+            start, whole = m.start() + at, (None,) * 4
+            if found := tested_run(body):
+                whole = (start, start + len(body), *found)
+                tested.append((*whole, *(None,) * 4))
+            if SEPARATORS.search(body):
+                for at, part in _pieces(body, SEPARATORS, LENGTH_BANDS[0]):
+                    if found := tested_run(part):
+                        tested.append((start + at, start + at + len(part), *found, *whole))
     return shapes, tested
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-TEST = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("p", pa.float64())])
+TEST = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("p", pa.float64()), ("in_start", pa.int64()), ("in_end", pa.int64()), ("in_stratum", pa.int32()), ("in_p", pa.float64())])
 
 
 def scan_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -136,13 +179,13 @@ def scan_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
                 value = value.as_py() or ""
                 shapes, runs = random_runs(value)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(base_spans(value) + shapes)])
-                tested.append([{"start": s, "end": e, "stratum": g, "p": p} for s, e, g, p in runs])
+                tested.append([dict(zip(TEST.names, r, strict=True)) for r in runs])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(base, pa.list_(SPAN)), pa.array(tested, pa.list_(TEST))], names=[*keep, "base", "tested"]
             )
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema)
-    return source.mapInArrow(run, f"{kept}base array<struct<start:long,kind:int,end:long>>, tested array<struct<start:long,end:long,stratum:int,p:double>>")
+    return source.mapInArrow(run, f"{kept}base array<struct<start:long,kind:int,end:long>>, tested array<struct<start:long,end:long,stratum:int,p:double,in_start:long,in_end:long,in_stratum:int,in_p:double>>")
 
 
 def rejection_limits(scanned: DataFrame, rate: float) -> dict[int, float]:
@@ -185,15 +228,16 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", rate: flo
     if scan_twice:
         scanned = scan_texts(docs, keep, text)
 
-    def stays(t: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        if not limits:
-            return apart
+    def looks_random(t: Column, of: str) -> Column:
+        apart = ~F.exists("base", lambda b: (b["start"] < t[f"{of}end"]) & (t[f"{of}start"] < b["end"]))
         rejected = F.lit(False)
         for stratum, edge in sorted(limits.items()):
-            rejected = rejected | ((t["stratum"] == stratum) & (t["p"] <= edge))
+            rejected = rejected | ((t[f"{of}stratum"] == stratum) & (t[f"{of}p"] <= edge))
         return apart & ~rejected
 
+    def stays(t: Column) -> Column:  # a part only where its whole run does not stay
+        return looks_random(t, "") & (t["in_stratum"].isNull() | ~looks_random(t, "in_"))
+
     added = F.transform(F.filter("tested", stays), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     spans = F.array_sort(F.concat("base", added))
 

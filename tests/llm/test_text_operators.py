@@ -87,6 +87,31 @@ def test_random_strings_are_found_and_plain_ones_left(spark):
     assert all("[secret]" in r["redacted"] for r in masked if r["doc_id"] in found)
 
 
+def test_secrets_of_any_alphabet_and_inside_runs(spark):
+    import uuid
+
+    rng = np.random.default_rng(8)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    upper, lower, both = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secrets.ALPHABETS["base36"], secrets.ALPHABETS["base64"][:62]
+    kinds = {
+        "upper": [draw(upper, 24) for _ in range(60)],
+        "uuid": [str(uuid.UUID(bytes=rng.bytes(16))) for _ in range(60)],
+        "prefix": [f"key_live_{draw(lower, 24)}" for _ in range(60)],
+        "letters": [draw(both[:52], 24) for _ in range(60)],
+        "path": [f"/the/{'/'.join(['internal', 'documents', 'attention'] * 4)}/{draw(both, 32)}/internal-documents" for _ in range(60)],
+    }
+    words = "the international organisation relation situation tradition condition administration internal station attention hesitation".split()
+    plain = ["-".join(rng.choice(words, 5)) for _ in range(150)] + ["".join(rng.choice(words, 3)) for _ in range(150)] + ["".join(w.title() for w in rng.choice(words, 3)) for _ in range(150)]
+    rows = [(kind, t) for kind, own in kinds.items() for t in own] + [("plain", t) for t in plain]
+    df = spark.createDataFrame([(i, kind, f"see {t} here") for i, (kind, t) in enumerate(rows)], "doc_id int, kind string, text string")
+    out = secrets.secret_spans(df, ["doc_id", "kind"]).collect()
+    found = Counter(r["kind"] for r in out if len(r["spans"]) > len(r["base"]))
+    assert all(found[kind] >= 50 for kind in kinds) and found["plain"] <= 0.05 * len(plain), found
+    for r in out:
+        own = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3]
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+
+
 def test_bpe_equals_the_library(documents):
     library = Tokenizer.from_file(WORDS)
 
