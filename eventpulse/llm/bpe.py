@@ -17,21 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_symbols
 from .pieces import BARE_PARTS, PartCache, cache_for
+from .wordblocks import released
 
 NONE = np.int64(1) << 62
 TOGETHER = 64
 CELLS = 1 << 19
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for
-    themselves, the others for characters from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
-
-
 class WordBpe:
     """Encoder and decoder of a tokenizers file with byte-level symbols and an end-of-word suffix."""
 
@@ -214,4 +208,4 @@ def encode_and_decode(docs: DataFrame, keep: list[str], tokenizer: str, text: st
                 )
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema)
-    return source.mapInArrow(run, f"{kept}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(released(run), f"{kept}n_tokens long, ids_sha256 string, decoded_sha256 string")

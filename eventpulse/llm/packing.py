@@ -18,22 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pieces import byte_bpe_cache, encoded_ids
+from .byte_bpe import byte_bpe_encoder
 from .storage import saved, shuffle_partitions
+from .wordblocks import released
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cached_parts: int = 300_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row's ids with end_id after them; only texts longer than
     the capacity are cut, and then the first piece takes what does not fill one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = byte_bpe_cache(tokenizer, most=cached_parts), end_id.to_bytes(4, "little")
+        encoded, end = byte_bpe_encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoded_ids(cache, [t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for i, text in enumerate(part.column(1)):
+                    ids = encoded(text.as_py() or "") + end
                     total = len(ids) // 4
                     first = (total - 1) % capacity + 1
                     cuts = [0, *range(first, total + 1, capacity)]
@@ -48,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -121,14 +122,14 @@ def _placed(slots: dict[str, np.ndarray]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cached_parts: int = 300_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id and
     offset; offsets of a sequence are gapless from 0 and its lengths sum to the capacity at most.
 
     Null and empty texts have one piece, the end id. Repeated rows and null doc_ids are packed like others. An empty
     table gives an empty result.
     """
-    pieces = saved(token_pieces(docs, tokenizer, capacity, end_id, cached_parts).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_partitions(docs.sparkSession))).cast("int")))
+    pieces = saved(token_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_partitions(docs.sparkSession))).cast("int")))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = _slots(plan_bins(counts, capacity))
     groups = pieces.groupBy("length", "salt").count()

@@ -13,8 +13,6 @@ from collections.abc import Callable
 #: White space as the tokenizers' patterns have it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: For patterns in which a word takes one space before it.
-SPACED_PARTS = re.compile(rf" ?[{LETTERS}]+(?=[{SPACE}.,;:!?]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: For patterns that drop white space.
 BARE_PARTS = re.compile(rf"[{LETTERS}]+(?=[{SPACE}.,;:!?]|\Z)|[^{SPACE}]+")
 LONGEST_KEPT = 48
@@ -53,27 +51,3 @@ def cache_for(key: tuple, make: Callable[[], Callable[[list[str]], list]], most:
     if key not in _CACHES:
         _CACHES[key] = PartCache(make(), most)
     return _CACHES[key]
-
-
-def byte_bpe_cache(path: str, special_as_text: bool = False, most: int = 300_000) -> PartCache:
-    """Ids (little-endian unsigned 32-bit) by the tokenizers library; it adds no special tokens, and with special_as_text
-    takes their strings in a text for ordinary text."""
-
-    def make() -> Callable[[list[str]], list[bytes]]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        tokenizer.encode_special_tokens = special_as_text
-        return lambda parts: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
-
-    return cache_for(("byte_bpe", path, special_as_text, most), make, most)
-
-
-def encoded_ids(cache: PartCache, texts: list[str]) -> list[bytes]:
-    return [b"".join(values) for values in cache.values([SPACED_PARTS.findall(t) for t in texts])]

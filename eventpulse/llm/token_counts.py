@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .pieces import byte_bpe_cache, encoded_ids
+from .byte_bpe import byte_bpe_encoder
 from .storage import saved
+from .wordblocks import released
 
 BLOCK_TOKENS = 1 << 18
 RUN = 1024
@@ -31,7 +32,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_tokens
     blocks (zstd of little-endian unsigned 32-bit ids), of kind NAMES the doc_ids in order. Texts never give end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, file = byte_bpe_cache(tokenizer, special_as_text=True), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encoded, end, file = byte_bpe_encoder(tokenizer, special_as_text=True), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=1).compress
         held, block, at = b"", 0, 0
 
@@ -41,8 +42,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_tokens
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                ids = encoded_ids(cache, [t or "" for t in part.column(1).to_pylist()])
-                held += b"".join([x for own in ids for x in (own, end)])
+                held += b"".join([x for text in part.column(1) for x in (encoded(text.as_py() or ""), end)])
                 names = pa.record_batch([part.column(0)], names=["doc_id"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, names.schema) as writer:
@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_tokens
         if held:
             yield row(TOKENS, block, pack(held))
 
-    return saved(docs.select("doc_id", "text").mapInArrow(run, "file int, kind int, number long, payload binary"))
+    return saved(docs.select("doc_id", "text").mapInArrow(released(run), "file int, kind int, number long, payload binary"))
 
 
 def _scanned(end_id: int):

@@ -7,14 +7,18 @@ that is the same as runs of such characters. Hashes are 64-bit, deterministic an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 21
-PIECE_BYTES = 1 << 19
+PIECE_SPANS = 1 << 16
+LONG_SPAN = 1 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -22,6 +26,8 @@ SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: The low 0 to 8 bytes of a 64-bit value.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,44 +42,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    up = down = np.ones(1, dtype=np.uint64)
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_Powers.up) < n:
-        with np.errstate(over="ignore"):
-            _Powers.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
-            _Powers.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
-    return _Powers.up, _Powers.down
+    """Powers of the base and of its inverse modulo 2**64, n of each."""
+    with np.errstate(over="ignore"):
+        up, down = (np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), x)]) for x in (_BASE, _INVERSE))
+        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for spans sorted by start; temporaries are bounded by PIECE_BYTES values and
-    the longest span."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[start:end] of each span: every eight bytes are folded in by a bijective mix, so spans of
+    one length up to eight bytes never collide, and no algebra of texts makes longer ones collide."""
     out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE_BYTES)))
-        first, last = int(starts[at]), int(ends[at:to].max())
-        up, down = powers(last - first + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(last - first + 1, dtype=np.uint64)
-            np.cumsum((values[first:last].astype(np.uint64) + np.uint64(1)) * up[: last - first], out=total[1:])
-            s, e = starts[at:to] - first, ends[at:to] - first
-            out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    for at in range(0, len(starts), PIECE_SPANS):
+        s, n = starts[at : at + PIECE_SPANS], (ends - starts)[at : at + PIECE_SPANS]
+        h = mix(n.astype(np.uint64))
+        short = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+        done = 0
+        while len(short):
+            left = n[short] - done
+            h[short] = mix(h[short] ^ (eight[s[short] + done] & _LOW_BYTES[np.minimum(left, 8)])) + np.uint64(done)
+            short, done = short[left > 8], done + 8
+        for i in np.flatnonzero(n > LONG_SPAN).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : s[i] + n[i]], digest_size=8).digest(), "little")
+        out[at : at + PIECE_SPANS] = h
     return out
 
 
+@functools.cache
+def _factors(n: int) -> list[np.uint64]:
+    return list(mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE) | np.uint64(1))
+
+
 def chain(h: np.ndarray, n: int) -> np.ndarray:
-    """Order-dependent hash of each n consecutive values; len(h) - n + 1 of them."""
+    """Order-dependent hash of each n consecutive values; len(h) - n + 1 of them. Every place has a factor of its own."""
     count = max(0, len(h) - n + 1)
     with np.errstate(over="ignore"):
         x = np.full(count, n, dtype=np.uint64)
-        for i in range(n):
-            x = x * _BASE + h[i : i + count]
+        for i, factor in enumerate(_factors(n)):
+            x += h[i : i + count] * factor
     return mix(x)
 
 
@@ -108,8 +116,8 @@ class WordBlock:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
-def word_blocks(texts: pa.Array, lower: bool = False, separators: np.ndarray = SEPARATORS, limit: int = BLOCK_BYTES) -> Iterator[WordBlock]:
-    """Blocks of about limit bytes; null texts count as empty."""
+def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, text bounds in them, number of the first text) of blocks of about limit bytes; null texts count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -120,6 +128,32 @@ def word_blocks(texts: pa.Array, lower: bool = False, separators: np.ndarray = S
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        part = data[offsets[at] : offsets[to]]
-        yield WordBlock(LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at], at, separators)
+        yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at
         at = to
+
+
+def word_blocks(texts: pa.Array, lower: bool = False, separators: np.ndarray = SEPARATORS, limit: int = BLOCK_BYTES) -> Iterator[WordBlock]:
+    """The blocks of texts with their words."""
+    for part, bounds, at in text_blocks(texts, limit):
+        yield WordBlock(LOWER[part] if lower else part, bounds, at, separators)
+
+
+def released(run: Callable) -> Callable:
+    """The Arrow function run; after its last batch the worker gives freed memory back to the system."""
+
+    @functools.wraps(run)
+    def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return with_release
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -6,12 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventpulse.llm import bpe, html_text, licenses, packing, quality, secrets, token_counts
+from eventpulse.llm import bpe, byte_bpe, html_text, licenses, packing, quality, secrets, token_counts
+from eventpulse.llm.wordblocks import word_blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,6 +125,32 @@ def test_bpe_equals_the_library(documents):
     same(found, [(r["doc_id"], *expected(r["text"] or "")) for r in documents.collect()])
 
 
+def test_byte_bpe_equals_the_library():
+    library = Tokenizer.from_file(BYTE)
+    rng = np.random.default_rng(4)
+    bits = ["a", "B", "é", "’s", "'s", "don't", " ", "  ", "\n", "\r\n", "\xa0", "\u3000", "\x85", "\x1c", "<|endoftext|>", "<|", "12", ".", "?!", "—", "漢", "\u0301", "🙂", "\x00", "_"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(5000)] + ["ab" * 20_000, " " * 20_000, "", "é" * 5000]
+    texts += [f"a{chr(c)} {chr(c)}{chr(c)} 1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x30000 or c % 64 == 0)]
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        encoded, slow = byte_bpe.byte_bpe_encoder(BYTE, as_text), byte_bpe._by_library(BYTE, as_text)
+        expected = [byte_bpe.as_bytes(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [encoded(t) for t in texts] == expected and [slow(t) for t in texts[:50]] == expected[:50]
+
+
+def test_word_hashes_do_not_collide():
+    pair = ["", ""]
+    for i in range(2048):
+        for k in (0, 1):
+            pair[k] += "ab"[(i.bit_count() + k) % 2]
+    rng = np.random.default_rng(5)
+    words = [*pair, pair[0][:1024], pair[1][:1024], *{rng.bytes(n).hex() for n in range(1, 600)}]
+    block = next(word_blocks(pa.array([" ".join(words)])))
+    assert len(set(block.word_hashes().tolist())) == len(set(words)) == len(words)
+    again = next(word_blocks(pa.array(["x y", " ".join(reversed(words))])))
+    assert again.word_hashes().tolist()[2:] == block.word_hashes().tolist()[::-1]
+
+
 def test_packing(documents):
     library, expected = Tokenizer.from_file(BYTE), []
     for r in documents.collect():
