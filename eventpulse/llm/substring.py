@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import shuffle_partitions
-from .wordblocks import chain, mix, powers, word_blocks
+from .wordblocks import chain, mix, powers, release, released, word_blocks
 
 COUNT_SCHEMA = "bucket int, hashes binary, docs binary, counts binary, ordinals binary"
 KEY_SCHEMA = "key long, strings long"
@@ -95,7 +95,7 @@ def _strings_by_key(window: int, core: int):
                     key, strings = np.unique(key[unique], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(strings.astype(np.int64))], names=["key", "strings"])
 
-    return run
+    return released(run)
 
 
 def _hot_keys(texts: DataFrame, window: int, core: int, hot: int) -> np.ndarray:
@@ -131,7 +131,7 @@ def _minimisers(window: int, core: int, n_buckets: int, hot: np.ndarray):
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["bucket", "hashes", "docs", "counts", "ordinals"])
 
-    return run
+    return released(run)
 
 
 def _flagged(table: pa.Table) -> pa.Table:
@@ -171,7 +171,7 @@ def _dealt(window: int, core: int, n_buckets: int, at: dict[str, int]):
                 content = _contents(key, first, count, words, window)
                 yield _packed(block, content, key, first, first, count, count + window - 1, words, n_buckets, ids, hashes, missing)
 
-    return run
+    return released(run)
 
 
 def _dealt_windows(window: int, core: int, n_buckets: int, hot: np.ndarray):
@@ -191,7 +191,7 @@ def _dealt_windows(window: int, core: int, n_buckets: int, hot: np.ndarray):
                     ones = np.ones(len(at), np.int64)
                     yield _packed(block, both[:, 0] ^ mix(both[:, 1]), both[:, 0], at, 2 * np.arange(len(at)), ones, 2 * ones, both.reshape(-1), n_buckets, ids, hashes, missing)
 
-    return run
+    return released(run)
 
 
 def _packed(block, content, key, first, packed_at, count, length, words, n_buckets, ids, hashes, missing) -> pa.RecordBatch:
@@ -253,6 +253,11 @@ def _counted(window: int, span: int):
     """Bucket rows to the ranges of repeated windows of packed words; a window stands for span words of its document."""
 
     def run(table: pa.Table) -> pa.Table:
+        out = counted(table)
+        release()
+        return out
+
+    def counted(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         counts, places, docs, starts, words, unknown = ([] for _ in range(6))
         for row in zip(*(table.column(c).to_pylist() for c in ("counts", "places", "docs", "starts", "words", "unknown")), strict=True):
@@ -323,7 +328,7 @@ def _cut(keep: list[str], at: dict[str, int], as_text: bool):
                 [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(last, pa.string())], names=[*keep, "n_words", "n_removed", out]
             )
 
-    return run, f"n_words long, n_removed long, {out} string"
+    return released(run), f"n_words long, n_removed long, {out} string"
 
 
 def substring_dedup(docs: DataFrame, keep: list[str], window: int = 35, core: int = 5, as_text: bool = False, hot: int = 1 << 15) -> DataFrame:

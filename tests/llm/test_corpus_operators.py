@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 
 from eventpulse.llm.components import connected_components
-from eventpulse.llm.jaccard_join import jaccard_components
+from eventpulse.llm.jaccard_join import jaccard_components, one_of_each_component
 from eventpulse.llm.neighbours import hadamard, nearest_neighbours
-from eventpulse.llm import substring
+from eventpulse.llm import jaccard_join, substring
+from eventpulse.llm.quality import quality_rules
 from eventpulse.llm.substring import _leftmost_minima, substring_dedup
 from eventpulse.llm.wordblocks import chain, word_blocks
 
@@ -63,6 +64,50 @@ def test_a_cloud_of_altered_copies(spark):
     assert sorted(found) == sorted(expected_components(rows, 4, 85))
 
 
+@pytest.mark.parametrize("by_join", [False, True])
+def test_hot_shingles_and_a_large_bitmap(spark, monkeypatch, by_join):
+    rng = np.random.default_rng(9)
+    shared = [f"s{i}" for i in range(12)]
+    rows = []
+    for i in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 50)] if i % 3 else [f"w{(i // 30) * 1000 + k}" for k in range(50)]
+        own[int(rng.integers(0, 50))] = "changed"
+        rows.append((i, " ".join(shared + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if by_join:
+        monkeypatch.setattr(jaccard_join, "MOST_BITS", 1)
+    found = [tuple(r) for r in jaccard_components(docs, hot_owners=20).collect()]
+    assert sorted(found) == sorted(expected_components(rows, 4, 85)) and len({c for _, _, c in found}) < 120
+    signed = docs.selectExpr("doc_id", "doc_id as row_hash", "text").mapInArrow(jaccard_join._signatures(4), "doc_id long, row_hash long, n_shingles long, node binary, node8 long, frequent binary, counts binary")
+    assert 8 <= len(jaccard_join._hot_tokens(signed, 100)) <= 10
+
+
+def test_frequent_tokens_are_in_the_summary():
+    rng, frequent = np.random.default_rng(1), jaccard_join._Frequent()
+    for i in range(40):
+        frequent.add(np.concatenate([rng.integers(0, 2**63, 30_000, dtype=np.uint64), np.arange(5, dtype=np.uint64).repeat(20)]))
+    assert len(frequent.tokens) <= jaccard_join.SUMMARY and set(range(5)) <= set(frequent.tokens.tolist())
+
+
+def test_one_row_of_each_component(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a"), (None, words, "b"), (None, words + " zz", "c"), (2, words, "d"), (2, "other text of five words", "e"), (2, "other text of five words", "f"), (3, None, "g"), (3, "", "h"), (4, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")
+    kept = sorted((r["doc_id"], r["text"]) for r in one_of_each_component(docs).filter("trim(text) <> ''").collect())
+    assert kept == [(1, words), (2, "other text of five words")] and one_of_each_component(docs).filter("doc_id > 2").count() == 3
+    assert one_of_each_component(docs).columns == docs.columns
+
+
+def test_words_with_one_polynomial_hash_stay_apart(spark):
+    pair = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)) for k in (0, 1)]
+    rows = [(k, " ".join(f"{w}{i}" if i % 2 else w for i in range(40))) for k, w in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard_components(docs).orderBy("doc_id").collect()] == [0, 1]
+    assert substring_dedup(docs, ["doc_id"], 6).filter("n_removed > 0").count() == 0
+    lines = spark.createDataFrame([(1, "\n".join(pair))], "doc_id long, text string").selectExpr("doc_id", "text", "'h' as source")
+    assert quality_rules(lines, ["doc_id"]).first()["n_dup_lines"] == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (7, 7), (101, 102)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
