@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventpulse.llm.jaccard_join import jaccard_components
+from eventpulse.llm.jaccard_join import one_of_each_component
 from eventpulse.llm.packing import pack_documents
 from eventpulse.llm.quality import kept_by_quality
 from eventpulse.llm.secrets import redacted, secret_spans
@@ -21,17 +21,13 @@ def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Arrow batches of whole documents are kept small from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Documents that the quality rules keep."""
     return kept_by_quality(docs, host="source", text="text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 0.8-similar texts (sets of five-word shingles): that with the smallest doc_id."""
-    found = jaccard_components(docs, width=5, percent=80)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("_first")).filter("_first is not null").select("_first")
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null")).dropDuplicates(["doc_id", "text"])
+    """One row of each group of 0.8-similar texts (sets of five-word shingles): that with the smallest doc_id."""
+    return one_of_each_component(docs, width=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +46,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of 2048."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, cached_parts=60_000)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
 STAGES = [
