@@ -35,3 +35,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def refuse_clashes(keep: list[str], own: list[str]) -> None:
+    """Columns to keep must differ from each other and from an operator's own."""
+    if clash := [c for i, c in enumerate(keep) if c.lower() in {o.lower() for o in own} or c.lower() in {k.lower() for k in keep[:i]}]:
+        raise ValueError(f"columns to keep clash with the operator's own or repeat: {', '.join(clash)}; rename them first")

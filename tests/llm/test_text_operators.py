@@ -114,6 +114,26 @@ def test_secrets_of_any_alphabet_and_inside_runs(spark):
         assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
 
 
+def test_plain_identifiers_are_no_secrets(spark):
+    plain = (
+        "Windows10ProductKeyHelp chapter12verse34Section5 com/example/App1/Main q1-2024-Results-summary 2024-01-02T12_30_45_000 IMG_20240102_123456 KubernetesClusterConfig xmlHttpRequestHandler2 "
+        "node_modules/react-dom/index sha256sum-of-the-file user12345678profile90 section0001section0001Section0001aaaa MINISTRY_OF_DEFENCE_2024 get_user_by_id_or_404_error covid19vaccination2021report "
+        "aaaaaaaaaaaaaaaaaaaaaaaa ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdefghij 12345678901234567890"
+    ).split()
+    rng = np.random.default_rng(11)
+    random = {n: ["".join(rng.choice(list(secrets.ALPHABETS["base64"][:62]), n)) for _ in range(60)] for n in (20, 40)}
+    rows = [(f"random{n}", t) for n, own in random.items() for t in own] + [("plain", t) for t in plain] + [("once", "Zk83hQ0vLx71TbWq9dRu")]
+    out = secrets.secret_spans(spark.createDataFrame([(k, f"this is {t} of the text") for k, t in rows], "kind string, text string"), ["kind"]).collect()
+    found = Counter(r["kind"] for r in out if len(r["spans"]) > len(r["base"]))
+    assert found["plain"] == 0 and found["random20"] >= 54 and found["random40"] >= 58 and found["once"] == 1, found
+    alone = spark.createDataFrame([(t, f"{t} once") for t in [*plain, None, ""]], "id string, text string")
+    assert not [r["id"] for r in secrets.secret_spans(alone, ["id"]).collect() if len(r["spans"]) > len(r["base"])]
+    masked = secrets.redacted(secrets.secret_spans(spark.createDataFrame([("a", f"x {random[40][0]} y"), ("a", f"x {random[40][0]} y")], "text2 string, text string"), ["text2", "text"], scan_twice=True), ["text2"])
+    assert [r["redacted"] for r in masked.collect()] == ["x [secret] y"] * 2
+    with pytest.raises(ValueError, match="clash"):
+        secrets.secret_spans(alone.withColumnRenamed("id", "base"), ["base"])
+
+
 def test_bpe_equals_the_library(documents):
     library = Tokenizer.from_file(WORDS)
 
