@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -251,6 +252,94 @@ def test_matching_statistics_by_brute_force():
             assert all(sequences[s][at - length : at] == text[end - length : end] for s, at in automaton.ends[state])
 
 
+LONG = "It is the text of a page that is for the test, and it has all that a reader of it wants to be told. " * 2
+RUSSIAN = "Это длинный текст на русском языке, который не имеет списка служебных слов в этой программе совсем. " * 2
+#: html and the expected text: L stands for the long paragraph.
+PAGES = {
+    "no end of head": ("<html><head><title>T</title><body><p>L</p></body></html>", "L"),
+    "nothing but a body": ("<p>L</p>", "L"),
+    "head left out": ("<title>T</title><style>p{}</style><p>L</p>", "L"),
+    "unclosed title": ("<head><title>T<meta x></head><body><p>L</p></body>", "L"),
+    "state of the body": ("<body class='no-sidebar'><p>L</p></body>", "L"),
+    "names on the body": ("<body class='has-sidebar search'><p>L</p></body>", "L"),
+    "names on the article": ("<body><nav>Menu</nav><article class='post related-work'><h1>Head</h1><p>L</p></article></body>", "Head\nL"),
+    "names above the article": ("<div class='widget-area'><article><p>L</p></article></div>", "L"),
+    "a colour": ("<div class='bg-navy'><p>L</p></div><div class='sidebar-left'>L</div>", "L"),
+    "a state of the content": ("<div class='content with-sidebar'><p>L</p></div><div id='related_posts'><p>L</p></div>", "L"),
+    "teaser": ("<div><p>L</p><p>L</p><p>L</p></div><article><p>Teaser of another</p></article>", "L\nL\nL\nTeaser of another"),
+    "teaser in a sidebar": ("<div><p>L</p></div><div class=sidebar><article><p>Teaser</p></article></div>", "L"),
+    "short paragraph with a link": ("<div><p>L</p><p>See <a href=1>the</a> page.</p><p>L</p></div>", "L\nSee the page.\nL"),
+    "another language": (f"<p>{RUSSIAN}</p><p>{RUSSIAN}</p>", f"{RUSSIAN.strip()}\n{RUSSIAN.strip()}"),
+    "self-closed svg": ("<article><p>One <svg/> two <svg><title>x</title></svg> three</p><p>L</p></article>", "One two three\nL"),
+    "form about the page": ("<form id=aspnet><div><p>L</p></div></form>", "L"),
+    "form beside": ("<article><p>L</p><form><p>Your name</p><input></form></article>", "L"),
+    "menu in the article": ("<article><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>L</p></article>", "L"),
+    "linked paragraph": ("<article><p>L</p><p><a href=1>Short and linked</a></p></article>", "L\nShort and linked"),
+    "comments": ("<article><h1>Head</h1><p>L</p><div id=comments><article class=comment><p>L L L</p></article></div></article>", "Head\nL"),
+    "comments after": ("<main><article class='post comments-open'><p>L</p></article><section class='comment-list'><p>L</p></section></main>", "L"),
+    "cookie notice": ("<div class='cookie-notice'>We use the cookies of all.</div><article><p>L</p></article>", "L"),
+    "advert in the article": ("<article><p>L</p><div class='ad-slot'>Buy it now</div><p>It is the end.</p></article>", "L\nIt is the end."),
+    "header of the article": ("<header>Site</header><article><header><h1>Head</h1></header><p>L</p><footer>By me</footer></article><footer>All rights</footer>", "Head\nL"),
+    "named header": ("<div class=header>Site name</div><div><p>L</p></div>", "L"),
+    "role main": ("<div role=navigation>Menu</div><div role=main><p>L</p></div><div role=contentinfo>Foot</div>", "L"),
+    "unclosed noscript": ("<article><noscript><p>L</p></article>", "L"),
+    "script text": ("<article><p>L</p><script>var t='</p><p>x';</script><p>&lt;b&gt; &amp;amp; &eacute;&#8212;</p></article>", "L\n<b> &amp; é—"),
+    "unclosed script": ("<article><p>L</p><script>var t='<p>x", "L"),
+    "heading between": ("<div><p>Menu of it</p><p><a href=1>L</a></p><h2>Part two</h2><p>L</p></div>", "Part two\nL"),
+    "table": ("<article><table><tr><th>A<td>B</tr></table><p>L</p></article>", "A\nB\nL"),
+    "short article": ("<div class=ad>More than the article has.</div><article><p>Tiny.</p></article>", "Tiny."),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_hand_marked_page(name):
+    page, expected = (x.replace("L", LONG.strip()) if i else re.sub(r"\bL\b", LONG, x) for i, x in enumerate(PAGES[name]))
+    assert html_text.main_text(page) == (re.sub(r"\bL\b", LONG.strip(), PAGES[name][1]))
+
+
+class ArticleText(HTMLParser):
+    """Another extractor, for the pages of the test tables: blocks of what stands in article elements."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("a", "b", "i", "em", "strong"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag not in ("a", "b", "i", "em", "strong"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.depth else ""
+
+    def text(self):
+        return "\n".join(t for t in (" ".join(b.split()) for b in self.blocks) if t)
+
+
+def test_pages_as_another_extractor_reads_them(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    same([(r["page_id"], r["text"]) for r in html_text.extract_main_text(pages, ["page_id", "url"]).collect()], [(r["page_id"], ArticleText(r["html"] or "").text()) for r in pages.collect()])
+
+
+def test_odd_pages(spark):
+    rows = [(1, None), (1, ""), (2, "<p>" + LONG * 3000 + "</p>"), (2, "<p>" + LONG * 3000 + "</p>"), (None, "<p>\x00 </p>"), (3, "<" * 5000), (4, "<p" * 5000), (5, "<div>" * 3000 + LONG + "</div>" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'x' as url", "'y' as label")
+    out = html_text.extract_main_text(pages, ["page_id", "label"]).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"], r["label"]) for r in out) == [(0, 1, "y"), (1, 0, "y"), (1, 0, "y"), (2, 3000 * len(LONG) - 1, "y"), (2, 3000 * len(LONG) - 1, "y"), (3, 0, "y"), (4, 0, "y"), (5, len(LONG) - 1, "y")]
+    assert html_text.extract_main_text(pages.limit(0), ["page_id"]).count() == 0
+    with pytest.raises(ValueError, match="clash"):
+        html_text.extract_main_text(pages.withColumnRenamed("label", "text"), ["text"])
+
+
 def test_html_main_text(spark, small):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'>We use cookies</div>"
