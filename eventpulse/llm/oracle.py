@@ -14,19 +14,36 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON a = n.doc_id GROUP BY a
 """
 
+#: Failures of the quality rules by name.
+FAILURES = {
+    "words": "n_words < 50",
+    "repeats": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "100 * n_symbols > 20 * n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "short": "word_chars < 2 * n_words",
+}
+FAILURES["any"] = " OR ".join(FAILURES.values())
+
+
+def _prior(rule: str) -> str:
+    """Mean, weight and limit of a rule's beta prior."""
+    return f"""p_{rule} AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * per, 1e-9) - 1, 1), 1e4) AS weight, greatest(3 * mean / (1 - mean + 3 * mean), 0.2) AS most
+  FROM (SELECT least(greatest(sum(k_{rule}) / sum(n), 1e-6), 1 - 1e-6) AS mean, var_pop(k_{rule} / n) AS spread, avg(1 / n) AS per FROM h)),
+v_{rule} AS (SELECT source AS s_{rule}, post - 3 * sqrt(post * (1 - post) / (total + 1)) <= most AS kept_{rule} FROM (SELECT source, n + weight AS total, (k_{rule} + mean * weight) / (n + weight) AS post, most FROM h, p_{rule}))"""
+
+
 QUALITY_RULES = f"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 tri AS (SELECT doc_id, i, a, count(*) OVER (PARTITION BY doc_id, a) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS a FROM w WHERE len(w) > 2)),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, range(3) AS r(k) WHERE c > 1 GROUP BY doc_id),
-ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-m AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+ln AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(ln.lines, 0) AS n_lines, coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN ln ON w.doc_id = ln.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS k FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean, var_pop(k / n) AS spread, avg(1 / n) AS per FROM h),
-q AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(spread - mean * (1 - mean) * per, 1e-9) - 1, 1), 1e4) AS weight FROM p),
-v AS (SELECT source, post - 3 * sqrt(post * (1 - post) / (total + 1)) <= 0.5 AS host_kept FROM (SELECT source, n + weight AS total, (k + mean * weight) / (n + weight) AS post FROM h, q))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, true) AS kept FROM b LEFT JOIN v ON b.source = v.source
+b AS (SELECT *, {", ".join(f"{f} AS f_{rule}" for rule, f in FAILURES.items())} FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER (WHERE f_{rule})::DOUBLE AS k_{rule}" for rule in FAILURES)} FROM b WHERE source IS NOT NULL GROUP BY source),
+{",".join(map(_prior, FAILURES))}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_words OR f_repeats AS base_failed, NOT f_any AND {" AND ".join(f"coalesce(kept_{rule}, true)" for rule in FAILURES)} AS kept
+FROM b {" ".join(f"LEFT JOIN v_{rule} ON source = s_{rule}" for rule in FAILURES)}
 """
 
 SUBSTRING_DEDUP = f"""

@@ -1,13 +1,14 @@
 """Quality rules with verdicts on whole hosts.
 
-Each text is measured once, in Arrow batches. A host's rule failures are summed in a grouped aggregation;
-an empirical beta prior over all hosts, fitted by moments, shrinks the rates of small hosts to the common
-one; hosts whose shrunken rate is surely over the limit are rejected, and the verdicts are joined back. The
-limit follows the fitted prior or is fixed.
+Each text is measured once, in Arrow batches. Several rules judge the measures; their failures are summed by host in a
+grouped aggregation. For each rule, and for failing any of them, an empirical beta prior over all hosts, fitted by
+moments, shrinks the hosts' rates to the common one; a host one of whose shrunken rates is surely over that rule's limit
+is rejected, and the verdicts are joined back. The limits follow the fitted priors or are fixed.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
-from .wordblocks import chain, hash_spans, mix, word_blocks
+from .storage import refuse_clashes, saved
+from .wordblocks import chain, hash_spans, mix, released, word_blocks
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURED = (*MEASURES, "n_lines")
@@ -66,6 +67,7 @@ def measure_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     """The columns of keep, and per row n_words, word_chars (code points in words), n_symbols, n_dup_lines
     (lines with a word that equal an earlier line), n_repeat_words (words covered by three-word windows
     that occur twice or more) and n_lines (lines with a word). A null text counts as empty."""
+    refuse_clashes(keep, [*MEASURED])
     source = docs.select(*dict.fromkeys([*keep, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,80 +79,79 @@ def measure_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
                 )
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema] + [f"{m} long" for m in MEASURED])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def base_failure(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def rule_failure(min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30) -> Column:
-    """base_failure, or more symbols than that share of the words, or more repeated lines than that share of the lines;
-    None leaves a rule out. word_chars has no rule: in scripts without spaces long words are no fault."""
-    failed = base_failure(min_words, max_repeat_percent)
+def failures(min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30, min_word_chars: int | None = 2) -> dict[str, Column]:
+    """Whether a text fails each rule: too few words; too many words in repeated three-word windows; more symbols than that
+    share of the words; more repeated lines than that share of the lines; fewer code points a word. None leaves a rule
+    out. Long words are no fault: scripts without spaces have them. `any` is the failure of at least one rule."""
+    out = {"words": F.col("n_words") < min_words, "repeats": 100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")}
     if max_symbol_percent is not None:
-        failed = failed | (100 * F.col("n_symbols") > max_symbol_percent * F.col("n_words"))
+        out["symbols"] = 100 * F.col("n_symbols") > max_symbol_percent * F.col("n_words")
     if max_dup_line_percent is not None:
-        failed = failed | (100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("n_lines"))
-    return failed
+        out["lines"] = 100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("n_lines")
+    if min_word_chars is not None:
+        out["short"] = F.col("word_chars") < min_word_chars * F.col("n_words")
+    return out | {"any": functools.reduce(lambda a, b: a | b, out.values())}
 
 
-def host_verdicts(measured: DataFrame, host: str, failed: Column, limit: float | None = None, certainty: float = 3.0, odds: float = 3.0, least_limit: float = 0.2) -> DataFrame:
-    """One row per non-null host: host, n_docs, n_failed, failure_rate (shrunken) and host_kept.
+def host_verdicts(measured: DataFrame, host: str, failed: dict[str, Column], limit: float | None = None, certainty: float = 3.0, odds: float = 3.0, least_limit: float = 0.2) -> DataFrame:
+    """One row per non-null host: host, n_docs, failure_rate (the shrunken rate of `any`) and host_kept.
 
-    The beta prior (a, b) matches mean and between-host variance of the rates. A host is rejected when its
-    posterior mean lies more than `certainty` posterior standard deviations above `limit`. Without a limit it is the
-    rate with `odds` times the odds of the prior's mean, or least_limit if that is more: average hosts stay.
+    A rule's beta prior (a, b) matches mean and between-host variance of the hosts' rates. A host is rejected when for some
+    rule its posterior mean lies more than `certainty` posterior standard deviations above the limit. Without a fixed limit
+    that is the rate with `odds` times the odds of the prior's mean, or least_limit if that is more: average hosts stay.
     """
-    hosts = measured.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.count_if(failed).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
+    hosts = measured.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), *[F.count_if(f).alias(f"k_{rule}") for rule, f in failed.items()])
+    share = {rule: F.col(f"k_{rule}") / F.col("n_docs") for rule in failed}
     prior = hosts.agg(
-        F.sum("n_failed").alias("k"), F.sum("n_docs").alias("n"), F.avg(rate).alias("mean_rate"), F.var_pop(rate).alias("spread"), F.avg(1 / F.col("n_docs")).alias("per_doc")
-    ).first()
-    mean = min(max((prior["k"] or 0) / max(prior["n"] or 1, 1), 1e-6), 1 - 1e-6)
-    noise = mean * (1 - mean)
-    between = max((prior["spread"] or 0) - noise * (prior["per_doc"] or 0), 1e-9)
-    weight = min(max(noise / between - 1, 1.0), 1e4)
-    if limit is None:
-        limit = max(odds * mean / (1 - mean + odds * mean), least_limit)
-    a, b = mean * weight, (1 - mean) * weight
-    alpha, total = F.col("n_failed") + F.lit(a), F.col("n_docs") + F.lit(a + b)
-    posterior = alpha / total
-    deviation = F.sqrt(posterior * (1 - posterior) / (total + 1))
-    return hosts.select(host, "n_docs", "n_failed", posterior.alias("failure_rate"), (posterior - certainty * deviation <= limit).alias("host_kept"))
-
-
-def quality_rules(
-    docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float | None = None,
-    max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30,
-) -> DataFrame:
+        F.sum("n_docs").alias("n"), F.avg(1 / F.col("n_docs")).alias("per_doc"),
+        *[F.sum(f"k_{rule}").alias(f"sum_{rule}") for rule in failed], *[F.var_pop(rate).alias(f"spread_{rule}") for rule, rate in share.items()],
+    ).first()
+    kept, rates = F.lit(True), {}
+    for rule in failed:
+        mean = min(max((prior[f"sum_{rule}"] or 0) / max(prior["n"] or 1, 1), 1e-6), 1 - 1e-6)
+        noise = mean * (1 - mean)
+        between = max((prior[f"spread_{rule}"] or 0) - noise * (prior["per_doc"] or 0), 1e-9)
+        weight = min(max(noise / between - 1, 1.0), 1e4)
+        most = max(odds * mean / (1 - mean + odds * mean), least_limit) if limit is None else limit
+        total = F.col("n_docs") + F.lit(weight)
+        rates[rule] = (F.col(f"k_{rule}") + F.lit(mean * weight)) / total
+        deviation = F.sqrt(rates[rule] * (1 - rates[rule]) / (total + 1))
+        kept = kept & (rates[rule] - certainty * deviation <= most)
+    return hosts.select(host, "n_docs", rates["any"].alias("failure_rate"), kept.alias("host_kept"))
+
+
+def quality_rules(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", host_limit: float | None = None, **limits: int | None) -> DataFrame:
     """Per row of docs: keep's columns, the measures, base_failed, failure_rate of its host and kept.
 
-    kept is false where a rule fails (rule_failure), else the host's verdict on the failures of all rules; rows
-    without a host have none and are kept. Null and empty texts fail (no words). Repeated rows count as often as they
-    occur. An empty table gives an empty result.
+    kept is false where a rule of failures(**limits) fails, else the host's verdict; rows without a host have none and are
+    kept. Null and empty texts fail (no words). Repeated rows count as often as they occur. A very long text is measured
+    whole in one task. An empty table gives an empty result. keep must not hold a result's name.
     """
-    columns = list(dict.fromkeys([*keep, host]))
-    failed = rule_failure(min_words, max_repeat_percent, max_symbol_percent, max_dup_line_percent)
-    measured = saved(measure_texts(docs, columns, text).withColumns({"base_failed": base_failure(min_words, max_repeat_percent), "_failed": failed}))
-    verdicts = host_verdicts(measured, host, F.col("_failed"), host_limit)
-    verdicts = verdicts.select(F.col(host).alias("_host"), "failure_rate", "host_kept")
-    joined = measured.join(verdicts, measured[host] == verdicts["_host"], "left")
-    kept = ~F.col("_failed") & F.coalesce("host_kept", F.lit(True))
-    return joined.select(*keep, *MEASURES, "base_failed", "failure_rate", kept.alias("kept"))
-
-
-def kept_by_quality(
-    docs: DataFrame, host: str = "source", text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, host_limit: float | None = None,
-    max_symbol_percent: int | None = 20, max_dup_line_percent: int | None = 30,
-) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with their columns. Texts are measured twice, so that only hosts and
-    failures, not texts, are written in between."""
-    columns = docs.columns
-    failed = rule_failure(min_words, max_repeat_percent, max_symbol_percent, max_dup_line_percent)
-    light = saved(measure_texts(docs.select(F.col(host).alias("_host"), F.col(text).alias("_body")), ["_host"], "_body").select("_host", failed.alias("_failed")))
-    verdicts = host_verdicts(light, "_host", F.col("_failed"), host_limit).filter(~F.col("host_kept")).select(F.col("_host").alias("_rejected"))
+    refuse_clashes(keep, [*MEASURED, "base_failed", "failure_rate", "kept", "_host", "_judged", "_failed"])
+    failed = failures(**limits)
+    base = {k: v for k, v in limits.items() if k in ("min_words", "max_repeat_percent")}
+    source = docs.select(*keep, F.col(host).alias("_host"), F.col(text).alias("_body"))
+    measured = saved(measure_texts(source, [*keep, "_host"], "_body").withColumns({"base_failed": base_failure(**base), "_failed": failed["any"]}))
+    verdicts = host_verdicts(measured, "_host", failed, host_limit).withColumnRenamed("_host", "_judged")
+    joined = measured.join(verdicts, F.col("_host") == F.col("_judged"), "left")
+    return joined.select(*keep, *MEASURES, "base_failed", "failure_rate", (~F.col("_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+
+
+def kept_by_quality(docs: DataFrame, host: str = "source", text: str = "text", host_limit: float | None = None, **limits: int | None) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with their columns, whatever these are named. Texts are measured twice, so
+    that only hosts and failures, not texts, are written in between."""
+    columns, failed = docs.columns, failures(**limits)
+    light = measure_texts(docs.select(F.col(host).alias("_host"), F.col(text).alias("_body")), ["_host"], "_body")
+    light = saved(light.select("_host", *[f.alias(rule) for rule, f in failed.items()]))
+    verdicts = host_verdicts(light, "_host", {rule: F.col(rule) for rule in failed}, host_limit).filter(~F.col("host_kept")).select(F.col("_host").alias("_rejected"))
     others = F.struct(*[c for c in columns if c != text]).alias("_row")
-    measured = measure_texts(docs.select(others, F.col(text).alias("_body")), ["_row", "_body"], "_body").filter(~failed)
-    kept = measured.join(verdicts, F.col(f"_row.{host}") == F.col("_rejected"), "left_anti")
-    return kept.select(*[F.col("_body" if c == text else f"_row.{c}").alias(c) for c in columns])
+    measured = measure_texts(docs.select(others, F.col(text).alias("_body")), ["_row", "_body"], "_body").filter(~failed["any"])
+    kept = measured.join(verdicts, F.col("_row")[host] == F.col("_rejected"), "left_anti")
+    return kept.select(*[F.col("_body").alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns])

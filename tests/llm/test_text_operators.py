@@ -69,6 +69,30 @@ def test_symbols_and_repeated_lines_fail_and_count_for_hosts(spark):
     assert kept == {i for i, t, host in rows if t == good and host != "bad"} == {r["doc_id"] for r in quality.kept_by_quality(docs).collect()}
 
 
+def test_a_host_that_fails_one_rule_goes(spark):
+    """And the SQL agrees on a table on which hosts go."""
+    import duckdb
+
+    from eventpulse.llm import oracle
+
+    good = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(8))
+    lines = "\n".join([" ".join(f"w{i}" for i in range(60))] + [f"only {i}" for i in range(3)] + ["end"] * 4)
+    short, cjk = " ".join("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), " ".join("漢字仮名交文" * 3 + str(i) for i in range(60))
+    rows = [(i, (lines, short)[i % 2] if i // 30 % 10 == 0 else (good, cjk)[i % 2], f"average{i % 30}") for i in range(6000)]
+    rows += [(7000 + i, lines if i % 20 < 9 else good, "lines") for i in range(300)] + [(8000 + i, short if i % 20 < 9 else good, "short") for i in range(300)] + [(9000 + i, good, None) for i in range(5)] + [(9100, lines, "new"), (9101, good, "new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.quality_rules(docs, ["doc_id"])
+    found = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert {i for i, kept in found.items() if kept} == {i for i, t, host in rows if t in (good, cjk) and host not in ("lines", "short")}
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    assert dict(db.execute(f"SELECT doc_id, kept FROM ({oracle.QUALITY_RULES})").fetchall()) == found
+    with pytest.raises(ValueError, match="clash"):
+        quality.quality_rules(docs.withColumnRenamed("doc_id", "n_words"), ["n_words"])
+    names = docs.withColumnsRenamed({"doc_id": "_body", "text": "_row", "source": "n_words"})
+    assert quality.kept_by_quality(names, host="n_words", text="_row").columns == names.columns
+
+
 def test_base_secrets(documents):
     def base(t):
         spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
