@@ -3,7 +3,8 @@
 Words become template word numbers in arrays; stretches whose neighbouring words never stand together in a
 template are passed over, as no long match can cross them. The rest is streamed through the automaton, which
 gives the matching statistics: the longest template substring that ends at each word. Maximal long matches are
-chained, in order, along each template; a template of which enough words are covered gives its label.
+chained along each template by a dynamic program, in the order of text and template; a template of which enough words are
+covered gives its label, unless another label's template covers more words of the same span.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licence_texts import PHRASES, TEMPLATES
-from .wordblocks import word_blocks
+from .storage import refuse_clashes
+from .wordblocks import released, word_blocks
 
 SEPARATORS = np.ones(256, dtype=bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 256)]] = False
@@ -88,6 +90,28 @@ class SuffixAutomaton:
             yield len(tokens), length, state
 
 
+def best_chain(matches: list[tuple[int, int, int]], size: int) -> tuple[int, int, int]:
+    """(covered, begin, end) of the best chain of matches (end in text, end in template, length), given by end in text.
+    Ends grow in both; where matches overlap, in text or template, words count once. From one match to the next the text
+    may go on for `size` words, so the look back is bounded."""
+    chained: list[tuple[int, int]] = []  # covered and begin of the best chain that ends with each match
+    best = (0, 0, 0)
+    for i, (end, at, length) in enumerate(matches):
+        covered, begin = length, end - length
+        for k in range(i - 1, -1, -1):
+            before, before_at, _ = matches[k]
+            if end - length - before > size:
+                break
+            if before < end and before_at < at:
+                more = chained[k][0] + min(length, end - before, at - before_at)
+                if more > covered or more == covered and chained[k][1] > begin:
+                    covered, begin = more, chained[k][1]
+        chained.append((covered, begin))
+        if covered > best[0]:
+            best = (covered, begin, end)
+    return best
+
+
 class LicenceScanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES):
         texts = [(label, phrase) for phrase, label in phrases.items()] + list(templates)
@@ -104,24 +128,26 @@ class LicenceScanner:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, at, -1)
 
-    def coverage(self, runs: list[tuple[int, list[int]]]) -> dict[int, float]:
-        """For each touched template the largest share of its words in one chain of long matches."""
-        best: dict[int, float] = {}
-        chains: dict[int, tuple[int, int, int]] = {}  # template: end in file, end in template, covered
+    def chains(self, runs: list[tuple[int, list[int]]]) -> dict[int, tuple[int, int, int]]:
+        """For each touched template its best chain of long matches: words covered, first word and end in the text. Of equal
+        chains the first counts."""
+        found: dict[int, list[tuple[int, int, int]]] = {}  # template: (end in text, end in template, length), by end in text
         for first, tokens in runs:
             for end, length, state in self.automaton.matches(tokens):
-                if length < LONG_MATCH:
-                    continue
-                for template, at in self.automaton.ends[state]:
-                    size = len(self.sequences[template])
-                    file_end, template_end, covered = chains.get(template, (-1, 0, 0))
-                    joins = file_end >= 0 and at > template_end and first + end - length - file_end <= size
-                    gain = min(length, at - template_end) if joins else length
-                    if not joins and covered > length and at <= template_end and first + end - length <= file_end + size:
-                        continue  # a repeat inside the chain's reach
-                    chains[template] = (first + end, at, (covered if joins else 0) + gain)
-                    best[template] = max(best.get(template, 0.0), chains[template][2] / size)
-        return best
+                if length >= LONG_MATCH:
+                    for template, at in self.automaton.ends[state]:
+                        found.setdefault(template, []).append((first + end, at, length))
+        return {template: best_chain(matches, len(self.sequences[template])) for template, matches in found.items()}
+
+    def labels_of(self, chains: dict[int, tuple[int, int, int]]) -> set[str]:
+        """Labels of templates covered well enough; of two whose chains share more than half of the shorter span the one with
+        fewer covered words gives way."""
+        full = [(covered, begin, end, self.labels[t]) for t, (covered, begin, end) in chains.items() if covered >= COVERED * len(self.sequences[t])]
+        return {
+            label
+            for covered, begin, end, label in full
+            if not any(other != label and more > covered and 2 * (min(end, e) - max(begin, b)) > min(end - begin, e - b) for more, b, e, other in full)
+        }
 
     def scan(self, block) -> Iterator[tuple]:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score) of each text."""
@@ -148,9 +174,9 @@ class LicenceScanner:
                     own = [first + i for i in range(len(tokens) - len(phrase) + 1) if tokens[i : i + len(phrase)] == phrase]
                     starts += own
                     base |= {label} if own else set()
-            covered = self.coverage(found[d])
-            labels = base | {self.labels[t] for t, share in covered.items() if share >= COVERED}
-            yield n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max(covered.values(), default=0.0)
+            chains = self.chains(found[d])
+            score = max((covered / len(self.sequences[t]) for t, (covered, _, _) in chains.items()), default=0.0)
+            yield n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | self.labels_of(chains))), score
 
 
 _SCANNERS: list[LicenceScanner] = []
@@ -159,8 +185,9 @@ _SCANNERS: list[LicenceScanner] = []
 def licence_scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Per row of docs: keep's columns, n_words, n_base (places of base phrases), first_word and last_word (their smallest
     and largest first word, or null), base_labels and labels (sorted, comma-joined, empty if none) and score (largest
-    covered share of a template, 0 to 1). Null and empty texts have no words; repeated rows give repeated results; an empty
-    table gives an empty result."""
+    covered share of a template, 0 to 1). Null and empty texts have no words; repeated rows give repeated results; a very
+    long text is scanned whole in one task; an empty table gives an empty result. keep must not hold a result's name."""
+    refuse_clashes(keep, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "_text"])
     source = docs.select(*keep, F.col(text).alias("_text"))
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
@@ -175,4 +202,4 @@ def licence_scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*keep, *names])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema)
-    return source.mapInArrow(run, f"{kept}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return source.mapInArrow(released(run), f"{kept}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

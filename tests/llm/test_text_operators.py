@@ -1,6 +1,7 @@
 """Per-document operators against brute force, on odd rows and on the smallest tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -261,6 +262,41 @@ def test_licence_base_places(documents):
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in found)
 
 
+def brute_chain(matches, size):
+    best = 0
+    for n in range(1, len(matches) + 1):
+        for own in itertools.combinations(matches, n):
+            if all(a[0] < b[0] and a[1] < b[1] and b[0] - b[2] - a[0] <= size for a, b in zip(own, own[1:])):
+                best = max(best, own[0][2] + sum(min(b[2], b[0] - a[0], b[1] - a[1]) for a, b in zip(own, own[1:])))
+    return best
+
+
+def test_best_chain_by_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        matches = sorted((int(e), int(a), int(n)) for e, a, n in zip(rng.integers(4, 60, 7), rng.integers(4, 25, 7), rng.integers(3, 5, 7)))
+        covered, begin, end = licenses.best_chain(matches, 12)
+        assert covered == brute_chain(matches, 12) and begin < end and covered <= end - begin
+
+
+def test_labels_of_every_template_and_of_edited_notices(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"{label} {i}", f"code {text} more code") for i, (label, text) in enumerate(licenses.TEMPLATES)]
+    for i, (label, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        if len(words) > 25:  # edited: words put in, and a stretch of a later place before it
+            words[len(words) // 2 : len(words) // 2] = ["really"]
+            rows.append((f"{label} e{i}", " ".join([*words[-6:], "and", *words])))
+    rows += [("", "the software is free of any terms and the license is the license of the software"), ("", None), ("", ""), ("", " ".join(rng.choice(licenses.TEMPLATES[2][1].split(), 400)))]
+    rows += [("gpl,lgpl", f"{dict(licenses.TEMPLATES)['gpl']} {'x ' * 60} {dict(licenses.TEMPLATES)['lgpl']}")]
+    found = licenses.licence_scan(spark.createDataFrame(rows, "own string, text string"), ["own"]).collect()
+    for r in found:
+        labels = set(r["own"].split()[0].split(",")) if r["own"] else {""}
+        assert set(r["labels"].split(",")) - {r["base_labels"]} | labels == labels and labels <= set(r["labels"].split(",")), r
+        assert r["score"] < 0.8 if labels == {""} else r["score"] >= 0.8
+    assert licenses.licence_scan(spark.createDataFrame(rows, "own string, text string").limit(0), ["own"]).count() == 0
+
+
 def test_matching_statistics_by_brute_force():
     rng = np.random.default_rng(2)
     sequences = [rng.integers(0, 4, 12).tolist() for _ in range(3)]
