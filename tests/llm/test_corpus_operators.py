@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from eventpulse.llm.components import connected_components
@@ -196,6 +197,50 @@ def test_neighbours_recall_and_scores(spark, small):
     assert nearest_neighbours(table.filter("vec_id < 5"), query_modulus=1).count() == 20
 
 
+def exact_neighbours(ids, x, k):
+    out = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[q]
+        out[int(ids[q])] = [(int(ids[i]), float(scores[i])) for i in np.lexsort((ids, -scores)) if ids[i] != ids[q]][:k]
+    return out
+
+
+@pytest.mark.parametrize("lengths", ["equal", "unequal"])
+def test_neighbours_recall_on_ten_thousand(spark, tmp_path, lengths):
+    """Vectors without clusters, the hardest case."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = (x * (rng.uniform(0.5, 1.5, size=(len(x), 1)) if lengths == "unequal" else 1)).astype(np.float32)
+    ids = np.arange(len(x))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": list(x), "query_id": ids}), str(tmp_path / "vectors.parquet"))
+    found = nearest_neighbours(spark.read.parquet(str(tmp_path / "vectors.parquet"))).toPandas()
+    expected = exact_neighbours(ids, x.astype(float), 20)
+    hits = sum(len({v for v, _ in expected[q]} & set(own["vec_id"])) for q, own in found.groupby("query_id"))
+    assert len(found) == 20 * 500 and hits >= 0.9 * len(found)
+    scores = (x[found["query_id"]].astype(float) * x[found["vec_id"]].astype(float)).sum(axis=1)
+    assert (np.abs(scores - found["score"]) < 1e-12).all()
+
+
+def test_neighbours_are_completed(spark):
+    """Opposite vectors, and queries far from one cluster, still get all or k rows; repeated ids and equal vectors are found."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 64))
+    middle = rng.normal(size=64)
+    x[1:] = middle + 0.05 * x[1:]
+    x[0] = -middle
+    x[20], x[40] = -x[21], x[21]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1, [float(v) for v in x[1]])], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(df).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    expected = exact_neighbours(np.arange(600), x, 20)
+    assert all(sorted(n for n, _, _ in own) == list(range(1, 21)) for own in found.values()) and set(found) == set(expected)
+    assert [v for _, v, _ in sorted(found[0])] == [v for v, _ in expected[0]] and [v for _, v, _ in sorted(found[20])] == [v for v, _ in expected[20]]
+    few = spark.createDataFrame([(i, [1.0 if j == i else -1.0 if i and j == 0 else 0.0 for j in range(64)]) for i in range(15)], "vec_id long, embedding array<double>")
+    assert nearest_neighbours(few, query_modulus=1).count() == 15 * 14
+
+
 def test_neighbours_of_unequal_lengths(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 16)) * rng.uniform(0.2, 3, size=(400, 1))
