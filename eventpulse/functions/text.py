@@ -27,8 +27,12 @@ def compact_spaces(c: Column | str) -> Column:
 
 
 def no_spaces(c: Column | str) -> Column:
-    """Lower case without any white space, for keyword search."""
-    return F.regexp_replace(F.lower(F.coalesce(as_column(c), F.lit(""))), f"{ANY_SPACE}+", "")
+    """Lower case without any white space, for keyword search. Texts whose only white space is ASCII are spared the
+    regular expression."""
+    low = F.lower(F.coalesce(as_column(c), F.lit("")))
+    plain = reduce(lambda x, space: F.replace(x, F.lit(space), F.lit("")), " \n\t\r\v\f", low)
+    wide = (F.octet_length(low) != F.length(low)) & low.rlike(r"[\x85\p{Z}&&[^ ]]")
+    return F.when(wide, F.regexp_replace(low, f"{ANY_SPACE}+", "")).otherwise(plain)
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -253,15 +257,15 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
 
 
-def keyword_count(c: Column | str, terms: list[str]) -> Column:
-    """Occurrences of all terms, ignoring case and spaces."""
-    text = no_spaces(c)
+def keyword_count(c: Column | str, terms: list[str], plain: bool = False) -> Column:
+    """Occurrences of all terms, ignoring case and spaces; plain tells that c is a no_spaces column already."""
+    text = as_column(c) if plain else no_spaces(c)
     return reduce(lambda a, b: a + b, [occurrences(text, t.lower().replace(" ", "")) for t in terms], F.lit(0).cast("long"))
 
 
-def matched_terms(c: Column | str, terms: list[str], aliases: dict[str, str] | None = None) -> Column:
-    """Array of the terms that the text holds, longest first, then by name; aliased, each once."""
-    text = no_spaces(c)
+def matched_terms(c: Column | str, terms: list[str], aliases: dict[str, str] | None = None, plain: bool = False) -> Column:
+    """Array of the terms that the text holds, longest first, then by name; aliased, each once; plain as in keyword_count."""
+    text = as_column(c) if plain else no_spaces(c)
     found = [F.when(F.contains(text, F.lit(t.lower().replace(" ", ""))), F.lit((aliases or {}).get(t, t))) for t in sorted(set(terms), key=lambda t: (-len(t), t))]
     return F.array_distinct(F.array_compact(F.array(*found)))
 

@@ -39,10 +39,17 @@ def parse_json_payload(df: DataFrame, payload: str, schema: str, fallbacks: dict
 
 
 def preserve_success(existing: DataFrame, fresh: DataFrame, key: str, refreshed: list[str]) -> DataFrame:
-    """fresh, but earlier successful rows stay, with the refreshed columns renewed; adds merge_mode."""
-    kept = existing.filter("status = 'success'")
-    kept = kept.select(*[F.col(c).alias(f"_{c}") for c in fresh.columns])
-    joined = fresh.join(kept, F.col(key) == F.col(f"_{key}"), "left")
-    was = F.col(f"_{key}").isNotNull()
-    return joined.select(*[(F.col(c) if c == key or c in refreshed else F.when(was, F.col(f"_{c}")).otherwise(F.col(c))).alias(c) for c in fresh.columns], F.when(was, "preserved").otherwise("fresh").alias("merge_mode"))
+    """fresh, but earlier successful rows stay, with the refreshed columns renewed; earlier rows without a fresh one stay as
+    they are. Adds merge_mode: preserved, fresh or existing_only."""
+    old = existing.select(*[F.col(c).alias(f"_{c}") for c in fresh.columns])
+    joined = fresh.withColumn("_fresh", F.lit(True)).join(old, F.col(key) == F.col(f"_{key}"), "full")
+    only = F.col("_fresh").isNull()
+    was = ~only & F.coalesce(F.col("_status") == "success", F.lit(False))
+    columns = [F.when(only | (was if c != key and c not in refreshed else F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fresh.columns]
+    return joined.select(*columns, F.when(only, "existing_only").when(was, "preserved").otherwise("fresh").alias("merge_mode"))
+
+
+def merge_counts(merged: DataFrame) -> DataFrame:
+    """Rows of each merge mode."""
+    return merged.groupBy("merge_mode").agg(F.count("*").alias("rows"))
 

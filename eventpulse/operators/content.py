@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
-from eventpulse.functions.text import keyword_count, matched_terms, occurrences
+from eventpulse.functions.text import keyword_count, matched_terms, no_spaces, occurrences
 
 
 def theme_features(df: DataFrame, text: str, themes: dict[str, list[str]], event: str, terms: list[str], noise: list[str]) -> DataFrame:
     """Per theme count and flag, event keyword count and flag, matched terms, noise flag."""
-    out = df.withColumns({f"{t}_count": keyword_count(text, words) for t, words in themes.items()})
-    out = out.withColumns({f"{t}_flag": F.col(f"{t}_count") > 0 for t in themes})
-    out = out.withColumns({"event_count": keyword_count(text, [event]), "terms": F.array_join(matched_terms(text, terms), ";"), "noise_risk": keyword_count(text, noise) > 2})
-    return out.withColumn("event_present", F.col("event_count") > 0)
+    counted = count_keywords(df, text, {f"{t}_count": words for t, words in themes.items()} | {"event_count": [event], "_noise": noise}, {"terms": terms})
+    out = counted.withColumns({f"{t}_flag": F.col(f"{t}_count") > 0 for t in themes})
+    return out.withColumns({"noise_risk": F.col("_noise") > 2, "event_present": F.col("event_count") > 0}).drop("_noise")
+
+
+def count_keywords(df: DataFrame, text: str, counts: dict[str, list[str]], found: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds counts of keywords and lists of found terms, of a text that is made plain once."""
+    lists = {name: F.array_join(matched_terms("_plain", terms, plain=True), ";") for name, terms in (found or {}).items()}
+    return df.withColumn("_plain", no_spaces(text)).withColumns({name: keyword_count("_plain", words, plain=True) for name, words in counts.items()} | lists).drop("_plain")
 
 
 def primary_theme(df: DataFrame, priority: list[str]) -> DataFrame:

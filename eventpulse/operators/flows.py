@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventpulse.functions.numbers import rounded
 
 from eventpulse.functions.text import compact_spaces, join_key
+from eventpulse.sources.files import to_geojson_features
 
 STATUSES = ("unknown", "overlap", "comfortable", "tight", "difficult")
 
@@ -105,12 +106,40 @@ def status_totals(edges: DataFrame) -> DataFrame:
     return edges.groupBy("status").agg(F.sum("transition_count").alias("transitions"), F.count("*").alias("pairs"))
 
 
+def top_pairs(edges: DataFrame, n: int) -> DataFrame:
+    """The n pairs of places with most transitions over all statuses, ties by name."""
+    pairs = edges.groupBy("origin", "destination").agg(F.sum("transition_count").alias("transitions"))
+    return pairs.orderBy(F.desc("transitions"), "origin", "destination").limit(n)
+
+
+def top_hubs(mobility: DataFrame, n: int) -> DataFrame:
+    """The n places of largest hub score, ties by name."""
+    return mobility.select("node", "hub_score", "moves").orderBy(F.desc("hub_score"), "node").limit(n)
+
+
 def timestamped_features(schedule: DataFrame) -> DataFrame:
-    """Time-ordered points with a clamped size and a band of people."""
+    """Points in order of time (a global sort by range, sessions without a time last), with a clamped size and a band of people."""
     people = F.col("reserved_people")
     return schedule.withColumns({
         "radius": F.greatest(F.lit(4.0), F.least(F.lit(24.0), 4 + people * 0.5)), "band": F.when(people >= 200, "high").when(people >= 50, "middle").when(people > 0, "low").otherwise("none"),
-    })
+    }).orderBy(F.asc_nulls_last("start_at"), "session_key")
+
+
+def timestamped_points(schedule: DataFrame, nodes: DataFrame) -> DataFrame:
+    """timestamped_features at their places' coordinates, as one Feature text a session; sessions without a place on the map go."""
+    stamped = timestamped_features(schedule).withColumn("start_at", F.date_format("start_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    placed = stamped.join(nodes.select(F.col("key").alias("place"), "lat", "lon"), "place")
+    return to_geojson_features(placed.select("session_key", "place", "start_at", "radius", "band", "reserved_people", "lat", "lon"), "lat", "lon")
+
+
+def session_positions(schedule: DataFrame) -> DataFrame:
+    """Each session with its number at its place in order of time, its place's sessions, and its start as a fraction of the
+    whole time range."""
+    ends = schedule.agg(F.min(F.unix_micros("start_at")).alias("_low"), F.max(F.unix_micros("start_at")).alias("_high"))
+    at = F.coalesce(F.try_divide((F.unix_micros("start_at") - F.col("_low")).cast("double"), (F.col("_high") - F.col("_low")).cast("double")), F.lit(0.0))
+    own = W.partitionBy("place")
+    numbered = schedule.join(F.broadcast(ends)).withColumns({"position": F.row_number().over(own.orderBy(F.asc_nulls_last("start_at"), "session_key")), "place_sessions": F.count("*").over(own), "fraction": rounded(at, 6)})
+    return numbered.drop("_low", "_high")
 
 
 def space_time_profile(schedule: DataFrame, top: int = 6) -> DataFrame:

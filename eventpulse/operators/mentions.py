@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
@@ -34,11 +35,14 @@ def collapse_by_url(mentions: DataFrame, keys: list[str], first: list[str], join
 
 
 def review_queue(df: DataFrame, keyword: str, terms: list[str], text: list[str]) -> DataFrame:
-    """Keyword flag, matched terms, manual-review flag, and an id in key order."""
+    """Keyword flag, matched terms, manual-review flag, an id in key order, and the place in its platform's queue, newest
+    first, without a date last."""
     body = F.concat_ws(" ", *text)
     out = df.withColumns({"keyword_present": F.contains(no_spaces(body), F.lit(keyword.lower().replace(" ", ""))), "matched_terms": F.array_join(matched_terms(body, terms), ";")})
     out = out.withColumn("needs_manual_review", ~F.col("keyword_present") | (F.col("matched_terms") == ""))
-    return ordinal_ids(out, ["platform", "url"], "M_", "mention_id", 5)
+    out = ordinal_ids(out, ["platform", "url"], "M_", "mention_id", 5)
+    newest = W.partitionBy("platform").orderBy(F.desc_nulls_last(F.nullif("published", F.lit(""))), "url")
+    return out.withColumn("queue_no", F.row_number().over(newest))
 
 
 def confirm_mentions(df: DataFrame, keyword: str, since: str) -> DataFrame:

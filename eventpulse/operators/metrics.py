@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
+from eventpulse.sources.files import saved
 
 COUNTS = ("reservation_count", "reservation_records", "pass_count", "one_time_count", "unknown_count", "cancellation_count", "cancellation_records", "review_count")
 
@@ -94,16 +95,15 @@ def _value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _with_scores(df: DataFrame, outs: dict[str, str], score: Column) -> DataFrame:
-    """Scores joined back: one join for all columns, over a row for each, gathered again by a row id."""
-    scored = _value_ranks(df, list(outs)).select(F.col("column").alias("_c"), F.col("value").alias("_v"), score.alias("_score"))
-    if len(outs) == 1:
-        ((column, out),) = outs.items()
-        return df.join(scored.drop("_c"), F.col(column).cast("double") == F.col("_v"), "left").withColumnRenamed("_score", out).drop("_v")
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in outs])
-    spread = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_x", F.explode(entries))
-    joined = spread.join(scored, (F.col("_x.column") == F.col("_c")) & (F.col("_x.value") == F.col("_v")), "left")
-    gathered = joined.groupBy("_id").agg(*[F.first(c).alias(c) for c in df.columns], *[F.max(F.when(F.col("_c") == c, F.col("_score"))).alias(out) for c, out in outs.items()])
-    return gathered.drop("_id")
+    """Scores joined back by the distinct values of each column. The frame and its few scores are written once, so that what
+    they come from is computed once."""
+    df = saved(df) if len(outs) > 1 else df
+    scored = _value_ranks(df, list(outs)).select("column", F.col("value").alias("_v"), score.alias("_score"))
+    scored = saved(scored) if len(outs) > 1 else scored
+    for column, out in outs.items():
+        own = scored.filter(F.col("column") == column).select("_v", F.col("_score").alias(out))
+        df = df.join(own, F.col(column).cast("double") == F.col("_v"), "left").drop("_v")
+    return df
 
 
 def midrank_scores(df: DataFrame, outs: dict[str, str]) -> DataFrame:
@@ -165,6 +165,15 @@ def alias_rollup(metrics: DataFrame, key: str, aliases: dict[str, str], counts:
     )
 
 
+def overall_profile(metrics: DataFrame, sums: dict[str, str], without: str, mean: str, statuses: dict[str, Column]) -> DataFrame:
+    """One row over all entities: their number, sums under new names, entities without a count, mean of a measure, and how
+    many meet each status."""
+    return metrics.agg(
+        F.count("*").alias("entities"), *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in sums.items()], F.count_if(F.coalesce(F.col(without), F.lit(0)) == 0).alias(f"without_{without}"),
+        rounded(F.avg(mean), 6).alias(f"mean_{mean}"), *[F.count_if(condition).alias(f"{name}_entities") for name, condition in statuses.items()],
+    )
+
+
 def value_counts(df: DataFrame, column: str, blank: str) -> DataFrame:
     """Rows per value, most frequent first, blanks under a label."""
     text = F.coalesce(F.trim(F.col(column).cast("string")), F.lit(""))

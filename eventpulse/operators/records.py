@@ -202,13 +202,20 @@ def extract_selected_text(pages: DataFrame, key: str, url: str, html: str, selec
 
 
 def enrich_hits(hits: DataFrame, items: DataFrame, owners: DataFrame, item: str, owner: str) -> DataFrame:
-    """Hits with item details and owner details, of each id the first."""
-    return hits.join(items.dropDuplicates([item]), item, "left").join(owners.dropDuplicates([owner]), owner, "left")
+    """Hits with item details and owner details, of each id the first by its other columns."""
+
+    def firsts(rows: DataFrame, key: str) -> DataFrame:
+        others = [c for c in rows.columns if c != key]
+        return rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_first")).select(key, "_first.*") if others else rows.distinct()
+
+    return hits.join(firsts(items, item), item, "left").join(firsts(owners, owner), owner, "left")
 
 
 def query_hit_counts(hits: DataFrame, queries: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """(hits with query_rank, per query hits and unique items, zero included)."""
+    """(hits with query_rank, per query hits and the distinct values of item and, where hits have them, of link and owner;
+    zero included)."""
     ranked = hits.withColumn("query_rank", F.row_number().over(W.partitionBy("query").orderBy(order)))
-    counts = hits.groupBy("query").agg(F.count("*").alias("hits"), F.count_distinct("item").alias("unique_items"))
-    return ranked, queries.join(counts, "query", "left").na.fill(0, ["hits", "unique_items"])
+    distinct = [c for c in ("item", "link", "owner") if c in hits.columns]
+    counts = hits.groupBy("query").agg(F.count("*").alias("hits"), *[F.count_distinct(c).alias(f"unique_{c}s") for c in distinct])
+    return ranked, queries.join(counts, "query", "left").na.fill(0, ["hits", *[f"unique_{c}s" for c in distinct]])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
+from eventpulse.sources.files import saved
 
 #: Rule table: from, to (None is open), label, rate.
 BANDS = [(1, 9, "1-9", 0.75), (10, 99, "10-99", 0.65), (100, None, "100+", 0.55)]
@@ -94,7 +95,9 @@ def pivot_methods(df: DataFrame, keys: list[str], methods: list[str]) -> DataFra
 
 
 def settlement_basis(df: DataFrame, keys: list[str], methods: list[str], fallback_rate: float) -> DataFrame:
-    """Per class-month: people by method, pass rate (the fallback where passes exist but no rate), history, total."""
+    """Per class-month: people by method, pass rate (the fallback where passes exist but no rate), history, total. The rows
+    are summed once, by person, and the parts are made from that table."""
+    df = saved(df.groupBy(*dict.fromkeys([*keys, "month", "owner", "venue", "class_key", "kind", "method", "person"])).agg(F.sum("people").alias("people")))
     reserved, cancelled = df.filter("kind = 'reservation'"), df.filter("kind = 'cancellation'")
     wide = pivot_methods(participation(reserved, [*keys, "method"]), keys, methods)
     usage = weighted_rate(person_usage(reserved), keys)

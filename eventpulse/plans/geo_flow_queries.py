@@ -20,6 +20,11 @@ def _nodes(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), (30.0 + (key * 7) % 25).alias("lat"), (100.0 + (key * 3) % 50).alias("lon"), key.alias("weight"))
 
 
+def _places(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("key"), (30.0 + (k * 7 % 251) / 10).alias("lat"), (100.0 + (k * 3 % 499) / 10).alias("lon"), (k % 40).alias("weight"))
+
+
 def _network(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     return n.select(F.col("n_name").alias("origin"), F.concat(F.lit("NATION_"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("destination"), (F.col("n_nationkey") * 1000.0 + 500).alias("length_m"))
@@ -41,12 +46,12 @@ def g1_haversine(spark, sf_dir):
 
 
 def g2_activity_center(spark, sf_dir):
-    out = G.activity_center(_nodes(spark, sf_dir), "weight")
+    out = G.activity_center(_places(spark, sf_dir), "weight")
     return out.select("key", rounded("center_lat", 6).alias("center_lat"), rounded("center_lon", 6).alias("center_lon"), "center_km")
 
 
 def g3_location_nodes(spark, sf_dir):
-    return G.location_nodes(_nodes(spark, sf_dir), "key").select("node_id", "key", "lat", "lon")
+    return G.location_nodes(_places(spark, sf_dir), "key").select("node_id", "key", "lat", "lon")
 
 
 def g4_distance_matrix(spark, sf_dir):
@@ -58,11 +63,11 @@ def g5_walk_minutes(spark, sf_dir):
 
 
 def g6_nearest_node(spark, sf_dir):
-    return G.nearest_node(_points(spark, sf_dir, "customer", "c_custkey"), _nodes(spark, sf_dir), cell=5.0)
+    return G.nearest_node(_points(spark, sf_dir, "customer", "c_custkey"), _places(spark, sf_dir))
 
 
 def g7_geo_coverage(spark, sf_dir):
-    return G.geo_coverage(G.nearest_node(_points(spark, sf_dir), _nodes(spark, sf_dir), cell=5.0), 300.0)
+    return G.geo_coverage(G.nearest_node(_points(spark, sf_dir), _nodes(spark, sf_dir)), 300.0)
 
 
 def g8_distance_extremes(spark, sf_dir):
@@ -135,17 +140,33 @@ def f7_node_mobility(spark, sf_dir):
 
 def f8_review_lists(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("place_in_list", F.when(F.col("doc_id") % 6 == 0, None).otherwise(F.col("n_chars")))
-    return L.review_lists(docs, "source", "place_in_list", F.substring(mask_contacts("text"), 1, 60), 5)
+    return L.review_lists(docs, "source", "place_in_list", mask_contacts("text"), 5)
 
 
 def f9_status_totals(spark, sf_dir):
     return L.status_totals(_edges(spark, sf_dir))
 
 
+def f9_top_pairs(spark, sf_dir):
+    return L.top_pairs(_edges(spark, sf_dir), 20)
+
+
+def f9_top_hubs(spark, sf_dir):
+    return L.top_hubs(L.node_mobility(_nodes(spark, sf_dir), _edges(spark, sf_dir)), 10)
+
+
+def f10_timestamped_points(spark, sf_dir):
+    return L.timestamped_points(_schedule(spark, sf_dir), _nodes(spark, sf_dir))
+
+
 def f10_timestamped_features(spark, sf_dir):
     return L.timestamped_features(_schedule(spark, sf_dir)).select("session_key", "radius", "band")
 
 
+def f11_session_positions(spark, sf_dir):
+    return L.session_positions(_schedule(spark, sf_dir)).select("session_key", "place", "position", "place_sessions", "fraction")
+
+
 def f11_space_time_profile(spark, sf_dir):
     return L.space_time_profile(_schedule(spark, sf_dir))
 
@@ -208,6 +229,9 @@ def _hav(a, b, c, d):
 _N = "nodes AS (SELECT n_name AS key, CAST(30 + (n_nationkey * 7) % 25 AS DOUBLE) AS lat, CAST(100 + (n_nationkey * 3) % 50 AS DOUBLE) AS lon, n_nationkey AS weight FROM nation)"
 
 
+_PL = "nodes AS (SELECT s_name AS key, 30.0::DOUBLE + (s_suppkey * 7 % 251)::DOUBLE / 10 AS lat, 100.0::DOUBLE + (s_suppkey * 3 % 499)::DOUBLE / 10 AS lon, s_suppkey % 40 AS weight FROM supplier)"
+
+
 def _pts(name, key):
     return f"points AS (SELECT {key} AS point, CASE WHEN {key} % 17 = 0 THEN NULL ELSE 30.0::DOUBLE + ({key} * 13 % 250)::DOUBLE / 10 END AS lat, 100.0::DOUBLE + ({key} * 17 % 480)::DOUBLE / 10 AS lon, {key} % 5 = 0 AS needs_review FROM {name})"
 
@@ -236,11 +260,11 @@ _IDS = """ids AS (SELECT p.*, coalesce(k.pid, n.pid) AS person_id FROM people p
 _MASK = r"""masked AS (SELECT record, person_id AS name, person_id, '[phone]' AS phone, CASE WHEN record % 3 = 0 THEN person_id || ' called from [phone]' ELSE 'reservation' || chr(10) || c_mktsegment || chr(10) || CAST(record AS VARCHAR) || chr(10) || person_id || chr(10) || '[phone]' || chr(10) || '2 people' END AS raw FROM ids)"""
 SQL = {
     "g1_haversine": with_views(_pts("supplier", "s_suppkey")) + f"SELECT point, round({_hav('lat', 'lon', '37.5', '127.0')}, 4) AS km FROM points",
-    "g2_activity_center": with_views(_N) + f"SELECT key, round(clat, 6) AS center_lat, round(clon, 6) AS center_lon, round({_hav('clat', 'clon', 'lat', 'lon')}, 3) AS center_km FROM nodes CROSS JOIN (SELECT sum(lat * weight) / sum(weight) AS clat, sum(lon * weight) / sum(weight) AS clon FROM nodes)",
-    "g3_location_nodes": with_views(_N) + "SELECT 'LOC_' || lpad(CAST(row_number() OVER (ORDER BY key) AS VARCHAR), 4, '0') AS node_id, key, lat, lon FROM nodes",
+    "g2_activity_center": with_views(_PL) + f"SELECT key, round(clat, 6) AS center_lat, round(clon, 6) AS center_lon, round({_hav('clat', 'clon', 'lat', 'lon')}, 3) AS center_km FROM nodes CROSS JOIN (SELECT sum(lat * weight) / sum(weight) AS clat, sum(lon * weight) / sum(weight) AS clon FROM nodes)",
+    "g3_location_nodes": with_views(_PL) + "SELECT 'LOC_' || lpad(CAST(row_number() OVER (ORDER BY key) AS VARCHAR), 4, '0') AS node_id, key, lat, lon FROM nodes",
     "g4_distance_matrix": with_views(_N, _M) + "SELECT * FROM mat",
     "g5_walk_minutes": "SELECT o_orderkey, round(floor(o_totalprice) / 80, 2) AS minutes FROM orders",
-    "g6_nearest_node": with_views(_N, _pts("customer", "c_custkey"), _NEAR) + "SELECT * FROM near",
+    "g6_nearest_node": with_views(_PL, _pts("customer", "c_custkey"), _NEAR) + "SELECT * FROM near",
     "g7_geo_coverage": with_views(_N, _pts("supplier", "s_suppkey"), _NEAR) + "SELECT count(*) AS rows, count(lat) AS with_coordinates, count(*) FILTER (WHERE needs_review) AS needs_review, count(*) FILTER (WHERE nearest_km <= 300) AS near_node FROM near",
     "g8_distance_extremes": with_views(_N, _M) + ", o AS (SELECT * FROM mat WHERE NOT same_location), s AS (SELECT round(sum(CAST(round(walk_minutes * 100) AS BIGINT))::DOUBLE / count(walk_minutes) / 100, 4) AS mean_walk, max(walk_minutes) AS longest_walk FROM o) SELECT side, origin, destination, straight_m, mean_walk, longest_walk FROM ((SELECT 'nearest' AS side, * FROM o ORDER BY straight_m, origin, destination LIMIT 5) UNION ALL (SELECT 'farthest', * FROM o ORDER BY straight_m DESC, origin, destination LIMIT 5)) CROSS JOIN s",
     "g9_bounding_box": with_views(_pts("supplier", "s_suppkey")) + "SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, round(avg(lat), 6) AS mean_lat, round(avg(lon), 6) AS mean_lon FROM points",
@@ -255,10 +279,15 @@ SQL = {
     + ", round(sum(CAST(round(avg_gap * 100) AS BIGINT) * transition_count)::DOUBLE / sum(transition_count) FILTER (WHERE avg_gap IS NOT NULL) / 100, 2) AS mean_gap FROM sp GROUP BY node) SELECT key AS node, CAST(coalesce(o, 0) AS BIGINT) AS cross_out, CAST(coalesce(i, 0) AS BIGINT) AS cross_in, CAST(coalesce(s, 0) AS BIGINT) AS self_moves, CAST(coalesce(moves, 0) AS BIGINT) AS moves, "
     + ", ".join(f"CAST(coalesce({x}_moves, 0) AS BIGINT) AS {x}_moves" for x in L.STATUSES)
     + ", coalesce(mean_gap, 0) AS mean_gap, CAST(coalesce(o + s, 0) AS BIGINT) AS outgoing, CAST(coalesce(i + s, 0) AS BIGINT) AS incoming, CAST(coalesce(o + i + 0.5 * s, 0) AS DOUBLE) AS hub_score, coalesce(round(comfortable_moves::DOUBLE / nullif(moves, 0), 4), 0) AS comfortable_share FROM nodes LEFT JOIN sums ON key = node",
-    "f8_review_lists": r"SELECT source, count(*) AS reviews, string_agg(t, ' | ' ORDER BY n) FILTER (WHERE n <= 5) AS texts FROM (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY p NULLS LAST, t) AS n FROM (SELECT source, CASE WHEN doc_id % 6 <> 0 THEN n_chars END AS p, substring(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\+?\d{2,3}[-. ]\d{3,4}[-. ]\d{4}', '[phone]', 'g'), 1, 60) AS t FROM documents) WHERE trim(t) <> '') GROUP BY source",
+    "f8_review_lists": r"SELECT source, count(*) AS reviews, string_agg(t, ' | ' ORDER BY n) FILTER (WHERE n <= 5) AS texts FROM (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY p NULLS LAST, t) AS n FROM (SELECT source, CASE WHEN doc_id % 6 <> 0 THEN n_chars END AS p, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\+?\d{2,3}[-. ]\d{3,4}[-. ]\d{4}', '[phone]', 'g') AS t FROM documents) WHERE trim(t) <> '') GROUP BY source",
     "f9_status_totals": with_views(*_MOVES, _ED) + "SELECT status, CAST(sum(transition_count) AS BIGINT) AS transitions, count(*) AS pairs FROM edges GROUP BY status",
     "f10_timestamped_features": with_views(_E, _S) + "SELECT session_key, CAST(greatest(4, least(24, 4 + reserved_people * 0.5)) AS DOUBLE) AS radius, CASE WHEN reserved_people >= 200 THEN 'high' WHEN reserved_people >= 50 THEN 'middle' WHEN reserved_people > 0 THEN 'low' ELSE 'none' END AS band FROM sched",
     "f11_space_time_profile": with_views(_E, _S) + ", p AS (SELECT *, coalesce((epoch_us(start_at) - min(epoch_us(start_at)) OVER ())::DOUBLE / (max(epoch_us(start_at)) OVER () - min(epoch_us(start_at)) OVER ()), 0) AS f, row_number() OVER (PARTITION BY place ORDER BY reserved_people DESC, session_key) AS n FROM sched) SELECT place, count(*) AS sessions, CAST(sum(reserved_people) AS BIGINT) AS people, round(min(f), 6) AS first_fraction, round(max(f), 6) AS last_fraction, string_agg(session_key, ',' ORDER BY n) FILTER (WHERE n <= 6) AS top_sessions FROM p GROUP BY place",
+    "f9_top_pairs": with_views(*_MOVES, _ED) + "SELECT origin, destination, CAST(sum(transition_count) AS BIGINT) AS transitions FROM edges GROUP BY ALL ORDER BY transitions DESC, origin, destination LIMIT 20",
+    "f9_top_hubs": with_views(*_MOVES, _ED) + ", ends AS (SELECT origin AS node, transition_count AS n, CASE WHEN origin = destination THEN 0.5 ELSE 1 END AS w FROM edges UNION ALL SELECT destination, transition_count, 1 FROM edges WHERE origin <> destination) SELECT key AS node, CAST(coalesce(sum(n * w), 0) AS DOUBLE) AS hub_score, CAST(coalesce(sum(n), 0) AS BIGINT) AS moves FROM nodes LEFT JOIN ends ON key = node GROUP BY key ORDER BY hub_score DESC, node LIMIT 10",
+    "f10_timestamped_points": with_views(_N, _E, _S) + """SELECT session_key, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ']},"properties":{"session_key":"' || session_key || '","place":"' || place || '","start_at":' || coalesce('"' || strftime(start_at, '%Y-%m-%dT%H:%M:%S') || '"', 'null')
+  || ',"radius":' || CAST(CAST(greatest(4, least(24, 4 + reserved_people * 0.5)) AS DOUBLE) AS VARCHAR) || ',"band":"' || CASE WHEN reserved_people >= 200 THEN 'high' WHEN reserved_people >= 50 THEN 'middle' WHEN reserved_people > 0 THEN 'low' ELSE 'none' END || '","reserved_people":' || CAST(reserved_people AS VARCHAR) || '}}' AS feature FROM sched JOIN nodes ON place = key""",
+    "f11_session_positions": with_views(_E, _S) + "SELECT session_key, place, row_number() OVER (PARTITION BY place ORDER BY start_at NULLS LAST, session_key) AS position, count(*) OVER (PARTITION BY place) AS place_sessions, round(coalesce((epoch_us(start_at) - min(epoch_us(start_at)) OVER ())::DOUBLE / (max(epoch_us(start_at)) OVER () - min(epoch_us(start_at)) OVER ()), 0), 6) AS fraction FROM sched",
     "f12_top_flows": with_views(*_MOVES, _ED) + "SELECT origin, destination, status, transition_count FROM edges WHERE origin <> destination AND origin IN (SELECT key FROM nodes) AND destination IN (SELECT key FROM nodes) ORDER BY transition_count DESC, origin, destination, status LIMIT 80",
     "d1_stable_ids": with_views(_PEOPLE, _IDS) + "SELECT record, name, person_id FROM ids",
     "d2_mask_record": with_views(_PEOPLE, _IDS, _MASK) + "SELECT record, name, phone, raw FROM masked",

@@ -118,7 +118,7 @@ def r16_enrich_hits(spark, sf_dir):
 
 
 def r17_query_hit_counts(spark, sf_dir):
-    hits = table(spark, sf_dir, "conversations").select(F.col("role").alias("query"), (F.col("conv_id") % 50).alias("item"), F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("ord"))
+    hits = table(spark, sf_dir, "conversations").select(F.col("role").alias("query"), (F.col("conv_id") % 50).alias("item"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("link"), (F.col("conv_id") % 7).alias("owner"), F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("ord"))
     queries = hits.select("query").distinct().unionByName(spark.createDataFrame([("nobody",)], "query string"))
     return R.query_hit_counts(hits, queries, "ord")[1]
 
@@ -168,7 +168,7 @@ def j5_exact_then_fuzzy(spark, sf_dir):
 
 def j6_compare_by_slot(spark, sf_dir):
     left = _altered(spark, sf_dir).select("p_partkey", F.col("typed").alias("title"), F.col("p_size").cast("long").alias("value"), "p_brand", (F.col("p_partkey") % 40).alias("slot"))
-    right = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 15 == 0, None).otherwise(F.col("p_size")).cast("long").alias("value"), "p_brand", (F.col("p_partkey") % 40).alias("slot"))
+    right = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 15 == 0, None).otherwise(F.col("p_size")).cast("long").alias("value"), "p_brand", (F.col("p_partkey") % 40).alias("slot"))
     return J.compare_by_slot(left, right, "p_partkey", ["p_brand", "slot"]).select("p_partkey", "found", "compare_status", "difference")
 
 
@@ -180,7 +180,7 @@ def j7_containment_match(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") % 60).alias("class_key"), F.col("role").alias("status"), F.substring("text", 1, 80).alias("evidence"))
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") % 60).alias("class_key"), F.col("role").alias("status"), F.col("text").alias("evidence"))
 
 
 def j8_pick_best_evidence(spark, sf_dir):
@@ -274,6 +274,11 @@ def s7_geojson_features(spark, sf_dir):
     return S.to_geojson_features(s, "lat", "lon")
 
 
+def s7_feature_collection(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") / 10).alias("lat"), (F.col("s_suppkey") / 4).alias("lon"))
+    return S.feature_collection(S.to_geojson_features(s, "lat", "lon"), "s_nationkey")
+
+
 def s8_register_tables(spark, sf_dir):
     S.register_tables(spark, sf_dir, ["nation", "region"], ["no_such_table"])
     return spark.sql("SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -299,7 +304,7 @@ def _ed(a, b):
     return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100 ELSE round((greatest(length({a}), length({b})) - levenshtein({a}, {b}))::DOUBLE / greatest(length({a}), length({b})) * 100, 2) END"
 
 
-_EV = "ev AS (SELECT conv_id % 60 AS class_key, role AS status, substring(text, 1, 80) AS evidence FROM conversations)"
+_EV = "ev AS (SELECT conv_id % 60 AS class_key, role AS status, text AS evidence FROM conversations)"
 _BEST = "best AS (SELECT class_key, arg_min((status, evidence), (CASE status WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 99 END, -length(evidence), evidence)) AS b FROM ev WHERE class_key IN (SELECT doc_id % {m} FROM labels) GROUP BY class_key)"
 _CAP = """cap AS (SELECT doc_id, 'user' || CAST(doc_id AS VARCHAR) AS reviewer, CASE WHEN doc_id % 5 <> 0 THEN '2026-05-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE '' END AS review_date, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 9 + 1 AS BIGINT) END AS visit_count, CAST(doc_id % 5 + 1 AS DOUBLE) AS overall_rating, 4.5::DOUBLE AS teaching_rating, CAST(NULL AS DOUBLE) AS place_rating,
   CASE doc_id % 3 WHEN 0 THEN 'Flow' WHEN 1 THEN 'Hall' ELSE '' END AS class_title, CASE WHEN doc_id % 4 <> 0 THEN '5 times pass' ELSE '' END AS ticket FROM documents)"""
@@ -318,7 +323,7 @@ SQL = {
     "r12_parse_review_text": with_views(_CAP) + "SELECT *, concat_ws(';', CASE WHEN review_date = '' THEN 'review_date' END, CASE WHEN visit_count IS NULL THEN 'visit_count' END, 'place_rating', CASE WHEN class_title = '' THEN 'class_title' END, CASE WHEN ticket = '' THEN 'ticket' END) AS parse_warnings, true AS needs_review FROM cap",
     "r13_field_coverage": with_views(_CAP) + "SELECT 'review_date' AS field, count(*) FILTER (WHERE review_date <> '') AS filled, count(*) AS rows FROM cap UNION ALL SELECT 'class_title', count(*) FILTER (WHERE class_title <> ''), count(*) FROM cap UNION ALL SELECT 'ticket', count(*) FILTER (WHERE ticket <> ''), count(*) FROM cap UNION ALL SELECT 'place_rating', count(place_rating), count(*) FROM cap",
     "r16_enrich_hits": "SELECT doc_id, source AS owner, conv_id, turn, lang, 'owner of ' || source AS owner_name FROM (SELECT *, conv_id AS doc_id FROM conversations) LEFT JOIN documents USING (doc_id)",
-    "r17_query_hit_counts": "SELECT role AS query, count(*) AS hits, count(DISTINCT conv_id % 50) AS unique_items FROM conversations GROUP BY role UNION ALL SELECT 'nobody', 0, 0",
+    "r17_query_hit_counts": "SELECT role AS query, count(*) AS hits, count(DISTINCT conv_id % 50) AS unique_items, count(DISTINCT (conv_id, turn)) AS unique_links, count(DISTINCT conv_id % 7) AS unique_owners FROM conversations GROUP BY role UNION ALL SELECT 'nobody', 0, 0, 0, 0",
     "j1_reference_dictionary": r"WITH s AS (SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_name, 'plain', 2, '', p_name FROM part) SELECT title, source, priority, title AS title_base, label, replace(body, ' ', '') AS body_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_base_key, lower(label) AS venue_key FROM s",
     "j2_similarity": with_views(_ALT) + f"SELECT p_partkey, {_ed('typed', 'p_name')} AS edit FROM alt",
     "j3_specificity_score": f"""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS q, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '') ELSE split_part(p_name, ' ', 2) END AS r, p_partkey % 7 = 0 AS exact, p_partkey % 2 = 0 AS label, p_partkey % 5 = 0 AS other FROM part),
@@ -327,7 +332,7 @@ SQL = {
   SELECT p_partkey, CASE WHEN exact THEN 101 WHEN same AND NOT other AND label THEN 100.5 WHEN same AND NOT other THEN 100 WHEN short OR thin THEN least(s1, 89) ELSE s1 END::DOUBLE AS match_score, CASE WHEN exact THEN 'exact_full_key' WHEN same AND NOT other AND label THEN 'exact_body_and_label' WHEN same AND NOT other THEN 'exact_body_key'
   ELSE concat_ws('+', CASE WHEN same AND other THEN 'exact_body_key+venue_mismatch' ELSE 'similarity' END, CASE WHEN inside THEN 'query_contained' WHEN around THEN 'reference_contained' END, CASE WHEN other THEN 'venue_penalty' END, CASE WHEN short THEN 'short_generic' WHEN thin THEN 'coverage' END) END AS match_method FROM d""",
     "j5_exact_then_fuzzy": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS key, CASE WHEN p_partkey % 50 = 1 THEN 'none' ELSE p_brand END AS block FROM alt), r AS (SELECT DISTINCT p_name AS key, p_brand AS block FROM part WHERE p_name <> 'red bolt'), f AS (SELECT p_partkey, arg_min(rk, (-s, rk)) AS found, max(s) AS score FROM (SELECT p_partkey, r.key AS rk, {_ed('l.key', 'r.key')} AS s FROM l JOIN r ON l.block = r.block WHERE l.key NOT IN (SELECT key FROM r)) GROUP BY p_partkey) SELECT p_partkey, CASE WHEN l.key IN (SELECT key FROM r) THEN l.key ELSE coalesce(found, '') END AS found, CASE WHEN l.key IN (SELECT key FROM r) THEN 100 ELSE coalesce(score, 0) END::DOUBLE AS score, CASE WHEN l.key IN (SELECT key FROM r) THEN 'exact_normalized' WHEN found IS NULL THEN 'no_candidate_in_block' WHEN score >= 88 THEN 'fuzzy_same_studio' ELSE 'needs_review' END AS match_status FROM l LEFT JOIN f USING (p_partkey)",
-    "j6_compare_by_slot": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS title, CAST(p_size AS BIGINT) AS value, p_brand, p_partkey % 40 AS slot FROM alt), r AS (SELECT p_name AS title, CASE WHEN p_partkey % 15 <> 0 THEN CAST(p_size AS BIGINT) END AS value, p_brand, p_partkey % 40 AS slot FROM part WHERE p_partkey % 3 = 0), f AS (SELECT p_partkey, arg_min((rt, rv), (-s, rt, coalesce(rv, -1))) AS b, max(s) AS score FROM (SELECT p_partkey, r.title AS rt, r.value AS rv, {_ed('lower(l.title)', 'lower(r.title)')} AS s FROM l JOIN r ON l.p_brand = r.p_brand AND l.slot = r.slot) GROUP BY p_partkey) SELECT p_partkey, b[1] AS found, CASE WHEN b IS NULL THEN 'no_candidate' WHEN score < 70 THEN 'low_confidence' WHEN b[2] IS NULL THEN 'missing_value' WHEN b[2] = value THEN 'same' ELSE 'different' END AS compare_status, CASE WHEN score >= 70 THEN b[2] - value END AS difference FROM l LEFT JOIN f USING (p_partkey)",
+    "j6_compare_by_slot": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS title, CAST(p_size AS BIGINT) AS value, p_brand, p_partkey % 40 AS slot FROM alt), r AS (SELECT p_name AS title, CASE WHEN p_partkey % 15 <> 0 THEN CAST(p_size AS BIGINT) END AS value, p_brand, p_partkey % 40 AS slot FROM part), f AS (SELECT p_partkey, arg_min((rt, rv), (-s, rt, coalesce(rv, -1))) AS b, max(s) AS score FROM (SELECT p_partkey, r.title AS rt, r.value AS rv, {_ed('lower(l.title)', 'lower(r.title)')} AS s FROM l JOIN r ON l.p_brand = r.p_brand AND l.slot = r.slot) GROUP BY p_partkey) SELECT p_partkey, b[1] AS found, CASE WHEN b IS NULL THEN 'no_candidate' WHEN score < 70 THEN 'low_confidence' WHEN b[2] IS NULL THEN 'missing_value' WHEN b[2] = value THEN 'same' ELSE 'different' END AS compare_status, CASE WHEN score >= 70 THEN b[2] - value END AS difference FROM l LEFT JOIN f USING (p_partkey)",
     "j7_containment_match": "WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'meetatstreet' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0') WHEN 1 THEN 'hall' || CAST(c_custkey % 40 AS VARCHAR) ELSE 'nowhere' END AS s FROM customer), f AS (SELECT n_nationkey AS o, n_name AS node_key, 'street' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS form, 100 AS hint FROM nation UNION ALL SELECT n_nationkey, n_name, 'hall' || CAST(n_nationkey AS VARCHAR), 85 FROM nation), b AS (SELECT c_custkey, arg_min((node_key, hint), (-hint, o)) AS b FROM t JOIN f ON contains(s, form) OR contains(form, s) GROUP BY c_custkey) SELECT c_custkey, b[1] AS node_key, b[2] AS hint, CASE WHEN b IS NULL THEN 'unmatched' WHEN b[2] = 100 THEN 'address' ELSE 'name' END AS match_status FROM t LEFT JOIN b USING (c_custkey)",
     "j8_pick_best_evidence": with_views(_EV, _BEST.format(m=45)) + "SELECT class_key, b[1] AS status, b[2] AS evidence FROM best",
     "j9_add_missing_keys": with_views(_EV, _BEST.format(m=90)) + "SELECT class_key, b[1] AS status FROM best UNION ALL SELECT k, 'none' FROM (SELECT DISTINCT doc_id % 90 AS k FROM labels) WHERE k NOT IN (SELECT class_key FROM best)",
@@ -343,6 +348,7 @@ SQL = {
     "s5_attach_companion_text": "SELECT stem, row_number() OVER (PARTITION BY lang ORDER BY stem) AS order_no, coalesce(length(t), 0) AS companion_chars, coalesce(t, '') = '' AS companion_missing FROM (SELECT lang, printf('doc_%08d', doc_id) AS stem, c.text AS t FROM documents LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) c ON doc_id = conv_id)",
     "s6_write_table": "SELECT * FROM supplier",
     "s7_geojson_features": """SELECT s_suppkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(s_suppkey::DOUBLE / 4 AS VARCHAR) || ',' || CAST(s_suppkey::DOUBLE / 10 AS VARCHAR) || ']},"properties":{"s_suppkey":' || CAST(s_suppkey AS VARCHAR) || ',"name":' || CASE WHEN s_suppkey % 2 = 0 THEN 'null' ELSE '"' || s_name || '"' END || '}}' AS feature FROM supplier WHERE s_suppkey % 9 <> 0""",
+    "s7_feature_collection": """SELECT s_nationkey, '{"type":"FeatureCollection","features":[' || string_agg(f, ',' ORDER BY f) || ']}' AS collection FROM (SELECT s_nationkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(s_suppkey::DOUBLE / 4 AS VARCHAR) || ',' || CAST(s_suppkey::DOUBLE / 10 AS VARCHAR) || ']},"properties":{"s_nationkey":' || CAST(s_nationkey AS VARCHAR) || ',"s_suppkey":' || CAST(s_suppkey AS VARCHAR) || '}}' AS f FROM supplier) GROUP BY s_nationkey""",
     "s8_register_tables": "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "s9_table_row_counts": "SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS row_count UNION ALL SELECT 'customer', (SELECT count(*) FROM customer) UNION ALL SELECT 'events', (SELECT count(*) FROM events) UNION ALL SELECT 'part', (SELECT count(*) FROM part)",
 }

@@ -23,7 +23,7 @@ THEMES = {"english": ["the", "and"], "german": ["ung", "heit"], "romance": ["que
 def _blog(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     day = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 90).cast("int")), "yyyy-MM-dd"))
-    return d.select("doc_id", F.concat(F.lit("doc:"), (F.col("doc_id") % 400).cast("string")).alias("link"), F.substring("text", 1, 40).alias("head"), F.substring("text", 41, 300).alias("body"), "source", day.alias("day"), "lang", "n_chars", F.when(F.col("doc_id") % 5 == 0, "n/a").otherwise((F.col("doc_id") % 50).cast("string")).alias("like_text"))
+    return d.select("doc_id", F.concat(F.lit("doc:"), (F.col("doc_id") % 400).cast("string")).alias("link"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"), F.col("text").alias("body"), "source", day.alias("day"), "lang", "n_chars", F.when(F.col("doc_id") % 5 == 0, "n/a").otherwise((F.col("doc_id") % 50).cast("string")).alias("like_text"))
 
 
 def _united(spark, sf_dir):
@@ -55,7 +55,7 @@ def _queue(spark, sf_dir):
 
 
 def v3_review_queue(spark, sf_dir):
-    return _queue(spark, sf_dir).select("mention_id", "platform", "url", "keyword_present", "matched_terms", "needs_manual_review")
+    return _queue(spark, sf_dir).select("mention_id", "platform", "url", "keyword_present", "matched_terms", "needs_manual_review", "queue_no")
 
 
 def _confirmed(spark, sf_dir):
@@ -136,8 +136,8 @@ COUNTED = {"experience": ["with", "mit"], "detail": ["tion", "ung"], "reflection
 
 
 def _scored(spark, sf_dir):
-    docs = _themed(spark, sf_dir).withColumns({n: keyword_count("text", words) for n, words in COUNTED.items()})
-    docs = docs.withColumns({"title_event_count": keyword_count(F.substring("text", 1, 60), ["the"]), "chars": F.col("n_chars")})
+    docs = _themed(spark, sf_dir)
+    docs = B.count_keywords(docs, "text", COUNTED).withColumns({"title_event_count": keyword_count(F.split_part("text", F.lit("\n"), F.lit(1)), ["the"]), "chars": F.col("n_chars")})
     return B.post_type(B.emotion_score(B.depth_score(B.relevance_score(docs)), "text"))
 
 
@@ -203,10 +203,14 @@ def a4_parse_json_payload(spark, sf_dir):
 
 def a5_preserve_success(spark, sf_dir):
     fresh = _reviews(spark, sf_dir).select("doc_id", F.lit("new").alias("summary"), F.col("lang").alias("match_key"), F.lit("success").alias("status"))
-    existing = _reviews(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", F.lit("old").alias("summary"), F.lit("?").alias("match_key"), F.when(F.col("doc_id") % 2 == 0, "success").otherwise("error").alias("status"))
+    existing = _reviews(spark, sf_dir).select((F.col("doc_id") * 2).alias("doc_id"), F.lit("old").alias("summary"), F.lit("?").alias("match_key"), F.when(F.col("doc_id") % 3 == 0, "success").otherwise("error").alias("status"))
     return A.preserve_success(existing, fresh, "doc_id", ["match_key"])
 
 
+def a5_merge_counts(spark, sf_dir):
+    return A.merge_counts(a5_preserve_success(spark, sf_dir))
+
+
 def _manifest(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("folder", "image", "document", "video")]), (F.col("page_id") % 4 + 1).cast("int"))
@@ -284,7 +288,7 @@ def _mt(s):
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains({s}, '{t}') THEN '{t}' END" for t in sorted(TERMS, key=lambda t: (-len(t), t))) + "], lambda x: x IS NOT NULL), ';')"
 
 
-_U = """united AS (SELECT 'blog' AS platform, 'doc:' || CAST(doc_id % 400 AS VARCHAR) AS url, substring(text, 1, 40) AS title, substring(text, 41, 300) AS description, source, CASE WHEN doc_id % 13 = 0 THEN '' ELSE strftime(DATE '2026-01-01' + CAST(doc_id % 90 AS INTEGER), '%Y-%m-%d') END AS published,
+_U = """united AS (SELECT 'blog' AS platform, 'doc:' || CAST(doc_id % 400 AS VARCHAR) AS url, split_part(text, chr(10), 1) AS title, text AS description, source, CASE WHEN doc_id % 13 = 0 THEN '' ELSE strftime(DATE '2026-01-01' + CAST(doc_id % 90 AS INTEGER), '%Y-%m-%d') END AS published,
   lang AS query, CAST(doc_id AS VARCHAR) AS rank, CAST(n_chars AS VARCHAR) AS views, CASE WHEN doc_id % 5 = 0 THEN 'n/a' ELSE CAST(doc_id % 50 AS VARCHAR) END AS likes FROM documents
   UNION ALL SELECT 'video', url, regexp_extract(html, '<title>([^<]*)</title>', 1), '', '', '2026-02-01', 'all', CAST(page_id AS VARCHAR), '', '' FROM pages)"""
 _C = "collapsed AS (SELECT platform, url, " + ", ".join(f"coalesce(arg_min({c}, o) FILTER (WHERE trim({c}) <> ''), '') AS {c}" for c in ("title", "description", "source", "published", "views", "likes")) + """,
@@ -306,7 +310,7 @@ def _ar(x):
 
 
 _TH = "themed AS (SELECT *, CASE WHEN greatest(" + ", ".join(f"{t}_count" for t in THEMES) + ") = 0 THEN 'unclear' ELSE " + "CASE greatest(" + ", ".join(f"{t}_count" for t in THEMES) + ") WHEN german_count THEN 'german' WHEN english_count THEN 'english' WHEN latin_count THEN 'latin' ELSE 'romance' END END AS primary_theme, event_count > 0 AS event_present FROM (SELECT *, " + ", ".join(f"CAST({_kw(w)} AS BIGINT) AS {t}_count" for t, w in THEMES.items()) + f", CAST({_kw(['and the'])} AS BIGINT) AS event_count, {_mt('s')} AS terms, {_kw(['||', '%%%'])} > 2 AS noise_risk FROM (SELECT *, {_ns('text')} AS s FROM documents)))"
-_SC = "counted AS (SELECT *, " + ", ".join(f"CAST({_kw(w)} AS BIGINT) AS {n}" for n, w in COUNTED.items()) + f", CAST({_kw(['the'], _ns('substring(text, 1, 60)'))} AS BIGINT) AS title_event_count, n_chars AS chars, CASE WHEN terms = '' THEN 0 ELSE len(string_split(terms, ';')) END AS nt FROM themed)" + """,
+_SC = "counted AS (SELECT *, " + ", ".join(f"CAST({_kw(w)} AS BIGINT) AS {n}" for n, w in COUNTED.items()) + f", CAST({_kw(['the'], _ns('split_part(text, chr(10), 1)'))} AS BIGINT) AS title_event_count, n_chars AS chars, CASE WHEN terms = '' THEN 0 ELSE len(string_split(terms, ';')) END AS nt FROM themed)" + """,
 s1 AS (SELECT *, CAST(greatest(0, least(100, CASE WHEN event_count > 0 THEN r ELSE least(r, 45) END)) AS BIGINT) AS relevance, CAST(greatest(0, least(100, CASE WHEN chars >= 1800 THEN 35 WHEN chars >= 1000 THEN 28 WHEN chars >= 600 THEN 20 WHEN chars >= 300 THEN 12 WHEN chars > 0 THEN 5 ELSE 0 END + least(experience * 4, 25) + least(detail * 2, 20) + least(reflection * 3, 15) + least(nt * 3, 10))) AS BIGINT) AS depth,
   CAST(greatest(0, least(100, least(positive * 4, 45) + least(negative * 3, 20) + least(reflection * 2, 20) + least((length(text) - length(replace(text, '!', ''))) * 3, 15))) AS BIGINT) AS emotion FROM (SELECT *, CASE WHEN event_count > 0 THEN 45 ELSE 0 END + least(event_count, 6) * 5 + CASE WHEN title_event_count > 0 THEN 15 ELSE 0 END + least(nt, 4) * 4 + CASE WHEN chars >= 600 THEN 10 ELSE 0 END + least(experience, 5) * 2 - CASE WHEN mixed >= 5 AND event_count <= 1 THEN 15 ELSE 0 END AS r FROM counted)),
 s2 AS (SELECT *, CASE WHEN event_count >= 2 AND relevance >= 70 THEN 'confirmed_body_strong' WHEN event_count > 0 AND relevance >= 55 THEN 'confirmed_body_basic' WHEN event_count > 0 THEN 'confirmed_body_weak' WHEN title_event_count >= 1 THEN 'needs_review_title_only' ELSE 'needs_review_no_body_event_keyword' END AS relevance_level,
@@ -316,6 +320,8 @@ scored AS (SELECT *, starts_with(relevance_level, 'needs_review') OR topic_risk
   WHEN depth >= 70 AND emotion >= 55 THEN 'immersive_participant_review' WHEN depth >= 45 AND experience >= 3 THEN 'participant_experience_review' WHEN detail >= 8 THEN 'space_or_program_overview' ELSE 'event_reference_or_light_review' END AS post_type FROM s2))"""
 _RV = "rv AS (SELECT d.doc_id, text, lang, toxic, quality, CASE WHEN d.doc_id % 31 = 0 THEN 5.1::DOUBLE ELSE quality + 4.0::DOUBLE END AS rating, CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE source END AS reviewer FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 _CONF = "CAST(greatest(0, 100 - CASE WHEN reviewer = '' THEN 20 ELSE 0 END - CASE WHEN quality IS NULL THEN 30 ELSE 0 END - CASE WHEN coalesce(toxic, 0) = 1 THEN 10 ELSE 0 END) AS DOUBLE) / 100"
+_MG = """merged AS (SELECT coalesce(d.doc_id, o.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL OR o.ok THEN 'old' ELSE 'new' END AS summary, coalesce(d.lang, '?') AS match_key, CASE WHEN d.doc_id IS NULL AND NOT o.ok THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN d.doc_id IS NULL THEN 'existing_only' WHEN o.ok THEN 'preserved' ELSE 'fresh' END AS merge_mode FROM documents d FULL JOIN (SELECT doc_id * 2 AS doc_id, doc_id % 3 = 0 AS ok FROM documents) o ON d.doc_id = o.doc_id)"""
 _MF = "mf AS (SELECT page_id, regexp_extract(url, '/(en|de|fr|es)/', 1) AS area, regexp_extract(url, '^[a-z]+://([^/]*)/', 1) AS folder, CASE page_id % 4 WHEN 0 THEN 'folder' WHEN 1 THEN 'image' WHEN 2 THEN 'document' ELSE 'video' END AS asset_type, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS local_path, CASE WHEN page_id % 7 = 0 THEN 'skipped' WHEN page_id % 11 = 0 THEN 'error' ELSE 'archived' END AS status, page_id % 5 = 0 AS sensitive FROM pages)"
 _AGG = "count(*) AS rows, count(*) FILTER (WHERE local_path <> '') AS local_copies, count(*) FILTER (WHERE asset_type = 'folder') AS folders, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE sensitive) AS sensitive, count(*) FILTER (WHERE NOT sensitive AND status = 'archived') AS publishable"
 
@@ -337,7 +343,7 @@ _SUM = "count(*) AS mentions, count(DISTINCT source) AS sources, CAST(sum(vw) AS
 SQL = {
     "v1_unify_sources": with_views(_U) + "SELECT * FROM united",
     "v2_collapse_by_url": with_views(_U, _C) + "SELECT * FROM collapsed",
-    "v3_review_queue": with_views(_U, _C, _QU) + "SELECT mention_id, platform, url, keyword_present, matched_terms, needs_manual_review FROM queue",
+    "v3_review_queue": with_views(_U, _C, _QU) + "SELECT mention_id, platform, url, keyword_present, matched_terms, needs_manual_review, row_number() OVER (PARTITION BY platform ORDER BY nullif(published, '') DESC NULLS LAST, url) AS queue_no FROM queue",
     "v4_confirm_mentions": with_views(*_V4) + "SELECT mention_id, date_status, mention_class, confidence, evidence, needs_review FROM conf",
     "v5_publish_mentions": with_views(*_V) + "SELECT 'PUB_' || lpad(CAST(dense_rank() OVER (ORDER BY platform || chr(1) || published || chr(1) || url) AS VARCHAR), 4, '0') AS mention_public_id, platform, published, title, 'SRC_' || lpad(CAST(dense_rank() OVER (ORDER BY platform || chr(1) || source) AS VARCHAR), 4, '0') AS source_id, confidence, evidence FROM kept",
     "v6_platform_summary": with_views(*_V) + f"SELECT platform, {_SUM} FROM kept GROUP BY platform",
@@ -363,7 +369,8 @@ SQL = {
     "a2_rule_record": with_views(_RV) + f"""SELECT doc_id, {_CONF} AS confidence, reviewer = '' OR quality IS NULL OR coalesce(toxic, 0) = 1 AS needs_review, '{{"calm":' || CAST(contains(text, 'the') AS VARCHAR) || ',"space":' || CAST(contains(text, 'und') AS VARCHAR) || '}}' AS tags_json, 'success' AS status, 'rules' AS mode FROM rv""",
     "a3_validate_ranges": with_views(_RV) + "SELECT doc_id, concat_ws(';', CASE WHEN reviewer = '' THEN 'reviewer:missing' END, CASE WHEN quality IS NULL THEN 'quality:missing' END, CASE WHEN rating < 0 OR rating > 5 THEN 'rating:range' END) AS failures FROM rv WHERE reviewer = '' OR quality IS NULL OR rating > 5",
     "a4_parse_json_payload": with_views(_RV) + "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) AND quality IS NOT NULL THEN CAST(quality AS DOUBLE) ELSE rating END AS rating, reviewer, doc_id % 4 IN (0, 1) AS payload_ok FROM rv",
-    "a5_preserve_success": "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'old' ELSE 'new' END AS summary, lang AS match_key, 'success' AS status, CASE WHEN doc_id % 6 = 0 THEN 'preserved' ELSE 'fresh' END AS merge_mode FROM documents",
+    "a5_preserve_success": with_views(_MG) + "SELECT * FROM merged",
+    "a5_merge_counts": with_views(_MG) + "SELECT merge_mode, count(*) AS rows FROM merged GROUP BY merge_mode",
     "k1_area_summary": with_views(_MF) + f"SELECT area, folder, {_AGG} FROM mf GROUP BY ALL",
     "k2_asset_type_summary": with_views(_MF) + f"SELECT area, asset_type, {_AGG} FROM mf GROUP BY ALL",
     "k3_opportunity_matrix": with_views(_MF) + "SELECT 'north' AS axis, 'en;de' AS areas, (SELECT count(*) FROM mf WHERE area IN ('en', 'de')) AS records UNION ALL SELECT 'south', 'fr;es', (SELECT count(*) FROM mf WHERE area IN ('fr', 'es')) UNION ALL SELECT 'none', 'xx', 0",

@@ -46,7 +46,7 @@ def _class_metrics(spark, sf_dir):
 
 def m1_display_title(spark, sf_dir):
     parts, orders = table(spark, sf_dir, "part"), bookings(spark, sf_dir)
-    return M.pick_display_title([(parts, "p_brand", "p_name", 2), (orders.filter("people > 48"), "venue", "class_title", 1)])
+    return M.pick_display_title([(parts, "p_brand", "p_name", 2), (orders, "venue", "class_title", 1)])
 
 
 def m2_conditional_counts(spark, sf_dir):
@@ -103,8 +103,8 @@ def m13_top_n(spark, sf_dir):
 
 
 def m14_overall_profile(spark, sf_dir):
-    v = _venue_metrics(spark, sf_dir)
-    return v.agg(F.count("*").alias("venues"), F.sum("reservation_count").alias("reserved"), F.sum("cancellation_count").alias("cancelled"), F.sum("review_count").alias("reviews"), F.count_if(F.col("review_count") == 0).alias("without_review"), rounded(F.avg("avg_rating"), 6).alias("mean_rating"))
+    statuses = {"cancelled_at": F.col("cancellation_count") > 0, "rated_well": F.col("avg_rating") >= 4, "unrated": F.col("avg_rating").isNull()}
+    return M.overall_profile(_venue_metrics(spark, sf_dir), {"reservation_count": "reserved", "cancellation_count": "cancelled", "review_count": "reviews"}, "review_count", "avg_rating", statuses)
 
 
 def _sessions(spark, sf_dir):
@@ -113,7 +113,7 @@ def _sessions(spark, sf_dir):
 
 
 def _capacity(spark, sf_dir):
-    return C.capacity_by_key(_sessions(spark, sf_dir), "venue")
+    return C.capacity_by_key(_sessions(spark, sf_dir), "venue", reviews(spark, sf_dir).select("venue"))
 
 
 def c1_capacity_by_key(spark, sf_dir):
@@ -251,7 +251,7 @@ _BASIS = """basis AS (SELECT w.*, coalesce(pass_rate, 0) AS pass_rate, CASE WHEN
   LEFT JOIN wrate USING (month, owner, venue, class_key) LEFT JOIN (SELECT month, owner, venue, class_key, sum(people) AS h FROM owned WHERE kind = 'cancellation' GROUP BY ALL) USING (month, owner, venue, class_key))"""
 _OWN = (BOOKINGS, _META, _OWNED)
 SQL = {
-    "m1_display_title": with_views(BOOKINGS) + "SELECT key, arg_min(title, (priority, -n, title)) AS title FROM (SELECT key, title, min(p) AS priority, count(*) AS n FROM (SELECT p_brand AS key, p_name AS title, 2 AS p FROM part UNION ALL SELECT venue, class_title, 1 FROM bookings WHERE people > 48) GROUP BY key, title) GROUP BY key",
+    "m1_display_title": with_views(BOOKINGS) + "SELECT key, arg_min(title, (priority, -n, title)) AS title FROM (SELECT key, title, min(p) AS priority, count(*) AS n FROM (SELECT p_brand AS key, p_name AS title, 2 AS p FROM part UNION ALL SELECT venue, class_title, 1 FROM bookings) GROUP BY key, title) GROUP BY key",
     "m2_conditional_counts": with_views(BOOKINGS, _COUNTS.replace("SELECT venue, CAST(sum(people) AS BIGINT) AS reservation_count", "SELECT venue, class_title, CAST(sum(people) AS BIGINT) AS reservation_count").replace("'reservation' GROUP BY venue)", "'reservation' GROUP BY venue, class_title)")) + "SELECT * FROM counts",
     "m3_review_profile": with_views(REVIEWS, _PROFILE) + "SELECT * FROM profile",
     "m4_outer_combine": with_views(*_VENUE_VIEWS[:-1]) + "SELECT venue, reservation_count, cancellation_count, review_count, avg_rating FROM venues",
@@ -264,8 +264,8 @@ SQL = {
     "m11_alias_rollup": with_views(BOOKINGS, _CLASS) + "SELECT CASE WHEN venue IN ('Brand#1', 'Brand#2') THEN 'First' WHEN venue = 'Brand#11' THEN 'Eleven' ELSE venue END AS entity, string_agg(DISTINCT venue, ', ' ORDER BY venue) AS source_keys, CAST(sum(reservation_count) AS BIGINT) AS reservation_count, CAST(sum(review_count) AS BIGINT) AS review_count, round(sum(rating * reservation_count) FILTER (WHERE rating IS NOT NULL AND reservation_count > 0) / sum(reservation_count) FILTER (WHERE rating IS NOT NULL AND reservation_count > 0), 6) AS rating FROM cl GROUP BY 1",
     "m12_value_counts": "SELECT CASE WHEN event_type = 'click' THEN 'missing' ELSE event_type END AS value, count(*) AS rows FROM events GROUP BY 1",
     "m13_top_n": with_views(*_VENUE_VIEWS, _SCORES) + "SELECT venue, reservation_score, payment_score FROM ranked ORDER BY reservation_score DESC NULLS LAST, payment_score DESC NULLS LAST, venue LIMIT 10",
-    "m14_overall_profile": with_views(*_VENUE_VIEWS) + "SELECT count(*) AS venues, CAST(sum(reservation_count) AS BIGINT) AS reserved, CAST(sum(cancellation_count) AS BIGINT) AS cancelled, CAST(sum(review_count) AS BIGINT) AS reviews, count(*) FILTER (WHERE review_count = 0) AS without_review, round(avg(avg_rating), 6) AS mean_rating FROM rated",
-    "c1_capacity_by_key": with_views(BOOKINGS, _SESSIONS) + "SELECT venue, count(*) AS sessions, CAST(sum(reserved) AS BIGINT) AS reserved_total, CAST(sum(capacity) AS BIGINT) AS capacity_total, avg(capacity) AS capacity_mean, min(capacity) AS capacity_min, max(capacity) AS capacity_max, round(avg(f), 6) AS fill_mean, round(median(f), 6) AS fill_median, count(*) FILTER (WHERE f >= 1) AS sold_out, count(*) FILTER (WHERE f >= 0.8) AS high, count(*) FILTER (WHERE f < 0.5) AS low, count(*) FILTER (WHERE reserved = 0) AS empty, min(day) AS first_day, max(day) AS last_day, round(sum(reserved)::DOUBLE / sum(capacity), 6) AS fill_weighted, round(count(*) FILTER (WHERE f >= 1)::DOUBLE / count(*), 6) AS sold_out_share, round(count(*) FILTER (WHERE f < 0.5)::DOUBLE / count(*), 6) AS low_share FROM (SELECT *, reserved::DOUBLE / nullif(capacity, 0) AS f FROM sessions) GROUP BY venue",
+    "m14_overall_profile": with_views(*_VENUE_VIEWS) + "SELECT count(*) AS entities, CAST(sum(reservation_count) AS BIGINT) AS reserved, CAST(sum(cancellation_count) AS BIGINT) AS cancelled, CAST(sum(review_count) AS BIGINT) AS reviews, count(*) FILTER (WHERE review_count = 0) AS without_review_count, round(avg(avg_rating), 6) AS mean_avg_rating, count(*) FILTER (WHERE cancellation_count > 0) AS cancelled_at_entities, count(*) FILTER (WHERE avg_rating >= 4) AS rated_well_entities, count(*) FILTER (WHERE avg_rating IS NULL) AS unrated_entities FROM rated",
+    "c1_capacity_by_key": with_views(BOOKINGS, _SESSIONS, REVIEWS) + "SELECT venue, coalesce((SELECT count(*) FROM reviews r WHERE r.venue = x.venue), 0) AS review_count, count(*) AS sessions, CAST(sum(reserved) AS BIGINT) AS reserved_total, CAST(sum(capacity) AS BIGINT) AS capacity_total, avg(capacity) AS capacity_mean, min(capacity) AS capacity_min, max(capacity) AS capacity_max, round(avg(f), 6) AS fill_mean, round(median(f), 6) AS fill_median, count(*) FILTER (WHERE f >= 1) AS sold_out, count(*) FILTER (WHERE f >= 0.8) AS high, count(*) FILTER (WHERE f < 0.5) AS low, count(*) FILTER (WHERE reserved = 0) AS empty, min(day) AS first_day, max(day) AS last_day, round(sum(reserved)::DOUBLE / sum(capacity), 6) AS fill_weighted, round(count(*) FILTER (WHERE f >= 1)::DOUBLE / count(*), 6) AS sold_out_share, round(count(*) FILTER (WHERE f < 0.5)::DOUBLE / count(*), 6) AS low_share FROM (SELECT *, reserved::DOUBLE / nullif(capacity, 0) AS f FROM sessions) x GROUP BY venue",
     "c2_segment_capacity": with_views(BOOKINGS, _SESSIONS, _SEG) + "SELECT p_partkey, segment FROM seg",
     "c3_capacity_rollup": with_views(BOOKINGS, _SESSIONS, _SEG) + "SELECT * FROM (SELECT DISTINCT p_brand AS venue FROM part) LEFT JOIN (SELECT venue, count(*) AS capacity_keys, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(reserved_total) AS BIGINT) AS reserved_total, CAST(sum(capacity_total) AS BIGINT) AS capacity_total, count(*) FILTER (WHERE segment = 'expand_or_repeat_candidate') AS expand_count, count(*) FILTER (WHERE segment = 'message_or_schedule_review') AS review_count, count(*) FILTER (WHERE segment = 'demand_development_candidate') AS develop_count, round(sum(reserved_total)::DOUBLE / sum(capacity_total), 6) AS fill_weighted FROM seg WHERE sessions IS NOT NULL AND p_partkey % 5 <> 0 GROUP BY venue) USING (venue)",
     "c4_daily_fill": with_views(BOOKINGS, _SESSIONS) + "SELECT day, count(*) AS sessions, CAST(sum(reserved) AS BIGINT) AS reserved, CAST(sum(capacity) AS BIGINT) AS capacity, round(sum(reserved)::DOUBLE / sum(capacity), 6) AS fill_rate FROM sessions GROUP BY day",

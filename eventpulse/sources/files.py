@@ -24,6 +24,14 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back, for frames with several uses: these neither
+    recompute it nor depend on executors that may be lost."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     return spark.read.options(**CSV).schema(schema).csv(path).na.fill("")
@@ -69,6 +77,13 @@ def to_geojson_features(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*others[:1], F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
+def feature_collection(features: DataFrame, by: str) -> DataFrame:
+    """(by, collection): a FeatureCollection text of each layer's features, in order of their text. A layer is one text by
+    nature; tables too large for that are written as features."""
+    layers = features.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("all"))
+    return layers.select(by, F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("collection"))
+
+
 def register_tables(spark: SparkSession, folder: str, required: list[str], optional: list[str]) -> list[str]:
     """Temporary views from Parquet; a missing required table is an error, a missing optional one is skipped."""
     done = []
@@ -76,8 +91,8 @@ def register_tables(spark: SparkSession, folder: str, required: list[str], optio
         try:
             spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
             done.append(name)
-        except AnalysisException:
-            if name in required:
+        except AnalysisException as e:
+            if name in required or "PATH_NOT_FOUND" not in str(e.getCondition()):
                 raise
     return done
 

@@ -89,7 +89,7 @@ def test_mobility_keeps_nodes_without_edges_and_counts_self_once(spark):
 def test_nearest_node_far_and_missing(spark):
     nodes = spark.createDataFrame([("n1", 10.0, 10.0), ("n2", -80.0, 170.0)], "key string, lat double, lon double")
     points = spark.createDataFrame([(1, 10.1, 10.1), (2, -79.0, -175.0), (3, None, 1.0)], "p int, lat double, lon double")
-    assert dict(values(geo.nearest_node(points, nodes, cell=1.0), "p", "nearest")) == {1: "n1", 2: "n2", 3: None}
+    assert dict(values(geo.nearest_node(points, nodes), "p", "nearest")) == {1: "n1", 2: "n2", 3: None}
     with pytest.raises(ValueError):
         geo.distance_matrix(spark.range(10_002).select(F.col("id").cast("string").alias("key"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon")), spark.createDataFrame([], "origin string, destination string, length_m double"))
 
@@ -145,3 +145,76 @@ def test_theme_tie_and_none(spark):
 def test_optional_table(spark, tmp_path):
     empty, state = files.read_optional(spark, str(tmp_path / "none"), spark.createDataFrame([], "a int").schema)
     assert state == "missing" and empty.count() == 0
+
+
+def brute_nearest(points, nodes):
+    import math
+
+    def km(a, b, c, d):
+        n, e = math.radians(c - a) / 2, math.radians(d - b) / 2
+        h = math.sin(n) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(e) ** 2
+        return 12742.0176 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    return {p: min((round(km(a, b, c, d), 6), n) for n, c, d in nodes)[1] for p, a, b in points if a is not None}
+
+
+def test_nearest_node_across_the_seam_and_at_the_poles(spark):
+    import random
+
+    from eventpulse.operators.geo import nearest_node
+
+    rng = random.Random(4)
+    nodes = [("west", 0.0, -179.9), ("east", 0.0, 172.0), ("north", 89.5, 10.0), ("south", -89.0, 100.0)] + [(f"city{i:03d}", 37.5 + rng.random() / 5, 127 + rng.random() / 5) for i in range(150)]
+    points = [(0, 0.0, 179.9), (1, 89.9, -170.0), (2, -89.9, -80.0), (3, None, 1.0), (4, 0.0, -95.0), (5, 45.0, 8.0)] + [(10 + i, 37.4 + rng.random() / 2, 126.9 + rng.random() / 2) for i in range(60)] + [(100 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)]
+    n, p = spark.createDataFrame(nodes, "key string, lat double, lon double"), spark.createDataFrame(points, "point int, lat double, lon double")
+    for cells in (None, (0.001, 0.01), (0.5,)):
+        found = {r["point"]: r["nearest"] for r in nearest_node(p, n, cells).collect()}
+        assert found == {3: None} | brute_nearest(points, nodes)
+    assert [r["nearest"] for r in nearest_node(p, n.limit(0)).collect()] == [None] * len(points)
+
+
+def test_numbers_in_many_ranges(spark, monkeypatch):
+    from eventpulse.operators import deident
+
+    monkeypatch.setattr(deident, "RANGE_ROWS", 10)
+    rows = [(f"https://one.example/{i * 7919 % 1000:04d}", i - 500) for i in range(1000)]
+    df = spark.createDataFrame(rows, "url string, n long")
+    out = deident.ordinal_ids(df, ["url"], "U_", "id").collect()
+    assert [r["id"] for r in sorted(out, key=lambda r: r["url"])] == [f"U_{i:04d}" for i in range(1, 1001)]
+    numbered = deident._numbered(df, ["n", "url"], "number").collect()
+    assert sorted((r["n"], r["number"]) for r in numbered) == [(i - 500, i + 1) for i in range(1000)]
+
+
+def test_more_references_than_a_broadcast_takes(spark):
+    from eventpulse.operators import match
+
+    names = [f"class {i:05d} of the hall" for i in range(300)]
+    references = match.reference_dictionary([(spark.createDataFrame([(n,) for n in names], "t string"), "t", "all", 1)])
+    queries = spark.createDataFrame([(names[7],), ("clas 00012 of the hall",), ("",)], "q string")
+    few, many = ({r["q"]: r["title"] for r in match.best_reference_match(queries, references, "q", [], most=most).collect()} for most in (1, 20_000))
+    assert few == many == {names[7]: names[7], "clas 00012 of the hall": names[12], "": None}
+    nodes = spark.createDataFrame([(i, f"k{i}", f"hall {i:05d}x", f"street {i:05d}") for i in range(20_001)], "node_order int, node_key string, name string, address string")
+    texts = spark.createDataFrame([(1, "Meet at Street 20000 now"), (2, "l 00007X"), (3, "xy"), (4, None)], "row int, place string")
+    assert {r["row"]: r["node_key"] for r in match.containment_match(texts, nodes, "row", "place").collect()} == {1: "k20000", 2: "k7", 3: None, 4: None}
+
+
+def test_medians_of_keys(spark):
+    from statistics import median
+
+    from eventpulse.operators.capacity import capacity_by_key
+
+    rows = [(k, i * i * 37 % 101, 100 if i % 11 else 0, "d") for k, n in (("a", 1), ("b", 2), ("c", 999), (None, 50)) for i in range(n)]
+    found = {r["key"]: r["fill_median"] for r in capacity_by_key(spark.createDataFrame(rows, "key string, reserved int, capacity int, day string"), "key").collect()}
+    expected = {k: [r / c for q, r, c, _ in rows if q == k and c] for k in ("a", "b", "c", None)}
+    assert found == {k: round(median(v), 6) if v else None for k, v in expected.items()}
+
+
+def test_earlier_rows_without_a_fresh_one_stay(spark):
+    from eventpulse.operators.checking import merge_counts, preserve_success
+
+    schema = "k int, summary string, m string, status string"
+    old = spark.createDataFrame([(1, "old", "a", "success"), (2, "old", "a", "error"), (3, "old", "a", "success"), (4, "old", "a", None)], schema)
+    new = spark.createDataFrame([(1, "new", "b", "success"), (2, "new", "b", "success"), (4, "new", "b", "success"), (5, "new", "b", "error")], schema)
+    out = preserve_success(old, new, "k", ["m"])
+    assert sorted(map(tuple, out.collect())) == [(1, "old", "b", "success", "preserved"), (2, "new", "b", "success", "fresh"), (3, "old", "a", "success", "existing_only"), (4, "new", "b", "success", "fresh"), (5, "new", "b", "error", "fresh")]
+    assert {tuple(r) for r in merge_counts(out).collect()} == {("preserved", 1), ("existing_only", 1), ("fresh", 3)}
