@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_symbols
 from .pieces import BARE_PARTS, PartCache, cache_for
+from .storage import refuse_clashes
 from .wordblocks import released
 
 NONE = np.int64(1) << 62
@@ -190,7 +191,9 @@ def _cache(path: str) -> PartCache:
 def encode_and_decode(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text") -> DataFrame:
     """Per row of docs: keep's columns, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256
     (the decoded text: tokens joined by one space, as without a decoder). Null and empty texts have no ids and decode to
-    the empty text; every row is treated by itself, whatever repeats; an empty table gives an empty result."""
+    the empty text; every row is treated by itself, whatever repeats; a very long text is encoded whole in one task; an empty
+    table gives an empty result. keep must not hold a result's name."""
+    refuse_clashes(keep, ["n_tokens", "ids_sha256", "decoded_sha256", "_text"])
     source = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,8 +126,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     """One row per piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id and
     offset; offsets of a sequence are gapless from 0 and its lengths sum to the capacity at most.
 
-    Null and empty texts have one piece, the end id. Repeated rows and null doc_ids are packed like others. An empty
-    table gives an empty result.
+    Null and empty texts have one piece, the end id. Repeated rows and null doc_ids are packed like others. A very long
+    text is encoded whole in one task. Other columns, whatever their names, are not read. An empty table gives an empty
+    result. Pieces of one length are all alike: which of them goes where is decided by salt, doc_id, piece and checksum.
     """
     pieces = saved(token_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_partitions(docs.sparkSession))).cast("int")))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import shuffle_partitions
+from .storage import refuse_clashes, shuffle_partitions
 from .wordblocks import chain, mix, powers, release, released, word_blocks
 
 COUNT_SCHEMA = "bucket int, hashes binary, docs binary, counts binary, ordinals binary"
@@ -337,9 +337,11 @@ def substring_dedup(docs: DataFrame, keep: list[str], window: int = 35, core: in
 
     A word goes when a window of `window` words that covers it also starts anywhere else, the same text included.
     Null texts count as empty (kept_text stays null); repeated rows are documents of their own, so their windows
-    repeat. Null doc_ids take part. An empty table gives an empty result. Minimisers of more than `hot` strings are
-    split by window.
+    repeat. Null doc_ids take part. A very long text is one block of arrays some 50 times its size in one task. An empty
+    table gives an empty result. Minimisers of more than `hot` strings are split by window. keep must not hold a
+    result's name, or that of a working column.
     """
+    refuse_clashes(keep, ["n_words", "n_removed", "kept_text", "kept_sha256", "row_hash", "wanted", "parts", "_hash", "_flagged"])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, shuffle_partitions(docs.sparkSession), size // BUCKET_TEXT)
     keys = _hot_keys(docs.select("text"), window, core, hot)

@@ -120,8 +120,8 @@ def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
 def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, file, doc_no, n_tokens, from token files written for the purpose.
 
-    Null and empty texts have no tokens; repeated rows and null doc_ids count like others; an empty table gives an empty
-    result."""
+    Null and empty texts have no tokens; repeated rows and null doc_ids count like others; a very long text is encoded
+    whole in one task and may fill many blocks; other columns are not read; an empty table gives an empty result."""
     files = write_token_files(docs, tokenizer, end_id, block_tokens)
     counts = count_tokens(files.filter(F.col("kind") == TOKENS), end_id)
     names = files.filter(F.col("kind") == NAMES).select("file", "number", "payload").mapInArrow(_named, "file int, doc_no long, doc_id long")

@@ -412,3 +412,16 @@ def test_html_main_text(spark, small):
     assert [html_text.main_text(x) for x in (None, "", "<p", "<!-- x", "<script>a")] == [""] * 5
     found = html_text.extract_main_text(spark.read.parquet(f"{small}/pages.parquet"), ["page_id", "url"])
     assert found.filter("n_chars <> length(text)").count() == 0 and found.filter("text = ''").count() == 0
+
+
+def test_columns_to_keep_must_not_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, n_words string")
+    from eventpulse.llm.substring import substring_dedup
+
+    for operator, name in (
+        (lambda d, k: quality.quality_rules(d.withColumn("source", F.lit("s")), k), "n_words"), (lambda d, k: substring_dedup(d, k), "n_words"), (lambda d, k: licenses.licence_scan(d, k), "labels"),
+        (lambda d, k: bpe.encode_and_decode(d, k, WORDS), "n_tokens"), (lambda d, k: secrets.secret_spans(d, k), "spans"), (lambda d, k: html_text.extract_main_text(d.withColumn("html", F.lit("")), k), "n_chars"),
+    ):
+        with pytest.raises(ValueError, match="clash"):
+            operator(docs.withColumnRenamed("n_words", name), [name])
+        assert operator(docs, ["doc_id"]).count() == 1
