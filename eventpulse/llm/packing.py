@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     text is encoded whole in one task. Other columns, whatever their names, are not read. An empty table gives an empty
     result. Pieces of one length are all alike: which of them goes where is decided by salt, doc_id, piece and checksum.
     """
-    pieces = saved(token_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_partitions(docs.sparkSession))).cast("int")))
+    pieces = saved(token_pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_partitions(docs.sparkSession))).cast("int")))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots = _slots(plan_bins(counts, capacity))
     groups = pieces.groupBy("length", "salt").count()
