@@ -308,6 +308,14 @@ _EV = "ev AS (SELECT conv_id % 60 AS class_key, role AS status, text AS evidence
 _BEST = "best AS (SELECT class_key, arg_min((status, evidence), (CASE status WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 99 END, -length(evidence), evidence)) AS b FROM ev WHERE class_key IN (SELECT doc_id % {m} FROM labels) GROUP BY class_key)"
 _CAP = """cap AS (SELECT doc_id, 'user' || CAST(doc_id AS VARCHAR) AS reviewer, CASE WHEN doc_id % 5 <> 0 THEN '2026-05-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE '' END AS review_date, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 9 + 1 AS BIGINT) END AS visit_count, CAST(doc_id % 5 + 1 AS DOUBLE) AS overall_rating, 4.5::DOUBLE AS teaching_rating, CAST(NULL AS DOUBLE) AS place_rating,
   CASE doc_id % 3 WHEN 0 THEN 'Flow' WHEN 1 THEN 'Hall' ELSE '' END AS class_title, CASE WHEN doc_id % 4 <> 0 THEN '5 times pass' ELSE '' END AS ticket FROM documents)"""
+_REFS = """refs AS (SELECT title, source, priority, label, replace(body, ' ', '') AS r, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_key, lower(label) AS venue FROM (
+  SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_name, 'plain', 2, '', p_name FROM part))"""
+_ASKED = """asked AS (SELECT query, lower(regexp_replace(query, '[^A-Za-z]+', '', 'g')) AS qk, lower(regexp_replace(regexp_replace(query, '^\\[[^\\]]*\\] ', ''), '[^A-Za-z]+', '', 'g')) AS q, l AS ql, lower(l) AS qv
+  FROM (SELECT DISTINCT typed AS query, regexp_extract(typed, '^\\[([^\\]]*)\\]', 1) AS l FROM alt WHERE typed <> ''))"""
+_LADDER = f"""l0 AS (SELECT *, {_ed('q', 'r')} AS e, q = r AS same, qk = class_key AS exact, ql <> '' AND ql = label AS labelled, qv <> '' AND venue <> '' AND qv <> venue AS other, length(r)::DOUBLE / greatest(length(q), 1) AS coverage, length(q) >= 8 AND (r = 'bolt' OR length(r)::DOUBLE / length(q) < 0.45) AS short FROM asked CROSS JOIN refs),
+  l1 AS (SELECT *, CASE WHEN contains(r, q) THEN greatest(s0, 94) WHEN contains(q, r) AND length(r) >= 5 THEN greatest(s0, 92) ELSE s0 END - CASE WHEN other THEN 8 ELSE 0 END AS s1 FROM (SELECT *, CASE WHEN same AND other THEN least(e, 89) ELSE e END AS s0 FROM l0)),
+  l2 AS (SELECT *, CASE WHEN exact THEN 101 WHEN same AND NOT other AND labelled THEN 100.5 WHEN same AND NOT other THEN 100 WHEN short OR length(q) >= 8 AND coverage < 0.65 AND s1 < 98 THEN least(s1, 89) ELSE s1 END::DOUBLE + 0.01::DOUBLE AS score FROM l1),
+  picked AS (SELECT query, arg_max((title, score), (score, labelled::INT, coverage, length(r), -priority, title)) AS b FROM l2 GROUP BY query)"""
 SQL = {
     "r1_anchored_records": with_views(_L) + ", w AS (SELECT *, lag(line, 4) OVER f AS l4, lead(line) OVER f AS n1 FROM ln WINDOW f AS (PARTITION BY file ORDER BY line_no)), a AS (SELECT * FROM w WHERE ends_with(line, 'er.')) SELECT file, line_no, l4, n1, row_number() OVER (PARTITION BY file ORDER BY line_no) AS row_index, line_no - 4 AS line_start, line_no + 1 AS line_end, '' AS warning FROM a WHERE l4 IS NOT NULL AND n1 IS NOT NULL UNION ALL SELECT file, line_no, '', '', NULL, NULL, NULL, 'anchor too close to an edge' FROM a WHERE l4 IS NULL OR n1 IS NULL",
     "r2_split_tail": "SELECT conv_id, turn, trim(p[1]) AS first, trim(coalesce(p[2], '')) AS second, trim(array_to_string(p[3:], ', ')) AS rest FROM (SELECT conv_id, turn, string_split(text, ', ') AS p FROM conversations)",
@@ -331,6 +339,7 @@ SQL = {
   c AS (SELECT *, CASE WHEN inside THEN greatest(s0, 94) WHEN around THEN greatest(s0, 92) ELSE s0 END - CASE WHEN other THEN 8 ELSE 0 END AS s1 FROM b), d AS (SELECT *, length(q) >= 8 AND length(r)::DOUBLE / length(q) < 0.65 AND s1 < 98 AS thin FROM c)
   SELECT p_partkey, CASE WHEN exact THEN 101 WHEN same AND NOT other AND label THEN 100.5 WHEN same AND NOT other THEN 100 WHEN short OR thin THEN least(s1, 89) ELSE s1 END::DOUBLE AS match_score, CASE WHEN exact THEN 'exact_full_key' WHEN same AND NOT other AND label THEN 'exact_body_and_label' WHEN same AND NOT other THEN 'exact_body_key'
   ELSE concat_ws('+', CASE WHEN same AND other THEN 'exact_body_key+venue_mismatch' ELSE 'similarity' END, CASE WHEN inside THEN 'query_contained' WHEN around THEN 'reference_contained' END, CASE WHEN other THEN 'venue_penalty' END, CASE WHEN short THEN 'short_generic' WHEN thin THEN 'coverage' END) END AS match_method FROM d""",
+    "j4_best_reference_match": with_views(_ALT, _REFS, _ASKED, _LADDER) + "SELECT p_partkey, typed, b[1] AS title, round(least(b[2], 100.0::DOUBLE), 2) AS match_score, coalesce(round(least(b[2], 100.0::DOUBLE), 2) < 90, true) AS needs_review, b IS NULL AS unmatched FROM alt LEFT JOIN picked ON typed = query",
     "j5_exact_then_fuzzy": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS key, CASE WHEN p_partkey % 50 = 1 THEN 'none' ELSE p_brand END AS block FROM alt), r AS (SELECT DISTINCT p_name AS key, p_brand AS block FROM part WHERE p_name <> 'red bolt'), f AS (SELECT p_partkey, arg_min(rk, (-s, rk)) AS found, max(s) AS score FROM (SELECT p_partkey, r.key AS rk, {_ed('l.key', 'r.key')} AS s FROM l JOIN r ON l.block = r.block WHERE l.key NOT IN (SELECT key FROM r)) GROUP BY p_partkey) SELECT p_partkey, CASE WHEN l.key IN (SELECT key FROM r) THEN l.key ELSE coalesce(found, '') END AS found, CASE WHEN l.key IN (SELECT key FROM r) THEN 100 ELSE coalesce(score, 0) END::DOUBLE AS score, CASE WHEN l.key IN (SELECT key FROM r) THEN 'exact_normalized' WHEN found IS NULL THEN 'no_candidate_in_block' WHEN score >= 88 THEN 'fuzzy_same_studio' ELSE 'needs_review' END AS match_status FROM l LEFT JOIN f USING (p_partkey)",
     "j6_compare_by_slot": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS title, CAST(p_size AS BIGINT) AS value, p_brand, p_partkey % 40 AS slot FROM alt), r AS (SELECT p_name AS title, CASE WHEN p_partkey % 15 <> 0 THEN CAST(p_size AS BIGINT) END AS value, p_brand, p_partkey % 40 AS slot FROM part), f AS (SELECT p_partkey, arg_min((rt, rv), (-s, rt, coalesce(rv, -1))) AS b, max(s) AS score FROM (SELECT p_partkey, r.title AS rt, r.value AS rv, {_ed('lower(l.title)', 'lower(r.title)')} AS s FROM l JOIN r ON l.p_brand = r.p_brand AND l.slot = r.slot) GROUP BY p_partkey) SELECT p_partkey, b[1] AS found, CASE WHEN b IS NULL THEN 'no_candidate' WHEN score < 70 THEN 'low_confidence' WHEN b[2] IS NULL THEN 'missing_value' WHEN b[2] = value THEN 'same' ELSE 'different' END AS compare_status, CASE WHEN score >= 70 THEN b[2] - value END AS difference FROM l LEFT JOIN f USING (p_partkey)",
     "j7_containment_match": "WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'meetatstreet' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0') WHEN 1 THEN 'hall' || CAST(c_custkey % 40 AS VARCHAR) ELSE 'nowhere' END AS s FROM customer), f AS (SELECT n_nationkey AS o, n_name AS node_key, 'street' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS form, 100 AS hint FROM nation UNION ALL SELECT n_nationkey, n_name, 'hall' || CAST(n_nationkey AS VARCHAR), 85 FROM nation), b AS (SELECT c_custkey, arg_min((node_key, hint), (-hint, o)) AS b FROM t JOIN f ON contains(s, form) OR contains(form, s) GROUP BY c_custkey) SELECT c_custkey, b[1] AS node_key, b[2] AS hint, CASE WHEN b IS NULL THEN 'unmatched' WHEN b[2] = 100 THEN 'address' ELSE 'name' END AS match_status FROM t LEFT JOIN b USING (c_custkey)",
