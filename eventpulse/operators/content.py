@@ -24,6 +24,26 @@ def count_keywords(df: DataFrame, text: str, counts: dict[str, list[str]], found
     return df.withColumn("_plain", no_spaces(text)).withColumns({name: keyword_count("_plain", words, plain=True) for name, words in counts.items()} | lists).drop("_plain")
 
 
+def match_terms_by(df: DataFrame, row: str, text: str, dictionary: DataFrame, out: str, most: int = 10_000) -> DataFrame:
+    """Adds the aliases of the dictionary's terms (term, alias or null) that the text holds, ignoring case and spaces, by
+    longest term, then name, each once. row is a key of df. A dictionary of at most `most` terms goes to every task as one
+    array; a larger one is joined by the first three characters of its terms (shorter terms stay in the array)."""
+    terms = dictionary.select(no_spaces("term").alias("key"), F.coalesce("alias", "term").alias("alias")).filter("key <> ''").distinct()
+    entry = F.struct((-F.length("key")).alias("n"), "key", "alias")
+    small = dictionary.limit(most + 1).count() <= most
+    array = terms.filter(F.lit(True) if small else F.length("key") < 3).agg(F.collect_list(entry).alias("_all"))
+    plain = df.withColumn("_plain", no_spaces(text)).crossJoin(F.broadcast(array))
+    found = plain.withColumn("_found", F.filter("_all", lambda t: F.contains(F.col("_plain"), t["key"]))).drop("_all")
+    if not small:
+        gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
+        grams = found.filter(F.length("_plain") >= 3).select(F.col(row).alias("_row"), "_plain", F.explode(gram("_plain")).alias("_gram"))
+        met = grams.join(terms.filter(F.length("key") >= 3).withColumn("_gram", F.substring("key", 1, 3)), "_gram").filter(F.contains("_plain", "key"))
+        more = met.groupBy("_row").agg(F.collect_list(entry).alias("_more"))
+        found = found.join(more, F.col(row) == F.col("_row"), "left").withColumn("_found", F.concat("_found", F.coalesce("_more", F.array().cast("array<struct<n:int,key:string,alias:string>>")))).drop("_row", "_more")
+    named = F.array_distinct(F.transform(F.array_sort("_found"), lambda t: t["alias"]))
+    return found.withColumn(out, F.array_join(named, ";")).drop("_plain", "_found")
+
+
 def primary_theme(df: DataFrame, priority: list[str]) -> DataFrame:
     """Theme with most hits, ties by priority, none: unclear."""
     best = F.array_max(F.array(*[F.struct(F.col(f"{t}_count").alias("n"), F.lit(-i).alias("p"), F.lit(t).alias("t")) for i, t in enumerate(priority)]))

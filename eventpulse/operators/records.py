@@ -111,7 +111,7 @@ def grid_to_table(cells: DataFrame, headers: list[str], order: str) -> DataFrame
     head = of_row.groupBy("sheet").agg(F.min("row_idx").alias("_head"))
     names = cells.join(head, "sheet").filter((F.col("row_idx") == F.col("_head")) & F.col("value").isin(headers)).groupBy("sheet", "value").agg(F.min("col_idx").alias("col_idx")).withColumnRenamed("value", "_name")
     below = cells.join(head, "sheet").filter(F.col("row_idx") > F.col("_head")).join(names, ["sheet", "col_idx"])
-    wide = below.groupBy("sheet", "row_idx").pivot("_name", headers).agg(F.first("value"))
+    wide = below.groupBy("sheet", "row_idx").pivot("_name", headers).agg(F.min("value"))
     return wide.na.fill("", headers).filter(F.col(f"`{order}`").rlike("^[0-9]"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventpulse.functions import text as T
+from eventpulse.operators import content as B
 
 from .tables import table
 
@@ -127,6 +128,12 @@ def t21_keyword_count(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.keyword_count("text", TERMS).alias("hits"))
 
 
+def t22_match_terms_by(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    dictionary = words.withColumn("alias", F.when(F.length("term") > 4, F.upper("term")))
+    return B.match_terms_by(_docs(spark, sf_dir), "doc_id", "text", dictionary, "terms").select("doc_id", "terms")
+
+
 def t22_match_terms(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.matched_terms("text", TERMS, {"hat": "the"}), ";").alias("terms"))
 
@@ -187,6 +194,7 @@ SQL = {
     "t19_classify_path": "SELECT page_id, p[1] AS host, coalesce(p[3], 'none') AS third, CASE WHEN contains(url, 'blog.') THEN 'blog' WHEN starts_with(url, 'https://m.') THEN 'mobile' WHEN ends_with(url, '#top') THEN 'anchor' WHEN contains(url, '/en/') THEN 'english' ELSE 'other' END AS area FROM (SELECT page_id, lower(url) AS url, list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: trim(x) <> '') AS p FROM pages)",
     "t20_json_tag_counts": "SELECT event_type, count(*) AS rows, count(*) FILTER (WHERE event_id % 10 <> 0 AND user_id % 2 = 0) AS a_count, count(*) FILTER (WHERE event_id % 10 <> 0 AND event_id % 3 = 0) AS b_count FROM events GROUP BY event_type",
     "t21_keyword_count": f"SELECT doc_id, CAST({' + '.join(map(_hits, TERMS))} AS BIGINT) AS hits FROM (SELECT doc_id, {_nosp} AS s FROM documents)",
+    "t22_match_terms_by": f"WITH d AS (SELECT term, CASE WHEN length(term) > 4 THEN upper(term) ELSE term END AS alias FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part)) SELECT doc_id, coalesce(string_agg(alias, ';' ORDER BY length(term) DESC, term) FILTER (WHERE contains(s, term)), '') AS terms FROM (SELECT doc_id, {_nosp} AS s FROM documents) CROSS JOIN d GROUP BY doc_id",
     "t22_match_terms": f"SELECT doc_id, coalesce(array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list_filter([{_matched}], lambda x: x IS NOT NULL), lambda x: [x])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), ';'), '') AS terms FROM (SELECT doc_id, {_nosp} AS s FROM documents)",
     "t23_section_between": r"SELECT doc_id, CASE WHEN p IS NULL THEN '' ELSE trim(CASE WHEN q IS NULL THEN r ELSE substring(r, 1, q - 1) END) END AS section FROM (SELECT *, least(nullif(instr(r, '.'), 0), nullif(instr(r, chr(10)), 0)) AS q FROM (SELECT doc_id, p, substring(text, p + 4) AS r FROM (SELECT doc_id, text, least(nullif(instr(text, 'the '), 0), nullif(instr(text, 'und '), 0)) AS p FROM documents)))",
     "t24_classify_by_keywords": "SELECT doc_id, CASE WHEN contains(text, 'und ') OR contains(text, ' der ') THEN 'german' WHEN contains(text, ' the ') OR contains(text, ' of ') THEN 'english' WHEN contains(text, ' les ') OR contains(text, ' des ') THEN 'french' ELSE 'other' END AS label FROM documents",

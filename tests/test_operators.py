@@ -218,3 +218,12 @@ def test_earlier_rows_without_a_fresh_one_stay(spark):
     out = preserve_success(old, new, "k", ["m"])
     assert sorted(map(tuple, out.collect())) == [(1, "old", "b", "success", "preserved"), (2, "new", "b", "success", "fresh"), (3, "old", "a", "success", "existing_only"), (4, "new", "b", "success", "fresh"), (5, "new", "b", "error", "fresh")]
     assert {tuple(r) for r in merge_counts(out).collect()} == {("preserved", 1), ("existing_only", 1), ("fresh", 3)}
+
+
+def test_terms_of_a_table(spark):
+    from eventpulse.operators.content import match_terms_by
+
+    df = spark.createDataFrame([(1, "The Deep Sea and the sea"), (2, "nothing"), (3, None), (4, "D E")], "row int, text string")
+    terms = spark.createDataFrame([("sea", None), ("Deep Sea", "ocean"), ("de", None), ("ocean", None), ("", "x")], "term string, alias string")
+    for most in (10, 1):
+        assert {r["row"]: r["t"] for r in match_terms_by(df, "row", "text", terms, "t", most).collect()} == {1: "ocean;sea;de", 2: "", 3: "", 4: "de"}
