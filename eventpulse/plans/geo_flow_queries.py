@@ -54,8 +54,15 @@ def g3_location_nodes(spark, sf_dir):
     return G.location_nodes(_places(spark, sf_dir), "key").select("node_id", "key", "lat", "lon")
 
 
+def _place_matrix(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    ahead = s.select((F.col("s_suppkey") - 1).alias("k"), F.col("s_name").alias("destination"))
+    network = s.join(ahead, F.col("s_suppkey") == F.col("k")).select(F.col("s_name").alias("origin"), "destination", (F.col("s_suppkey") * 10.0 + 500).alias("length_m"))
+    return G.distance_matrix(_places(spark, sf_dir), network)
+
+
 def g4_distance_matrix(spark, sf_dir):
-    return _matrix(spark, sf_dir)
+    return _place_matrix(spark, sf_dir)
 
 
 def g5_walk_minutes(spark, sf_dir):
@@ -71,7 +78,7 @@ def g7_geo_coverage(spark, sf_dir):
 
 
 def g8_distance_extremes(spark, sf_dir):
-    return G.distance_extremes(_matrix(spark, sf_dir), 5)
+    return G.distance_extremes(_place_matrix(spark, sf_dir), 5)
 
 
 def g9_bounding_box(spark, sf_dir):
@@ -236,10 +243,15 @@ def _pts(name, key):
     return f"points AS (SELECT {key} AS point, CASE WHEN {key} % 17 = 0 THEN NULL ELSE 30.0::DOUBLE + ({key} * 13 % 250)::DOUBLE / 10 END AS lat, 100.0::DOUBLE + ({key} * 17 % 480)::DOUBLE / 10 AS lon, {key} % 5 = 0 AS needs_review FROM {name})"
 
 
+_LINKS = {
+    "_N": "SELECT n_name AS origin, 'NATION_' || CAST((n_nationkey + 1) % 25 AS VARCHAR) AS destination, CAST(n_nationkey * 1000 + 500 AS DOUBLE) AS length_m FROM nation",
+    "_PL": "SELECT s.s_name AS origin, d.s_name AS destination, CAST(s.s_suppkey * 10 + 500 AS DOUBLE) AS length_m FROM supplier s JOIN supplier d ON d.s_suppkey = s.s_suppkey + 1",
+}
 _M = f"""mat AS (SELECT *, round(walk_m / 80, 2) AS walk_minutes FROM (SELECT a.origin, a.destination, same_location, straight_m, coalesce(length_m, round(straight_m * 1.3::DOUBLE, 2)) AS walk_m,
   CASE WHEN length_m IS NULL THEN 'straight_detour' ELSE 'network' END AS walk_method, round(straight_m * 1.3::DOUBLE / 80, 2) AS fallback_minutes FROM (SELECT x.key AS origin, y.key AS destination, x.key = y.key AS same_location,
   round(CASE WHEN x.key = y.key THEN 0.0::DOUBLE ELSE {_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} * 1000 END, 2) AS straight_m FROM nodes x CROSS JOIN nodes y) a
-  LEFT JOIN (SELECT n_name AS origin, 'NATION_' || CAST((n_nationkey + 1) % 25 AS VARCHAR) AS destination, CAST(n_nationkey * 1000 + 500 AS DOUBLE) AS length_m FROM nation) USING (origin, destination)))"""
+  LEFT JOIN ({_LINKS['_N']}) USING (origin, destination)))"""
+_PM = _M.replace(_LINKS["_N"], _LINKS["_PL"])
 _NEAR = f"""near AS (SELECT p.*, n.nearest, round(n.km, 3) AS nearest_km FROM points p LEFT JOIN (SELECT point, arg_min(key, (km, key)) AS nearest, min(km) AS km FROM (SELECT point, key, round({_hav('p.lat', 'p.lon', 'n.lat', 'n.lon')}, 6) AS km FROM points p CROSS JOIN nodes n WHERE p.lat IS NOT NULL) GROUP BY point) n USING (point))"""
 _E = """ev AS (SELECT *, k || '_' || CASE WHEN s IS NULL THEN 'unparsed' ELSE strftime(s, '%Y%m%dT%H%M') END AS session_key, k || '_' || CASE WHEN s IS NULL THEN 'unparsed' ELSE strftime(s, '%Y%m%dT%H') END AS hour_key FROM (
   SELECT event_id, user_id AS person, 'Class ' || event_type AS title, 'class' || event_type AS k, CASE WHEN event_type = 'error' THEN 'cancellation' ELSE 'reservation' END AS kind, CASE WHEN event_id % 97 <> 0 THEN ts END AS s,
@@ -262,11 +274,11 @@ SQL = {
     "g1_haversine": with_views(_pts("supplier", "s_suppkey")) + f"SELECT point, round({_hav('lat', 'lon', '37.5', '127.0')}, 4) AS km FROM points",
     "g2_activity_center": with_views(_PL) + f"SELECT key, round(clat, 6) AS center_lat, round(clon, 6) AS center_lon, round({_hav('clat', 'clon', 'lat', 'lon')}, 3) AS center_km FROM nodes CROSS JOIN (SELECT sum(lat * weight) / sum(weight) AS clat, sum(lon * weight) / sum(weight) AS clon FROM nodes)",
     "g3_location_nodes": with_views(_PL) + "SELECT 'LOC_' || lpad(CAST(row_number() OVER (ORDER BY key) AS VARCHAR), 4, '0') AS node_id, key, lat, lon FROM nodes",
-    "g4_distance_matrix": with_views(_N, _M) + "SELECT * FROM mat",
+    "g4_distance_matrix": with_views(_PL, _PM) + "SELECT * FROM mat",
     "g5_walk_minutes": "SELECT o_orderkey, round(floor(o_totalprice) / 80, 2) AS minutes FROM orders",
     "g6_nearest_node": with_views(_PL, _pts("customer", "c_custkey"), _NEAR) + "SELECT * FROM near",
     "g7_geo_coverage": with_views(_N, _pts("supplier", "s_suppkey"), _NEAR) + "SELECT count(*) AS rows, count(lat) AS with_coordinates, count(*) FILTER (WHERE needs_review) AS needs_review, count(*) FILTER (WHERE nearest_km <= 300) AS near_node FROM near",
-    "g8_distance_extremes": with_views(_N, _M) + ", o AS (SELECT * FROM mat WHERE NOT same_location), s AS (SELECT round(sum(CAST(round(walk_minutes * 100) AS BIGINT))::DOUBLE / count(walk_minutes) / 100, 4) AS mean_walk, max(walk_minutes) AS longest_walk FROM o) SELECT side, origin, destination, straight_m, mean_walk, longest_walk FROM ((SELECT 'nearest' AS side, * FROM o ORDER BY straight_m, origin, destination LIMIT 5) UNION ALL (SELECT 'farthest', * FROM o ORDER BY straight_m DESC, origin, destination LIMIT 5)) CROSS JOIN s",
+    "g8_distance_extremes": with_views(_PL, _PM) + ", o AS (SELECT * FROM mat WHERE NOT same_location), s AS (SELECT round(sum(CAST(round(walk_minutes * 100) AS BIGINT))::DOUBLE / count(walk_minutes) / 100, 4) AS mean_walk, max(walk_minutes) AS longest_walk FROM o) SELECT side, origin, destination, straight_m, mean_walk, longest_walk FROM ((SELECT 'nearest' AS side, * FROM o ORDER BY straight_m, origin, destination LIMIT 5) UNION ALL (SELECT 'farthest', * FROM o ORDER BY straight_m DESC, origin, destination LIMIT 5)) CROSS JOIN s",
     "g9_bounding_box": with_views(_pts("supplier", "s_suppkey")) + "SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, round(avg(lat), 6) AS mean_lat, round(avg(lon), 6) AS mean_lon FROM points",
     "f1_enrich_bookings": with_views(_E) + "SELECT event_id, kind, k AS class_key, CAST(people AS BIGINT) AS people, session_key FROM ev",
     "f2_session_schedule": with_views(_E, _S) + "SELECT * EXCLUDE (start_at) FROM sched",

@@ -125,7 +125,7 @@ def r17_query_hit_counts(spark, sf_dir):
 
 def _references(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return J.reference_dictionary([(p.filter("p_partkey % 4 = 0").withColumn("t", F.concat(F.lit("["), "p_type", F.lit("] "), "p_name")), "t", "catalog", 1), (p, "p_name", "plain", 2)])
+    return J.reference_dictionary([(p.withColumn("t", F.concat(F.lit("["), "p_type", F.lit("] "), "p_name")), "t", "catalog", 1), (p, "p_name", "plain", 2)])
 
 
 def j1_reference_dictionary(spark, sf_dir):
@@ -203,7 +203,7 @@ def j10_fill_blank_from(spark, sf_dir):
 def j11_override_from(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     nodes = n.select(F.col("n_name").alias("node_key"), F.concat(F.lit("Hall of "), "n_name").alias("name"), F.col("n_nationkey").cast("double").alias("lat"), F.col("n_regionkey").cast("double").alias("lon"))
-    evidence = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey", F.concat(F.lit("NATION_"), (F.col("s_suppkey") % 30).cast("string")).alias("actual"))
+    evidence = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("NATION_"), (F.col("s_suppkey") % 30).cast("string"))).alias("actual"))
     plan = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("HOME").alias("place_key"), F.lit("home").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
     return J.override_from(plan, evidence, nodes, "s_suppkey", "place_key")
 
@@ -215,9 +215,9 @@ def j12_attach_dimension(spark, sf_dir):
 
 
 def j13_apply_overrides(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    patches = n.filter("n_nationkey % 6 = 0").select("n_nationkey", F.lower("n_name").alias("n_name"), F.when(F.col("n_nationkey") == 6, 9).alias("n_regionkey"))
-    return J.apply_overrides(n, patches, "n_nationkey")
+    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("c_custkey")
+    patches = c.select("c_custkey", F.when(k % 6 == 0, F.lower("c_name")).alias("c_name"), F.when(k % 10 == 6, 99).alias("c_nationkey"))
+    return J.apply_overrides(c, patches, "c_custkey")
 
 
 def j14_merge_lookup_results(spark, sf_dir):
@@ -244,8 +244,8 @@ def s2_read_typed_csv(spark, sf_dir):
 
 
 def s3_read_optional(spark, sf_dir):
-    schema = T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("r_name", T.StringType())])
-    there, one = S.read_optional(spark, f"{sf_dir}/region.parquet", schema)
+    schema = T.StructType([T.StructField("c_name", T.StringType()), T.StructField("c_mktsegment", T.StringType())])
+    there, one = S.read_optional(spark, f"{sf_dir}/customer.parquet", schema)
     gone, two = S.read_optional(spark, f"{sf_dir}/no_such_table.parquet", schema)
     return there.agg(F.count("*").alias("rows")).withColumn("state", F.lit(one)).unionByName(gone.agg(F.count("*").alias("rows")).withColumn("state", F.lit(two)))
 
@@ -259,7 +259,7 @@ def s4_read_paged_lines(spark, sf_dir):
 
 def s5_attach_companion_text(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.format_string("doc_%08d", "doc_id").alias("stem"))
-    texts = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.format_string("doc_%08d", "conv_id").alias("stem"), F.col("text").alias("companion"))
+    texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("companion")).select(F.format_string("doc_%08d", "conv_id").alias("stem"), "companion")
     return S.attach_companion_text(items, texts, "stem").select("stem", "order_no", "companion_chars", "companion_missing")
 
 
@@ -280,8 +280,8 @@ def s7_feature_collection(spark, sf_dir):
 
 
 def s8_register_tables(spark, sf_dir):
-    S.register_tables(spark, sf_dir, ["nation", "region"], ["no_such_table"])
-    return spark.sql("SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+    S.register_tables(spark, sf_dir, ["orders", "customer"], ["no_such_table"])
+    return spark.sql("SELECT c_mktsegment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 
 
 def s9_table_row_counts(spark, sf_dir):
@@ -309,7 +309,7 @@ _BEST = "best AS (SELECT class_key, arg_min((status, evidence), (CASE status WHE
 _CAP = """cap AS (SELECT doc_id, 'user' || CAST(doc_id AS VARCHAR) AS reviewer, CASE WHEN doc_id % 5 <> 0 THEN '2026-05-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') ELSE '' END AS review_date, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 9 + 1 AS BIGINT) END AS visit_count, CAST(doc_id % 5 + 1 AS DOUBLE) AS overall_rating, 4.5::DOUBLE AS teaching_rating, CAST(NULL AS DOUBLE) AS place_rating,
   CASE doc_id % 3 WHEN 0 THEN 'Flow' WHEN 1 THEN 'Hall' ELSE '' END AS class_title, CASE WHEN doc_id % 4 <> 0 THEN '5 times pass' ELSE '' END AS ticket FROM documents)"""
 _REFS = """refs AS (SELECT title, source, priority, label, replace(body, ' ', '') AS r, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_key, lower(label) AS venue FROM (
-  SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_name, 'plain', 2, '', p_name FROM part))"""
+  SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part UNION SELECT p_name, 'plain', 2, '', p_name FROM part))"""
 _ASKED = """asked AS (SELECT query, lower(regexp_replace(query, '[^A-Za-z]+', '', 'g')) AS qk, lower(regexp_replace(regexp_replace(query, '^\\[[^\\]]*\\] ', ''), '[^A-Za-z]+', '', 'g')) AS q, l AS ql, lower(l) AS qv
   FROM (SELECT DISTINCT typed AS query, regexp_extract(typed, '^\\[([^\\]]*)\\]', 1) AS l FROM alt WHERE typed <> ''))"""
 _LADDER = f"""l0 AS (SELECT *, {_ed('q', 'r')} AS e, q = r AS same, qk = class_key AS exact, ql <> '' AND ql = label AS labelled, qv <> '' AND venue <> '' AND qv <> venue AS other, length(r)::DOUBLE / greatest(length(q), 1) AS coverage, length(q) >= 8 AND (r = 'bolt' OR length(r)::DOUBLE / length(q) < 0.45) AS short FROM asked CROSS JOIN refs),
@@ -332,7 +332,7 @@ SQL = {
     "r13_field_coverage": with_views(_CAP) + "SELECT 'review_date' AS field, count(*) FILTER (WHERE review_date <> '') AS filled, count(*) AS rows FROM cap UNION ALL SELECT 'class_title', count(*) FILTER (WHERE class_title <> ''), count(*) FROM cap UNION ALL SELECT 'ticket', count(*) FILTER (WHERE ticket <> ''), count(*) FROM cap UNION ALL SELECT 'place_rating', count(place_rating), count(*) FROM cap",
     "r16_enrich_hits": "SELECT doc_id, source AS owner, conv_id, turn, lang, 'owner of ' || source AS owner_name FROM (SELECT *, conv_id AS doc_id FROM conversations) LEFT JOIN documents USING (doc_id)",
     "r17_query_hit_counts": "SELECT role AS query, count(*) AS hits, count(DISTINCT conv_id % 50) AS unique_items, count(DISTINCT (conv_id, turn)) AS unique_links, count(DISTINCT conv_id % 7) AS unique_owners FROM conversations GROUP BY role UNION ALL SELECT 'nobody', 0, 0, 0, 0",
-    "j1_reference_dictionary": r"WITH s AS (SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_name, 'plain', 2, '', p_name FROM part) SELECT title, source, priority, title AS title_base, label, replace(body, ' ', '') AS body_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_base_key, lower(label) AS venue_key FROM s",
+    "j1_reference_dictionary": r"WITH s AS (SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part UNION SELECT p_name, 'plain', 2, '', p_name FROM part) SELECT title, source, priority, title AS title_base, label, replace(body, ' ', '') AS body_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_base_key, lower(label) AS venue_key FROM s",
     "j2_similarity": with_views(_ALT) + f"SELECT p_partkey, {_ed('typed', 'p_name')} AS edit FROM alt",
     "j3_specificity_score": f"""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS q, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '') ELSE split_part(p_name, ' ', 2) END AS r, p_partkey % 7 = 0 AS exact, p_partkey % 2 = 0 AS label, p_partkey % 5 = 0 AS other FROM part),
   a AS (SELECT *, {_ed('q', 'r')} AS e, q = r AS same, length(q) >= 8 AND (r IN ('bolt', 'ring') OR length(r)::DOUBLE / length(q) < 0.45) AS short FROM p), b AS (SELECT *, CASE WHEN same AND other THEN least(e, 89) ELSE e END AS s0, contains(r, q) AS inside, contains(q, r) AND length(r) >= 5 AS around FROM a),
@@ -348,16 +348,16 @@ SQL = {
     "j10_fill_blank_from": "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment WHEN c_nationkey < 20 THEN 'NATION_' || CAST(c_nationkey AS VARCHAR) ELSE '' END AS segment, CASE WHEN c_custkey % 4 <> 0 THEN 'complete' WHEN c_nationkey >= 20 THEN 'no_lookup' ELSE 'filled' END AS fill_status, c_custkey % 4 = 0 AND c_nationkey >= 20 AS needs_review FROM customer",
     "j11_override_from": "SELECT s_suppkey, CASE WHEN h THEN 'NATION_' || CAST(k AS VARCHAR) ELSE 'HOME' END AS place_key, CASE WHEN h THEN 'Hall of NATION_' || CAST(k AS VARCHAR) ELSE 'home' END AS name, CASE WHEN h THEN CAST(k AS DOUBLE) ELSE 0 END AS lat, CASE WHEN h THEN CAST(n_regionkey AS DOUBLE) ELSE 0 END AS lon, CASE WHEN h THEN 'actual_place' WHEN s_suppkey % 2 = 0 THEN 'unknown_place' ELSE 'as_planned' END AS place_status, s_suppkey % 2 = 0 AND NOT h AS needs_review FROM (SELECT s_suppkey, s_suppkey % 30 AS k, s_suppkey % 2 = 0 AND s_suppkey % 30 < 25 AS h FROM supplier) LEFT JOIN nation ON k = n_nationkey",
     "j12_attach_dimension": "SELECT s_suppkey, s_nationkey AS nation_key, d[1] AS c_custkey, d[2] AS c_mktsegment FROM supplier LEFT JOIN (SELECT c_nationkey, arg_min((c_custkey, c_mktsegment), (-c_acctbal, c_custkey)) AS d FROM customer GROUP BY c_nationkey) ON s_nationkey = c_nationkey",
-    "j13_apply_overrides": "SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN lower(n_name) ELSE n_name END AS n_name, CASE WHEN n_nationkey = 6 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation",
+    "j13_apply_overrides": "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN lower(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 10 = 6 THEN 99 ELSE c_nationkey END AS c_nationkey FROM customer",
     "j14_merge_lookup_results": "SELECT c_custkey, CASE WHEN z < 35 THEN 80.0::DOUBLE + z END AS score, CASE WHEN z < 35 THEN CASE WHEN z % 2 = 0 THEN 'PointAddress' ELSE 'Locality' END END AS addr_type, NOT (z < 35 AND z >= 15 AND z % 2 = 0) OR c_custkey % 10 = 0 AS needs_verification FROM (SELECT c_custkey, c_custkey % 40 AS z FROM customer)",
     "s1_read_text_csv": """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || chr(10) || '"quoted", ' || c_mktsegment END AS label, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END AS balance FROM customer""",
     "s2_read_typed_csv": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance FROM customer",
-    "s3_read_optional": "SELECT count(*) AS rows, 'found' AS state FROM region UNION ALL SELECT 0, 'missing'",
+    "s3_read_optional": "SELECT count(*) AS rows, 'found' AS state FROM customer UNION ALL SELECT 0, 'missing'",
     "s4_read_paged_lines": "SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS chars FROM documents",
-    "s5_attach_companion_text": "SELECT stem, row_number() OVER (PARTITION BY lang ORDER BY stem) AS order_no, coalesce(length(t), 0) AS companion_chars, coalesce(t, '') = '' AS companion_missing FROM (SELECT lang, printf('doc_%08d', doc_id) AS stem, c.text AS t FROM documents LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) c ON doc_id = conv_id)",
+    "s5_attach_companion_text": "SELECT stem, row_number() OVER (PARTITION BY lang ORDER BY stem) AS order_no, coalesce(length(t), 0) AS companion_chars, coalesce(t, '') = '' AS companion_missing FROM (SELECT lang, printf('doc_%08d', doc_id) AS stem, c.text AS t FROM documents LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id) c ON doc_id = conv_id)",
     "s6_write_table": "SELECT * FROM supplier",
     "s7_geojson_features": """SELECT s_suppkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(s_suppkey::DOUBLE / 4 AS VARCHAR) || ',' || CAST(s_suppkey::DOUBLE / 10 AS VARCHAR) || ']},"properties":{"s_suppkey":' || CAST(s_suppkey AS VARCHAR) || ',"name":' || CASE WHEN s_suppkey % 2 = 0 THEN 'null' ELSE '"' || s_name || '"' END || '}}' AS feature FROM supplier WHERE s_suppkey % 9 <> 0""",
     "s7_feature_collection": """SELECT s_nationkey, '{"type":"FeatureCollection","features":[' || string_agg(f, ',' ORDER BY f) || ']}' AS collection FROM (SELECT s_nationkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(s_suppkey::DOUBLE / 4 AS VARCHAR) || ',' || CAST(s_suppkey::DOUBLE / 10 AS VARCHAR) || ']},"properties":{"s_nationkey":' || CAST(s_nationkey AS VARCHAR) || ',"s_suppkey":' || CAST(s_suppkey AS VARCHAR) || '}}' AS f FROM supplier) GROUP BY s_nationkey""",
-    "s8_register_tables": "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "s8_register_tables": "SELECT c_mktsegment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "s9_table_row_counts": "SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS row_count UNION ALL SELECT 'customer', (SELECT count(*) FROM customer) UNION ALL SELECT 'events', (SELECT count(*) FROM events) UNION ALL SELECT 'part', (SELECT count(*) FROM part)",
 }
