@@ -1,4 +1,6 @@
-"""Corpus pipeline: quality rules, near-duplicate removal, substring dedup, secret scans, best-fit packing."""
+"""Corpus pipeline: quality rules, near-duplicate removal, substring dedup, secret scans, best-fit packing.
+
+Stages whose last step runs Python over whole documents write their result while Arrow batches are small."""
 
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ from eventpulse.llm.jaccard_join import one_of_each_component
 from eventpulse.llm.packing import pack_documents
 from eventpulse.llm.quality import kept_by_quality
 from eventpulse.llm.secrets import redacted, secret_spans
-from eventpulse.llm.storage import saved
+from eventpulse.llm.storage import saved, small_batches
 from eventpulse.llm.substring import substring_dedup
 
 
@@ -22,31 +24,36 @@ def _with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return kept_by_quality(docs, host="source", text="text")
+    with small_batches(spark):
+        return saved(kept_by_quality(docs, host="source", text="text"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of 0.8-similar texts (sets of five-word shingles): that with the smallest doc_id."""
-    return one_of_each_component(docs, width=5, percent=80)
+    with small_batches(spark):
+        return one_of_each_component(docs, width=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of repeated 35-word passages; documents of which nothing is left go."""
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
-    cut = substring_dedup(docs.select(others, "doc_id", "text"), ["_row"], window=35, as_text=True)
-    return _with_text(cut.filter("n_removed = 0 or n_removed < n_words"), docs.columns, "kept_text")
+    with small_batches(spark):
+        cut = substring_dedup(docs.select(others, "doc_id", "text"), ["_row"], window=35, as_text=True)
+        return saved(_with_text(cut.filter("n_removed = 0 or n_removed < n_words"), docs.columns, "kept_text"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets replaced by a mask."""
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
-    spans = secret_spans(docs.select(others, F.col("text").alias("_body")), ["_row", "_body"], text="_body", scan_twice=True)
-    return _with_text(redacted(spans, ["_row"], text="_body"), docs.columns, "redacted")
+    with small_batches(spark):
+        spans = secret_spans(docs.select(others, F.col("text").alias("_body")), ["_row", "_body"], text="_body", scan_twice=True)
+        return saved(_with_text(redacted(spans, ["_row"], text="_body"), docs.columns, "redacted"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of 2048."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    with small_batches(spark):
+        return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
 STAGES = [
