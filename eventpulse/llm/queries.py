@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from .bpe import encode_and_decode
 from .html_text import extract_main_text
 from .jaccard_join import jaccard_components
 from .licenses import licence_scan
+from .merkle import field_digest, folded, merkle_manifest, proof_text
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .quality import quality_rules
@@ -69,6 +72,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, END_OF_TEXT)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, field_digest("doc_id", "source", "lang", "n_chars", lowered))
+    leaf = field_digest("doc_id", "source", "lang", "n_chars", "text")
+    proved = merkle_manifest(docs.withColumn("_tampered", tampered), leaf, "lang", ["doc_id"], ["doc_id", "_tampered"])
+    found = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text("path"), 256).alias("proof_sha256"), folded(F.coalesce("_tampered", "leaf"), "path").alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +95,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_license_scans,
         op10_token_counts,
+        op11_merkle_manifest,
     )
 }
 #: Left out: what SQL can't express or is too slow for on whole tables; those are tested against brute force.
@@ -89,4 +103,5 @@ SQL = {
     "op1_ngram_jaccard_join": oracle.NGRAM_JACCARD_JOIN,
     "op4_quality_rules": oracle.QUALITY_RULES,
     "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op11_merkle_manifest": oracle.MERKLE_MANIFEST,
 }
