@@ -18,11 +18,13 @@ from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .quality import quality_rules
 from .secrets import secret_spans
+from .sentence_pieces import sentence_pieces
 from .substring import substring_dedup
 from .token_counts import document_token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+SENTENCE_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_OF_TEXT = 50256
 
 
@@ -82,6 +84,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces(_table(spark, sf_dir, "documents"), ["doc_id"], SENTENCE_PIECES)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +104,7 @@ QUERIES = {
         op9_license_scans,
         op10_token_counts,
         op11_merkle_manifest,
+        op12_sentencepiece_encoding,
     )
 }
 #: Left out: what SQL can't express or is too slow for on whole tables; those are tested against brute force.
