@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import encode_and_decode
+from .conversations import conversation_digests, repair_conversations
 from .html_text import extract_main_text
 from .jaccard_join import jaccard_components
 from .licenses import licence_scan
@@ -90,6 +91,26 @@ def op12_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the contract's damage, by the checksum of each row's key."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("h"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("h") == 3, 2).otherwise(1))).alias("copy")
+    return rows.filter("h <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    repair = repair_conversations(_damaged(rows))
+    audits = repair.audits.withColumnRenamed("conv_id", "_c")
+    found = rows.select("conv_id").distinct().join(audits, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    found = found.join(conversation_digests(repair.turns), F.col("conv_id").eqNullSafe(F.col("conversation")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +126,7 @@ QUERIES = {
         op10_token_counts,
         op11_merkle_manifest,
         op12_sentencepiece_encoding,
+        op13_conversation_repair,
     )
 }
 #: Left out: what SQL can't express or is too slow for on whole tables; those are tested against brute force.
