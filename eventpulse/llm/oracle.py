@@ -88,3 +88,32 @@ walk AS (SELECT p.doc_id, p.leaf, sub.subroot, p.tree, place, 0 AS level, pos, '
   FROM walk w LEFT JOIN sides s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos WHERE NOT done)
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, walk.h AS folded_root, walk.h = r.h AS verified FROM walk, (SELECT h FROM over_up WHERE n = 1) AS r WHERE done
 """
+
+#: The cheapest edits run over the turns; v0 to v3 are the least (cost, initials) after nothing, a system, a user's and an assistant's turn.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (SELECT *, {CRC32.format(text="k")} % 20 AS h FROM raw),
+rows AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) AS c(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS r FROM rows),
+faults AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, lag(r) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM placed),
+walk AS (SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 's': ''}} AS v0, NULL::STRUCT(c INTEGER, s VARCHAR) AS v1, {{'c': 2, 's': 'I'}} AS v2, {{'c': 4, 's': 'II'}} AS v3 FROM (SELECT DISTINCT conv_id FROM placed)
+  UNION ALL SELECT conv_id, pos, w0, w1, x2, least(w3, CASE WHEN x2 IS NOT NULL THEN {{'c': x2.c + 2, 's': x2.s || 'I'}} END) FROM (
+    SELECT *, least(w2, CASE WHEN least(w0, w1, w3) IS NOT NULL THEN {{'c': least(w0, w1, w3).c + 2, 's': least(w0, w1, w3).s || 'I'}} END) AS x2 FROM (
+      SELECT conv_id, pos, {{'c': v0.c + 3, 's': v0.s || 'D'}} AS w0,
+        least(CASE WHEN v1 IS NOT NULL THEN {{'c': v1.c + 3, 's': v1.s || 'D'}} END, CASE WHEN stays AND r = 's' THEN {{'c': v0.c + cut, 's': v0.s || 'K'}} END) AS w1,
+        least({{'c': v2.c + 3, 's': v2.s || 'D'}}, CASE WHEN stays AND r = 'u' THEN {{'c': o.c + cut, 's': o.s || 'K'}} END, CASE WHEN stays THEN {{'c': o.c + cut + 2, 's': o.s || 'R'}} END) AS w2,
+        least({{'c': v3.c + 3, 's': v3.s || 'D'}}, CASE WHEN stays AND r = 'a' THEN {{'c': v2.c + cut, 's': v2.s || 'K'}} END, CASE WHEN stays THEN {{'c': v2.c + cut + 2, 's': v2.s || 'R'}} END) AS w3
+      FROM (SELECT f.conv_id, f.pos, r, v0, v1, v2, v3, least(v0, v1, v3) AS o, coalesce(fault, '') NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS cut
+        FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1)))),
+best AS (SELECT w.conv_id, least(v0, v3).c AS cost, least(v0, v3).s AS audit FROM walk w JOIN (SELECT DISTINCT conv_id, n FROM faults) f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = f.n),
+steps AS (SELECT conv_id, i, audit[i] AS e, length(replace(left(audit, i), 'I', '')) AS pos, length(replace(audit, 'D', '')) AS many, length(replace(left(audit, i), 'D', '')) - 1 AS place FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM best)),
+lines AS (SELECT s.conv_id, s.i, CASE WHEN e = 'K' THEN f.role WHEN (place - many % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END AS line
+  FROM steps s LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.pos = s.pos AND e <> 'I' WHERE e <> 'D'),
+texts AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM lines GROUP BY conv_id),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pos > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT c.conv_id, {", ".join(f"coalesce({x}, 0)::BIGINT AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))}, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -135,4 +135,5 @@ SQL = {
     "op4_quality_rules": oracle.QUALITY_RULES,
     "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op11_merkle_manifest": oracle.MERKLE_MANIFEST,
+    "op13_conversation_repair": oracle.CONVERSATION_REPAIR,
 }
