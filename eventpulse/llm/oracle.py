@@ -97,7 +97,7 @@ rows AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
   FROM hashed, range(2) AS c(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS r FROM rows),
 faults AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, lag(r) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
-    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM placed),
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault FROM placed),
 walk AS (SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 's': ''}} AS v0, NULL::STRUCT(c INTEGER, s VARCHAR) AS v1, {{'c': 2, 's': 'I'}} AS v2, {{'c': 4, 's': 'II'}} AS v3 FROM (SELECT DISTINCT conv_id FROM placed)
   UNION ALL SELECT conv_id, pos, w0, w1, x2, least(w3, CASE WHEN x2 IS NOT NULL THEN {{'c': x2.c + 2, 's': x2.s || 'I'}} END) FROM (
     SELECT *, least(w2, CASE WHEN least(w0, w1, w3) IS NOT NULL THEN {{'c': least(w0, w1, w3).c + 2, 's': least(w0, w1, w3).s || 'I'}} END) AS x2 FROM (
