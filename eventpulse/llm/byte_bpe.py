@@ -2,14 +2,18 @@
 
 A file of the tokenizers library whose merges are in the order of their ids is a table of ranks; tiktoken encodes
 whole texts with it several times faster. Both give the same ids (the tests compare them over all code points and on
-the tables). A file of another kind is encoded by the tokenizers library itself.
+the tables). tiktoken's regular expressions keep a stack as deep as a run of white space is long and give out near a
+million; texts with a run of over 65,536 such characters, and files of another kind, are encoded by the tokenizers library
+itself.
 """
 
 from __future__ import annotations
 
 import array
+import functools
 import json
 import os
+import re
 from collections.abc import Callable
 
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
@@ -53,6 +57,9 @@ def byte_bpe_encoder(path: str, special_as_text: bool = False) -> Callable[[str]
     return _ENCODERS[key]
 
 
+#: The longest run of white space that tiktoken gets.
+LONG_SPACE = 1 << 16
+_SPACE = re.compile(r"\s+")
 _ENCODERS: dict[tuple, Callable[[str], bytes]] = {}
 
 
@@ -67,9 +74,20 @@ def _made(path: str, special_as_text: bool) -> Callable[[str], bytes]:
     import tiktoken
 
     encoding = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
-    if special_as_text or not specials:
-        return lambda text: as_bytes(encoding.encode_ordinary(text))
-    return lambda text: as_bytes(encoding.encode(text, allowed_special="all") if any(s in text for s in specials) else encoding.encode_ordinary(text))
+    by_library = functools.cache(lambda: _by_library(path, special_as_text))
+
+    def encoded(text: str) -> bytes:
+        if _has_long_space(text):
+            return by_library()(text)
+        if not special_as_text and any(s in text for s in specials):
+            return as_bytes(encoding.encode(text, allowed_special="all"))
+        return as_bytes(encoding.encode_ordinary(text))
+
+    return encoded
+
+
+def _has_long_space(text: str) -> bool:
+    return len(text) > LONG_SPACE and any(m.end() - m.start() > LONG_SPACE for m in _SPACE.finditer(text))
 
 
 def _by_library(path: str, special_as_text: bool) -> Callable[[str], bytes]:

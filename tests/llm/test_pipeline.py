@@ -60,3 +60,11 @@ def test_empty_and_odd(spark, odd_documents):
         for _, stage in corpus_pipeline.STAGES:
             docs = saved(stage(spark, docs, ""))
         docs.count()
+
+
+def test_a_very_long_run_of_white_space(spark):
+    words = " ".join(f"word{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, words + "\n" * 1_200_000 + "End.", "en", "s", 5), (2, "other " * 5 + words, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = saved(stage(spark, docs, ""))
+    assert docs.filter("doc_id = 1").count() > 0

@@ -184,6 +184,21 @@ def test_byte_bpe_equals_the_library():
         assert [encoded(t) for t in texts] == expected and [slow(t) for t in texts[:50]] == expected[:50]
 
 
+LONG_RUNS = [" " * 1_200_000, "\n" * 1_200_000, " \n" * 600_000, "\t" * 1_200_000 + "x", "some words" + " " * 1_200_000 + "and\u3000" + "\u3000" * 1_200_000, "a" * 1_500_000, "1" * 1_500_000, "." * 1_500_000]
+
+
+def test_long_runs_of_one_kind_are_encoded_whole(spark):
+    library = Tokenizer.from_file(BYTE)
+    expected = [byte_bpe.as_bytes(e.ids) for e in library.encode_batch(LONG_RUNS, add_special_tokens=False)]
+    for as_text in (False, True):
+        encoded = byte_bpe.byte_bpe_encoder(BYTE, as_text)
+        assert [encoded(t) for t in LONG_RUNS] == expected
+    docs = spark.createDataFrame(list(enumerate(LONG_RUNS)), "doc_id long, text string").repartition(4)
+    counts = {i: len(e) // 4 for i, e in enumerate(expected)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.document_token_counts(docs, BYTE, 50256).collect()} == counts
+    assert {r.doc_id: r.n for r in packing.pack_documents(docs, BYTE).groupBy("doc_id").sum("length").toDF("doc_id", "n").collect()} == {i: n + 1 for i, n in counts.items()}
+
+
 def test_word_hashes_do_not_collide():
     pair = ["", ""]
     for i in range(2048):
