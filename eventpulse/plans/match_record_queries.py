@@ -163,7 +163,7 @@ def j4_best_reference_match(spark, sf_dir):
 def j5_exact_then_fuzzy(spark, sf_dir):
     left = _altered(spark, sf_dir).select("p_partkey", F.col("typed").alias("key"), F.when(F.col("p_partkey") % 50 == 1, "none").otherwise(F.col("p_brand")).alias("block"))
     right = table(spark, sf_dir, "part").select(F.col("p_name").alias("key"), F.col("p_brand").alias("block")).filter("key <> 'red bolt'")
-    return J.exact_then_fuzzy(left, right, "p_partkey")
+    return J.exact_then_fuzzy(left, right, "p_partkey", "fuzzy_same_studio")
 
 
 def j6_compare_by_slot(spark, sf_dir):
@@ -337,8 +337,8 @@ SQL = {
     "j3_specificity_score": f"""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS q, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '') ELSE split_part(p_name, ' ', 2) END AS r, p_partkey % 7 = 0 AS exact, p_partkey % 2 = 0 AS label, p_partkey % 5 = 0 AS other FROM part),
   a AS (SELECT *, {_ed('q', 'r')} AS e, q = r AS same, length(q) >= 8 AND (r IN ('bolt', 'ring') OR length(r)::DOUBLE / length(q) < 0.45) AS short FROM p), b AS (SELECT *, CASE WHEN same AND other THEN least(e, 89) ELSE e END AS s0, contains(r, q) AS inside, contains(q, r) AND length(r) >= 5 AS around FROM a),
   c AS (SELECT *, CASE WHEN inside THEN greatest(s0, 94) WHEN around THEN greatest(s0, 92) ELSE s0 END - CASE WHEN other THEN 8 ELSE 0 END AS s1 FROM b), d AS (SELECT *, length(q) >= 8 AND length(r)::DOUBLE / length(q) < 0.65 AND s1 < 98 AS thin FROM c)
-  SELECT p_partkey, CASE WHEN exact THEN 101 WHEN same AND NOT other AND label THEN 100.5 WHEN same AND NOT other THEN 100 WHEN short OR thin THEN least(s1, 89) ELSE s1 END::DOUBLE AS match_score, CASE WHEN exact THEN 'exact_full_key' WHEN same AND NOT other AND label THEN 'exact_body_and_label' WHEN same AND NOT other THEN 'exact_body_key'
-  ELSE concat_ws('+', CASE WHEN same AND other THEN 'exact_body_key+venue_mismatch' ELSE 'similarity' END, CASE WHEN inside THEN 'query_contained' WHEN around THEN 'reference_contained' END, CASE WHEN other THEN 'venue_penalty' END, CASE WHEN short THEN 'short_generic' WHEN thin THEN 'coverage' END) END AS match_method FROM d""",
+  SELECT p_partkey, CASE WHEN exact THEN 101 WHEN same AND NOT other AND label THEN 100.5 WHEN same AND NOT other THEN 100 WHEN short OR thin THEN least(s1, 89) ELSE s1 END::DOUBLE AS match_score, CASE WHEN exact THEN 'exact_full_class_key' WHEN same AND NOT other AND label THEN 'exact_body_and_bracket_key' WHEN same AND NOT other THEN 'exact_body_key'
+  ELSE concat_ws('+', CASE WHEN same AND other THEN 'exact_body_key+studio_mismatch_guard' ELSE 'edit' END, CASE WHEN inside THEN 'query_contained' WHEN around THEN 'reference_contained' END, CASE WHEN other THEN 'studio_penalty' END, CASE WHEN short THEN 'short_generic_guard' WHEN thin THEN 'coverage_guard' END) END AS match_method FROM d""",
     "j4_best_reference_match": with_views(_ALT, _REFS, _ASKED, _LADDER) + "SELECT p_partkey, typed, b[1] AS title, round(least(b[2], 100.0::DOUBLE), 2) AS match_score, coalesce(round(least(b[2], 100.0::DOUBLE), 2) < 90, true) AS needs_review, b IS NULL AS unmatched FROM alt LEFT JOIN picked ON typed = query",
     "j5_exact_then_fuzzy": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS key, CASE WHEN p_partkey % 50 = 1 THEN 'none' ELSE p_brand END AS block FROM alt), r AS (SELECT DISTINCT p_name AS key, p_brand AS block FROM part WHERE p_name <> 'red bolt'), f AS (SELECT p_partkey, arg_min(rk, (-s, rk)) AS found, max(s) AS score FROM (SELECT p_partkey, r.key AS rk, {_ed('l.key', 'r.key')} AS s FROM l JOIN r ON l.block = r.block WHERE l.key NOT IN (SELECT key FROM r)) GROUP BY p_partkey) SELECT p_partkey, CASE WHEN l.key IN (SELECT key FROM r) THEN l.key ELSE coalesce(found, '') END AS found, CASE WHEN l.key IN (SELECT key FROM r) THEN 100 ELSE coalesce(score, 0) END::DOUBLE AS score, CASE WHEN l.key IN (SELECT key FROM r) THEN 'exact_normalized' WHEN found IS NULL THEN 'no_candidate_in_block' WHEN score >= 88 THEN 'fuzzy_same_studio' ELSE 'needs_review' END AS match_status FROM l LEFT JOIN f USING (p_partkey)",
     "j6_compare_by_slot": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS title, CAST(p_size AS BIGINT) AS value, p_brand, p_partkey % 40 AS slot FROM alt), r AS (SELECT p_name AS title, CASE WHEN p_partkey % 15 <> 0 THEN CAST(p_size AS BIGINT) END AS value, p_brand, p_partkey % 40 AS slot FROM part), f AS (SELECT p_partkey, arg_min((rt, rv), (-s, rt, coalesce(rv, -1))) AS b, max(s) AS score FROM (SELECT p_partkey, r.title AS rt, r.value AS rv, {_ed('lower(l.title)', 'lower(r.title)')} AS s FROM l JOIN r ON l.p_brand = r.p_brand AND l.slot = r.slot) GROUP BY p_partkey) SELECT p_partkey, b[1] AS found, CASE WHEN b IS NULL THEN 'no_candidate' WHEN score < 70 THEN 'low_confidence' WHEN b[2] IS NULL THEN 'missing_value' WHEN b[2] = value THEN 'same' ELSE 'different' END AS compare_status, CASE WHEN score >= 70 THEN b[2] - value END AS difference FROM l LEFT JOIN f USING (p_partkey)",

@@ -134,7 +134,7 @@ def c2_segment_capacity(spark, sf_dir):
 def c3_capacity_rollup(spark, sf_dir):
     status = F.when(F.col("p_partkey") % 5 == 0, "needs_review").when(F.col("p_partkey") % 5 == 1, "fuzzy_same_studio").otherwise("exact_normalized")
     matched = _segments(spark, sf_dir).filter("part_id is not null").withColumn("match_status", status).withColumnRenamed("p_brand", "venue")
-    return C.capacity_rollup(matched, "venue", "part_id", table(spark, sf_dir, "part").select(F.col("p_brand").alias("venue")).distinct())
+    return C.capacity_rollup(matched, "venue", "part_id", table(spark, sf_dir, "part").select(F.col("p_brand").alias("venue")).distinct(), ("exact_normalized", "fuzzy_same_studio"))
 
 
 def c4_daily_fill(spark, sf_dir):

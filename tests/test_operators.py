@@ -122,7 +122,7 @@ def test_records_edges(spark):
 def test_match_statuses(spark):
     left = spark.createDataFrame([(1, "yoga flow", "v"), (2, "yoga flaw", "v"), (3, "zzz", "v"), (4, "yoga", "w")], "id int, key string, block string")
     right = spark.createDataFrame([("yoga flow", "v"), ("yoga flew", "v")], "key string, block string")
-    out = match.exact_then_fuzzy(left, right, "id").orderBy("id")
+    out = match.exact_then_fuzzy(left, right, "id", "fuzzy_same_studio").orderBy("id")
     assert values(out, "match_status") == ["exact_normalized", "fuzzy_same_studio", "needs_review", "no_candidate_in_block"]
     assert match._ratio("abcd", "bcda") == 75.0 and match._token_set("a b", "b a c") == 100.0
 
@@ -185,14 +185,9 @@ def test_numbers_in_many_ranges(spark, monkeypatch):
     assert sorted((r["n"], r["number"]) for r in numbered) == [(i - 500, i + 1) for i in range(1000)]
 
 
-def test_more_references_than_a_broadcast_takes(spark):
+def test_many_nodes_of_containment(spark):
     from eventpulse.operators import match
 
-    names = [f"class {i:05d} of the hall" for i in range(300)]
-    references = match.reference_dictionary([(spark.createDataFrame([(n,) for n in names], "t string"), "t", "all", 1)])
-    queries = spark.createDataFrame([(names[7],), ("clas 00012 of the hall",), ("",)], "q string")
-    few, many = ({r["q"]: r["title"] for r in match.best_reference_match(queries, references, "q", [], most=most).collect()} for most in (1, 20_000))
-    assert few == many == {names[7]: names[7], "clas 00012 of the hall": names[12], "": None}
     nodes = spark.createDataFrame([(i, f"k{i}", f"hall {i:05d}x", f"street {i:05d}") for i in range(20_001)], "node_order int, node_key string, name string, address string")
     texts = spark.createDataFrame([(1, "Meet at Street 20000 now"), (2, "l 00007X"), (3, "xy"), (4, None)], "row int, place string")
     assert {r["row"]: r["node_key"] for r in match.containment_match(texts, nodes, "row", "place").collect()} == {1: "k20000", 2: "k7", 3: None, 4: None}
