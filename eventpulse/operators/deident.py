@@ -3,36 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventpulse.functions.text import EMAIL, PHONE, as_column
-from eventpulse.sources.files import saved
-
-
-RANGE_ROWS = 250_000
-SAMPLED = 4096
-
-
-def _numbered(values: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Row numbers from 1 in the order of unique values, in ranges between bounds.
-
-    Ranges are counted and offset, so no task numbers all rows. The bounds come from a hash sample of bounded size; they only
-    share out the work. Ranges are at most a thousand, whatever the input; only their counts meet in one window."""
-    values = saved(values.select(*values.columns))
-    rows = values.count()
-    bounds = []
-    if rows > RANGE_ROWS:
-        sample = values.filter(F.pmod(F.xxhash64(*order), F.lit(max(1, rows // SAMPLED))) == 0).select(*order).orderBy(*order).collect()
-        step = max(1, len(sample) * RANGE_ROWS // rows, len(sample) // 1000)
-        bounds = [F.struct(*[F.lit(v).cast(values.schema[c].dataType).alias(c) for c, v in zip(order, row, strict=True)]) for row in sample[step::step]]
-    own = F.struct(*order)
-    place = F.size(F.filter(F.array(*bounds), lambda b: b < own)) if bounds else F.lit(0)
-    ranged = values.withColumn("_range", place)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_own", number).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+from eventpulse.operators.numbering import numbered
 
 
 def ordinal_ids(df: DataFrame, keys: list[str], prefix: str, out: str, digits: int = 4) -> DataFrame:
@@ -40,9 +14,9 @@ def ordinal_ids(df: DataFrame, keys: list[str], prefix: str, out: str, digits: i
     text = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     keyed = df.withColumn("_key", text)
     names = keyed.select("_key").distinct().filter(F.trim(F.replace("_key", F.lit("\u0001"), F.lit(""))) != "")
-    numbered = _numbered(names, ["_key"], "_number")
+    ids = numbered(names, [], ["_key"], "_number")
     shown = F.concat(F.lit(prefix), F.when(F.length(F.col("_number").cast("string")) >= digits, F.col("_number").cast("string")).otherwise(F.lpad(F.col("_number").cast("string"), digits, "0")))
-    return keyed.join(numbered, "_key", "left").withColumn(out, F.when(F.col("_number").isNull(), "").otherwise(shown)).drop("_key", "_number")
+    return keyed.join(ids, "_key", "left").withColumn(out, F.when(F.col("_number").isNull(), "").otherwise(shown)).drop("_key", "_number")
 
 
 def assign_stable_ids(facts: DataFrame, existing: DataFrame, person: list[str], record: str, seen: str, prefix: str = "P") -> DataFrame:
@@ -51,7 +25,7 @@ def assign_stable_ids(facts: DataFrame, existing: DataFrame, person: list[str],
     known = facts.select(*person, record).join(existing, record).groupBy(*person).agg(F.min("person_id").alias("person_id"))
     largest = existing.agg(F.coalesce(F.max(F.substring("person_id", len(prefix) + 1, 20).cast("long")), F.lit(0)).alias("_largest"))
     new = facts.join(known, person, "left_anti").groupBy(*person).agg(F.min(seen).alias("_seen"))
-    new = _numbered(new, ["_seen", *person], "_number").join(F.broadcast(largest))
+    new = numbered(new, [], ["_seen", *person], "_number").join(F.broadcast(largest))
     number = (F.col("_largest") + F.col("_number")).cast("string")
     new = new.select(*person, F.concat(F.lit(prefix), F.lpad(number, 6, "0")).alias("person_id"))
     return facts.join(known.unionByName(new), person, "left")

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
-
 from eventpulse.functions.text import compact_spaces, join_key
+from eventpulse.operators.numbering import numbered
 from eventpulse.sources.files import to_geojson_features
 
+
 STATUSES = ("unknown", "overlap", "comfortable", "tight", "difficult")
 
 
@@ -98,7 +99,7 @@ def review_lists(reviews: DataFrame, key: str, order: str, text: Column, shown:
     """Per key its reviews in order as one text list, blanks dropped, missing order last; at most `shown` are listed (the
     feature's size), all are counted."""
     rows = reviews.withColumn("_text", text).filter(F.trim("_text") != "")
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.asc_nulls_last(order), "_text")))
+    rows = numbered(rows, [key], [F.asc_nulls_last(order), "_text"], "_n")
     return rows.groupBy(key).agg(F.count("*").alias("reviews"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.struct("_n", "_text")))), lambda x: x["_text"]), " | ").alias("texts"))
 
 
@@ -137,9 +138,8 @@ def session_positions(schedule: DataFrame) -> DataFrame:
     whole time range."""
     ends = schedule.agg(F.min(F.unix_micros("start_at")).alias("_low"), F.max(F.unix_micros("start_at")).alias("_high"))
     at = F.coalesce(F.try_divide((F.unix_micros("start_at") - F.col("_low")).cast("double"), (F.col("_high") - F.col("_low")).cast("double")), F.lit(0.0))
-    own = W.partitionBy("place")
-    numbered = schedule.join(F.broadcast(ends)).withColumns({"position": F.row_number().over(own.orderBy(F.asc_nulls_last("start_at"), "session_key")), "place_sessions": F.count("*").over(own), "fraction": rounded(at, 6)})
-    return numbered.drop("_low", "_high")
+    placed = schedule.join(F.broadcast(ends)).withColumn("fraction", rounded(at, 6)).drop("_low", "_high")
+    return numbered(placed, ["place"], [F.asc_nulls_last("start_at"), "session_key"], "position", "place_sessions")
 
 
 def space_time_profile(schedule: DataFrame, top: int = 6) -> DataFrame:
@@ -147,7 +147,7 @@ def space_time_profile(schedule: DataFrame, top: int = 6) -> DataFrame:
     ends = schedule.agg(F.min(F.unix_micros("start_at")).alias("_low"), F.max(F.unix_micros("start_at")).alias("_high"))
     at = F.coalesce(F.try_divide((F.unix_micros("start_at") - F.col("_low")).cast("double"), (F.col("_high") - F.col("_low")).cast("double")), F.lit(0.0))
     placed = schedule.join(F.broadcast(ends)).withColumn("fraction", at)
-    placed = placed.withColumn("_n", F.row_number().over(W.partitionBy("place").orderBy(F.desc("reserved_people"), "session_key")))
+    placed = numbered(placed, ["place"], [F.desc("reserved_people"), "session_key"], "_n")
     return placed.groupBy("place").agg(
         F.count("*").alias("sessions"), F.sum("reserved_people").alias("people"), rounded(F.min("fraction"), 6).alias("first_fraction"), rounded(F.max("fraction"), 6).alias("last_fraction"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= top, F.struct("_n", "session_key")))), lambda x: x["session_key"]), ",").alias("top_sessions"),

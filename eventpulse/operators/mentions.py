@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
 from eventpulse.functions.text import matched_terms, no_spaces, present
+from eventpulse.operators.numbering import numbered
 
 from .deident import ordinal_ids
 from .metrics import avgrank_scores
@@ -41,8 +41,7 @@ def review_queue(df: DataFrame, keyword: str, terms: list[str], text: list[str])
     out = df.withColumns({"keyword_present": F.contains(no_spaces(body), F.lit(keyword.lower().replace(" ", ""))), "matched_terms": F.array_join(matched_terms(body, terms), ";")})
     out = out.withColumn("needs_manual_review", ~F.col("keyword_present") | (F.col("matched_terms") == ""))
     out = ordinal_ids(out, ["platform", "url"], "M_", "mention_id", 5)
-    newest = W.partitionBy("platform").orderBy(F.desc_nulls_last(F.nullif("published", F.lit(""))), "url")
-    return out.withColumn("queue_no", F.row_number().over(newest))
+    return numbered(out, ["platform"], [F.desc_nulls_last(F.nullif("published", F.lit(""))), "url"], "queue_no")
 
 
 def confirm_mentions(df: DataFrame, keyword: str, since: str) -> DataFrame:

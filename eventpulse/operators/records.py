@@ -13,6 +13,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from eventpulse.functions.text import normalize_time, present, safe_float, safe_int
+from eventpulse.operators.numbering import numbered
 
 
 def file_order() -> WindowSpec:
@@ -214,7 +215,7 @@ def enrich_hits(hits: DataFrame, items: DataFrame, owners: DataFrame, item: str,
 def query_hit_counts(hits: DataFrame, queries: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(hits with query_rank, per query hits and the distinct values of item and, where hits have them, of link and owner;
     zero included)."""
-    ranked = hits.withColumn("query_rank", F.row_number().over(W.partitionBy("query").orderBy(order)))
+    ranked = numbered(hits, ["query"], [order], "query_rank")
     distinct = [c for c in ("item", "link", "owner") if c in hits.columns]
     counts = hits.groupBy("query").agg(F.count("*").alias("hits"), *[F.count_distinct(c).alias(f"unique_{c}s") for c in distinct])
     return ranked, queries.join(counts, "query", "left").na.fill(0, ["hits", *[f"unique_{c}s" for c in distinct]])

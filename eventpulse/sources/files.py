@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +61,11 @@ def read_paged_lines(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def attach_companion_text(items: DataFrame, texts: DataFrame, stem: str) -> DataFrame:
     """Items in order of name with their text by stem, "" where missing, and its characters."""
+    from eventpulse.operators.numbering import numbered  # which writes through this module
+
     named = items.join(texts.select(stem, "companion"), stem, "left").withColumn("companion", F.coalesce("companion", F.lit("")))
-    return named.withColumns({"order_no": F.row_number().over(W.partitionBy("collection").orderBy(stem)), "companion_chars": F.length("companion").cast("long"), "companion_missing": F.col("companion") == ""})
+    named = numbered(named, ["collection"], [stem], "order_no")
+    return named.withColumns({"companion_chars": F.length("companion").cast("long"), "companion_missing": F.col("companion") == ""})
 
 
 def write_table(df: DataFrame, path: str, fmt: str) -> None:

@@ -173,16 +173,15 @@ def test_nearest_node_across_the_seam_and_at_the_poles(spark):
     assert [r["nearest"] for r in nearest_node(p, n.limit(0)).collect()] == [None] * len(points)
 
 
-def test_numbers_in_many_ranges(spark, monkeypatch):
-    from eventpulse.operators import deident
-
-    monkeypatch.setattr(deident, "RANGE_ROWS", 10)
+def test_ids_of_many_keys(spark):
     rows = [(f"https://one.example/{i * 7919 % 1000:04d}", i - 500) for i in range(1000)]
     df = spark.createDataFrame(rows, "url string, n long")
-    out = deident.ordinal_ids(df, ["url"], "U_", "id").collect()
-    assert [r["id"] for r in sorted(out, key=lambda r: r["url"])] == [f"U_{i:04d}" for i in range(1, 1001)]
-    numbered = deident._numbered(df, ["n", "url"], "number").collect()
-    assert sorted((r["n"], r["number"]) for r in numbered) == [(i - 500, i + 1) for i in range(1000)]
+    out = deident.ordinal_ids(df, ["url"], "U_", "id")
+    assert [r["id"] for r in sorted(out.collect(), key=lambda r: r["url"])] == [f"U_{i:04d}" for i in range(1, 1001)]
+    many = deident.ordinal_ids(spark.range(300_000).select(F.md5(F.col("id").cast("string")).alias("k")), ["k"], "", "id", 6)
+    assert many.agg(F.count_distinct("id"), F.min("id"), F.max("id")).first() == (300_000, "000001", "300000")
+    plans = [len(f._jdf.queryExecution().optimizedPlan().toString()) for f in (out, many)]
+    assert max(plans) < 3 * min(plans)
 
 
 def test_many_nodes_of_containment(spark):
