@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventpulse.functions.terms import scan_terms
+
 ANY_SPACE = r"[\s\x0B\x85\p{Z}]"
 
 
@@ -258,16 +260,19 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def keyword_count(c: Column | str, terms: list[str], plain: bool = False) -> Column:
-    """Occurrences of all terms, ignoring case and spaces; plain tells that c is a no_spaces column already."""
-    text = as_column(c) if plain else no_spaces(c)
-    return reduce(lambda a, b: a + b, [occurrences(text, t.lower().replace(" ", "")) for t in terms], F.lit(0).cast("long"))
+    """Occurrences of all terms, ignoring case and spaces, those of one term not overlapping; plain tells that c is a no_spaces
+    column already."""
+    return scan_terms(as_column(c) if plain else no_spaces(c), {"n": terms})["c0"]
+
+
+def shown_terms(terms: list[str], aliases: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(term, what is shown of it), longest first, then by name."""
+    return [(t, (aliases or {}).get(t, t)) for t in sorted(set(terms), key=lambda t: (-len(t), t))]
 
 
 def matched_terms(c: Column | str, terms: list[str], aliases: dict[str, str] | None = None, plain: bool = False) -> Column:
     """Array of the terms that the text holds, longest first, then by name; aliased, each once; plain as in keyword_count."""
-    text = as_column(c) if plain else no_spaces(c)
-    found = [F.when(F.contains(text, F.lit(t.lower().replace(" ", ""))), F.lit((aliases or {}).get(t, t))) for t in sorted(set(terms), key=lambda t: (-len(t), t))]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    return scan_terms(as_column(c) if plain else no_spaces(c), found={"terms": shown_terms(terms, aliases)})["c0"]
 
 
 def section_between(c: Column | str, starts: list[str], ends: list[str]) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
-from eventpulse.functions.text import keyword_count, matched_terms, no_spaces, occurrences
+from eventpulse.functions.terms import scan_terms
+from eventpulse.functions.text import no_spaces, occurrences, shown_terms
+from eventpulse.operators.rules import band_of, capped_sum, first_that_holds
 
 
 def theme_features(df: DataFrame, text: str, themes: dict[str, list[str]], event: str, terms: list[str], noise: list[str]) -> DataFrame:
@@ -19,21 +19,31 @@ def theme_features(df: DataFrame, text: str, themes: dict[str, list[str]], event
 
 
 def count_keywords(df: DataFrame, text: str, counts: dict[str, list[str]], found: dict[str, list[str]] | None = None) -> DataFrame:
-    """Adds counts of keywords and lists of found terms, of a text that is made plain once."""
-    lists = {name: F.array_join(matched_terms("_plain", terms, plain=True), ";") for name, terms in (found or {}).items()}
-    return df.withColumn("_plain", no_spaces(text)).withColumns({name: keyword_count("_plain", words, plain=True) for name, words in counts.items()} | lists).drop("_plain")
+    """Adds counts of keywords and lists of found terms, in one pass over a text that is made plain once."""
+    found = found or {}
+    scanned = df.withColumn("_found", scan_terms(no_spaces(text), counts, {n: shown_terms(t) for n, t in found.items()}))
+    new = {n: F.col(f"_found.c{i}") if n in counts else F.array_join(f"_found.c{i}", ";") for i, n in enumerate([*counts, *found])}
+    return scanned.withColumns(new).drop("_found")
 
 
-def match_terms_by(df: DataFrame, row: str, text: str, dictionary: DataFrame, out: str, most: int = 10_000) -> DataFrame:
+def match_terms_by(df: DataFrame, row: str, text: str, dictionary: DataFrame, out: str, most: int = 1_000_000) -> DataFrame:
     """Adds the aliases of the dictionary's terms (term, alias or null) that the text holds, ignoring case and spaces, by
-    longest term, then name, each once. row is a key of df. A dictionary of at most `most` terms goes to every task as one
-    array; a larger one is joined by the first three characters of its terms (shorter terms stay in the array)."""
+    longest term, then name, each once. row is a key of df. A dictionary of at most `most` terms becomes one automaton in
+    each task, run once over a text whatever its size; a larger one is joined by the first three characters of its terms (shorter ones by
+    the automaton)."""
     terms = dictionary.select(no_spaces("term").alias("key"), F.coalesce("alias", "term").alias("alias")).filter("key <> ''").distinct()
     entry = F.struct((-F.length("key")).alias("n"), "key", "alias")
     small = dictionary.limit(most + 1).count() <= most
-    array = terms.filter(F.lit(True) if small else F.length("key") < 3).agg(F.collect_list(entry).alias("_all"))
-    plain = df.withColumn("_plain", no_spaces(text)).crossJoin(F.broadcast(array))
-    found = plain.withColumn("_found", F.filter("_all", lambda t: F.contains(F.col("_plain"), t["key"]))).drop("_all")
+    near = terms.filter(F.lit(True) if small else F.length("key") < 3).limit(most + 1).collect()  # at most `most`, or the few short ones
+    if len(near) > most:
+        raise ValueError(f"over {most} different terms of fewer than three characters")
+    listed = sorted({(-len(t.key), t.key, t.alias) for t in near})
+    if small:
+        return df.withColumn(out, F.array_join(scan_terms(no_spaces(text), found={out: [(k, a) for _, k, a in listed]})["c0"], ";"))
+    shown = [(k, "\u0001".join((k, a))) for _, k, a in listed]
+    held = df.withColumn("_plain", no_spaces(text)).withColumn("_held", scan_terms(F.col("_plain"), found={out: shown})["c0"])
+    parts = F.transform("_held", lambda t: F.split(t, "\u0001"))
+    found = held.withColumn("_found", F.transform(parts, lambda t: F.struct((-F.length(t[0])).alias("n"), t[0].alias("key"), t[1].alias("alias")))).drop("_held")
     if not small:
         gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
         grams = found.filter(F.length("_plain") >= 3).select(F.col(row).alias("_row"), "_plain", F.explode(gram("_plain")).alias("_gram"))
@@ -131,7 +141,8 @@ def quality_summary(df: DataFrame) -> DataFrame:
 
 def block_theme_counts(blocks: DataFrame, page: str, text: str, themes: dict[str, list[str]]) -> DataFrame:
     """Blocks per page and first-hit theme, unmatched as other, with the page's blocks and number of themes."""
-    label = reduce(lambda rest, t: F.when(keyword_count(text, themes[t]) > 0, F.lit(t)).otherwise(rest), reversed(list(themes)), F.lit("other"))
-    counts = blocks.groupBy(page, label.alias("theme")).agg(F.count("*").alias("blocks"))
+    scanned = blocks.withColumn("_found", scan_terms(no_spaces(text), themes))
+    label = first_that_holds([(F.col(f"_found.c{i}") > 0, t) for i, t in enumerate(themes)], "other")
+    counts = scanned.groupBy(page, label.alias("theme")).agg(F.count("*").alias("blocks"))
     pages = counts.groupBy(page).agg(F.sum("blocks").alias("page_blocks"), F.count_if(F.col("theme") != "other").alias("page_themes"))
     return counts.join(pages, page)
