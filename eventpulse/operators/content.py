@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventpulse.functions.numbers import rounded
 from eventpulse.functions.terms import scan_terms
 from eventpulse.functions.text import no_spaces, occurrences, shown_terms
-from eventpulse.operators.rules import band_of, capped_sum, first_that_holds
+from eventpulse.operators.rules import Comparison, Score, all_hold, first_that_holds, label_by, score_of
 
 
 def theme_features(df: DataFrame, text: str, themes: dict[str, list[str]], event: str, terms: list[str], noise: list[str]) -> DataFrame:
@@ -71,64 +73,24 @@ def term_theme_summary(df: DataFrame) -> DataFrame:
     return df.withColumn("term", term).groupBy("term").agg(F.count("*").alias("mentions"), F.count_if("event_present").alias("with_event"), F.count_distinct("primary_theme").alias("themes"))
 
 
-def capped(c: Column, most: int) -> Column:
-    return F.least(c, F.lit(most))
+def number_of_terms(terms: str) -> Column:
+    return F.when(F.col(terms) == "", 0).otherwise(F.size(F.split(terms, ";")))
 
 
-def clamped(c: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), c)).cast("long")
+def scored_and_labelled(df: DataFrame, score: str, spec: Score, label: str, table: list[tuple[str, list[Comparison]]], otherwise: str) -> DataFrame:
+    """Adds a score (relevance, depth, emotion) by its specification and a label by the first row of its table that holds;
+    the table may name the score."""
+    return df.withColumn(score, score_of(spec)).withColumn(label, label_by(table, otherwise))
 
 
-def number_of_terms(terms: str) -> Column:
-    return F.when(F.col(terms) == "", 0).otherwise(F.size(F.split(terms, ";")))
+def exclamation_marks(text: str) -> Column:
+    return occurrences(F.coalesce(F.col(text), F.lit("")), "!")
 
 
-def relevance_score(df: DataFrame) -> DataFrame:
-    """Adds relevance and its level from event_count, title_event_count, terms, chars, experience and mixed counts."""
-    there = F.col("event_count") > 0
-    score = (
-        F.when(there, 45).otherwise(0) + capped(F.col("event_count"), 6) * 5 + F.when(F.col("title_event_count") > 0, 15).otherwise(0) + capped(number_of_terms("terms"), 4) * 4
-        + F.when(F.col("chars") >= 600, 10).otherwise(0) + capped(F.col("experience"), 5) * 2 - F.when((F.col("mixed") >= 5) & (F.col("event_count") <= 1), 15).otherwise(0)
-    )
-    df = df.withColumn("relevance", clamped(F.when(there, score).otherwise(capped(score, 45))))
-    level = (
-        F.when((F.col("event_count") >= 2) & (F.col("relevance") >= 70), "confirmed_body_strong").when(there & (F.col("relevance") >= 55), "confirmed_body_basic").when(there, "confirmed_body_weak")
-        .when(F.col("title_event_count") >= 1, "needs_review_title_only").otherwise("needs_review_no_body_event_keyword")
-    )
-    return df.withColumn("relevance_level", level)
-
-
-def depth_score(df: DataFrame) -> DataFrame:
-    """Adds depth and its label from length bands and capped keyword counts."""
-    chars = F.col("chars")
-    length = F.when(chars >= 1800, 35).when(chars >= 1000, 28).when(chars >= 600, 20).when(chars >= 300, 12).when(chars > 0, 5).otherwise(0)
-    score = length + capped(F.col("experience") * 4, 25) + capped(F.col("detail") * 2, 20) + capped(F.col("reflection") * 3, 15) + capped(number_of_terms("terms") * 3, 10)
-    df = df.withColumn("depth", clamped(score))
-    return df.withColumn("depth_label", F.when(F.col("depth") >= 70, "high_depth").when(F.col("depth") >= 45, "medium_depth").when(F.col("depth") >= 25, "low_depth").otherwise("thin_reference"))
-
-
-def emotion_score(df: DataFrame, text: str) -> DataFrame:
-    """Adds emotion and tone from positive, negative and reflection counts and exclamation marks."""
-    marks = occurrences(F.coalesce(F.col(text), F.lit("")), "!")
-    score = capped(F.col("positive") * 4, 45) + capped(F.col("negative") * 3, 20) + capped(F.col("reflection") * 2, 20) + capped(marks * 3, 15)
-    df = df.withColumn("emotion", clamped(score))
-    positive, negative = F.col("positive"), F.col("negative")
-    tone = F.when((negative >= 3) & (negative >= positive), "negative_or_disappointed").when((positive >= 10) | (F.col("emotion") >= 65), "very_positive").when(positive >= 3, "positive")
-    return df.withColumn("tone", tone.when((positive > 0) & (negative > 0), "mixed").otherwise("neutral_or_unclear"))
-
-
-def post_type(df: DataFrame) -> DataFrame:
-    """Adds topic_risk, post_type (seven ordered rules) and manual_review."""
-    mixed, events = F.col("mixed"), F.col("event_count")
-    risk = F.when((mixed >= 5) & (events <= 2), "high").when((mixed >= 3) & (events <= 1), "medium").when((mixed >= 2) & (events == 0) & (F.col("chars") >= 600), "medium").otherwise("low")
-    df = df.withColumn("topic_risk", risk)
-    kind = (
-        F.when(events == 0, "title_only_or_extraction_gap").when((F.col("topic_risk") == "high") & (events <= 2), "mixed_context_event_mention")
-        .when((F.col("promo") >= 4) & (F.col("experience") <= 2), "official_or_promotional_notice").when((F.col("depth") >= 70) & (F.col("emotion") >= 55), "immersive_participant_review")
-        .when((F.col("depth") >= 45) & (F.col("experience") >= 3), "participant_experience_review").when(F.col("detail") >= 8, "space_or_program_overview").otherwise("event_reference_or_light_review")
-    )
-    df = df.withColumn("post_type", kind)
-    return df.withColumn("manual_review", F.startswith("relevance_level", F.lit("needs_review")) | (F.col("topic_risk") == "high") | (F.col("post_type") == "mixed_context_event_mention"))
+def typed_posts(df: DataFrame, risks: list, no_risk: str, types: list, no_type: str, reviews: list[list[Comparison]]) -> DataFrame:
+    """Adds topic_risk and post_type by tables, and manual_review, whether all comparisons of any of `reviews` hold."""
+    review = reduce(lambda a, b: a | b, map(all_hold, reviews))
+    return df.withColumns({"topic_risk": label_by(risks, no_risk), "post_type": label_by(types, no_type), "manual_review": review})
 
 
 def post_type_summary(df: DataFrame) -> DataFrame:

@@ -59,3 +59,53 @@ def adjusted(df: DataFrame, score: str, notes: str, table: Sequence[Adjustment],
         values, texts = F.array(*[F.lit(r.value) for r in fixed]), F.array(*[F.lit(r.text) for r in fixed])
         df = df.withColumns({score: F.when(F.col("_set").isNull(), F.col(score)).otherwise(F.get(values, F.col("_set"))), notes: F.when(F.col("_set").isNull(), F.col(notes)).otherwise(F.get(texts, F.col("_set")))}).drop("_set")
     return df.drop("_holds")
+
+
+#: A comparison: column, operator, value (a text is another column's name).
+Comparison = tuple[str, str, object]
+OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
+    ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b, "=": lambda a, b: a == b, "starts": lambda a, b: F.startswith(a, b),
+}
+
+
+def all_hold(comparisons: Sequence[Comparison]) -> Column:
+    """Whether all comparisons hold; one with a null doesn't."""
+    other = lambda op, v: F.col(v) if isinstance(v, str) and op != "starts" else F.lit(v)
+    return F.coalesce(reduce(lambda a, b: a & b, [OPERATORS[op](F.col(c), other(op, v)) for c, op, v in comparisons], F.lit(True)), F.lit(False))
+
+
+def label_by(table: Sequence[tuple[str, Sequence[Comparison]]], otherwise: str) -> Column:
+    """The first label of the table (label, comparisons) all of whose comparisons hold."""
+    return first_that_holds([(all_hold(comparisons), label) for label, comparisons in table], otherwise)
+
+
+@dataclass(frozen=True)
+class Term:
+    """A part of a score: weight times a column, or weight alone where all comparisons hold; no more than the cap."""
+
+    weight: float
+    column: str | None = None
+    when: Sequence[Comparison] = ()
+    cap: float | None = None
+
+
+@dataclass(frozen=True)
+class Score:
+    """A capped linear score: terms, the points of the highest band that each banded column reaches, a ceiling where its
+    comparisons hold, all between low and high."""
+
+    terms: Sequence[Term]
+    bands: Sequence[tuple[str, Sequence[tuple[float, float]]]] = ()
+    ceiling: tuple[Sequence[Comparison], float] | None = None
+    low: float = 0
+    high: float = 100
+
+
+def score_of(spec: Score) -> Column:
+    """A score as a whole number."""
+    parts = [(F.col(t.column) if t.column else F.when(all_hold(t.when), 1).otherwise(0), t.weight, t.cap) for t in spec.terms]
+    parts += [(band_of(F.col(column), bands, 0), 1, None) for column, bands in spec.bands]
+    total = capped_sum(parts, 0)
+    if spec.ceiling:
+        total = F.when(all_hold(spec.ceiling[0]), F.least(total, F.lit(spec.ceiling[1]))).otherwise(total)
+    return F.greatest(F.lit(spec.low), F.least(F.lit(spec.high), total)).cast("long")

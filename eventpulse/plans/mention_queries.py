@@ -12,6 +12,7 @@ from eventpulse.operators import mentions as V
 from eventpulse.operators import metrics as M
 from eventpulse.operators import quality as Q
 
+from . import fixed_values as fixed
 from .tables import table, with_views
 
 TERMS = ["that", "heit", "tion", "ment", "ción"]
@@ -138,7 +139,11 @@ COUNTED = {"experience": ["with", "mit"], "detail": ["tion", "ung"], "reflection
 def _scored(spark, sf_dir):
     docs = _themed(spark, sf_dir)
     docs = B.count_keywords(docs, "text", COUNTED).withColumns({"title_event_count": keyword_count(F.split_part("text", F.lit("\n"), F.lit(1)), ["the"]), "chars": F.col("n_chars")})
-    return B.post_type(B.emotion_score(B.depth_score(B.relevance_score(docs)), "text"))
+    docs = docs.withColumns({"n_terms": B.number_of_terms("terms"), "marks": B.exclamation_marks("text")})
+    docs = B.scored_and_labelled(docs, "relevance", fixed.RELEVANCE, "relevance_level", fixed.RELEVANCE_LEVELS, fixed.NO_RELEVANCE)
+    docs = B.scored_and_labelled(docs, "depth", fixed.DEPTH, "depth_label", fixed.DEPTH_LABELS, fixed.NO_DEPTH)
+    docs = B.scored_and_labelled(docs, "emotion", fixed.EMOTION, "tone", fixed.TONES, fixed.NO_TONE)
+    return B.typed_posts(docs, fixed.RISKS, fixed.NO_RISK, fixed.POST_TYPES, fixed.NO_POST_TYPE, fixed.REVIEWS)
 
 
 def b5_relevance_score(spark, sf_dir):

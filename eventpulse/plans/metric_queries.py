@@ -10,6 +10,7 @@ from eventpulse.operators import capacity as C
 from eventpulse.operators import metrics as M
 from eventpulse.operators import settlement as P
 
+from . import fixed_values as fixed
 from .tables import BOOKINGS, REVIEWS, bookings, reviews, table, with_views
 
 METHODS = ["pass", "one_time", "unknown"]
@@ -124,7 +125,8 @@ def _segments(spark, sf_dir):
     by_part = C.capacity_by_key(_sessions(spark, sf_dir), "part_id").select("part_id", "fill_weighted", "reserved_total", "capacity_total", "sessions")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_partkey") % 100).cast("double").alias("score"))
     joined = parts.join(by_part, parts["p_partkey"] == by_part["part_id"], "left")
-    return joined.withColumn("fill", F.when(F.col("p_partkey") % 11 == 0, None).otherwise(F.col("fill_weighted"))).withColumn("segment", C.segment_capacity("fill", ["score"]))
+    filled = joined.withColumn("fill", F.when(F.col("p_partkey") % 11 == 0, None).otherwise(F.col("fill_weighted")))
+    return C.segment_capacity(filled, "fill", ["score"], fixed.SEGMENTS, fixed.NO_SEGMENT, fixed.NO_FILL)
 
 
 def c2_segment_capacity(spark, sf_dir):
@@ -167,9 +169,13 @@ def p4_cancellation_history(spark, sf_dir):
     return P.cancellation_history(_owned(spark, sf_dir).filter("kind = 'cancellation'"), ["month", "class_key"])
 
 
+def _bands(spark, rows):
+    return P.bands_of(spark.createDataFrame(rows, "low long, high long, label string, rate double"))
+
+
 def p5_band_lookup(spark, sf_dir):
     usage = _reserved(spark, sf_dir).filter("method = 'pass'").groupBy("person", "month").agg(F.sum("people").alias("used"))
-    return P.band_lookup(usage, "used")
+    return P.band_lookup(usage, "used", _bands(spark, fixed.RATE_BANDS))
 
 
 def _usage(spark, sf_dir):
@@ -177,15 +183,15 @@ def _usage(spark, sf_dir):
 
 
 def p6_weighted_rate(spark, sf_dir):
-    return P.weighted_rate(_usage(spark, sf_dir), BASIS_KEYS)
+    return P.weighted_rate(_usage(spark, sf_dir), BASIS_KEYS, _bands(spark, fixed.RATE_BANDS))
 
 
 def p7_band_breakdown(spark, sf_dir):
-    return P.band_breakdown(_usage(spark, sf_dir), BASIS_KEYS)
+    return P.band_breakdown(_usage(spark, sf_dir), BASIS_KEYS, _bands(spark, fixed.RATE_BANDS))
 
 
 def p8_merge_breakdowns(spark, sf_dir):
-    return P.merge_breakdowns(P.band_breakdown(_usage(spark, sf_dir), BASIS_KEYS), ["month", "owner"])
+    return P.merge_breakdowns(p7_band_breakdown(spark, sf_dir), ["month", "owner"], _bands(spark, fixed.RATE_BANDS))
 
 
 def p9_pivot_methods(spark, sf_dir):
@@ -193,7 +199,7 @@ def p9_pivot_methods(spark, sf_dir):
 
 
 def _basis(spark, sf_dir):
-    return P.settlement_basis(_owned(spark, sf_dir), BASIS_KEYS, METHODS, 0.55)
+    return P.settlement_basis(_owned(spark, sf_dir), BASIS_KEYS, METHODS, 0.55, _bands(spark, fixed.RATE_BANDS))
 
 
 def p10_settlement_basis(spark, sf_dir):
@@ -201,11 +207,11 @@ def p10_settlement_basis(spark, sf_dir):
 
 
 def p11_owner_month_rollup(spark, sf_dir):
-    return P.owner_month_rollup(_basis(spark, sf_dir))
+    return P.owner_month_rollup(_basis(spark, sf_dir), _bands(spark, fixed.RATE_BANDS))
 
 
 def p12_package_inference(spark, sf_dir):
-    return P.package_inference(_reserved(spark, sf_dir).filter("method = 'pass'"), [(1, 50, "small"), (51, 200, "medium"), (201, None, "large")])
+    return P.package_inference(_reserved(spark, sf_dir).filter("method = 'pass'"), _bands(spark, fixed.PACKAGES))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "mcp" and n[1:2].isdigit()}
@@ -265,7 +271,7 @@ SQL = {
     "m12_value_counts": "SELECT CASE WHEN event_type = 'click' THEN 'missing' ELSE event_type END AS value, count(*) AS rows FROM events GROUP BY 1",
     "m13_top_n": with_views(*_VENUE_VIEWS, _SCORES) + "SELECT venue, reservation_score, payment_score FROM ranked ORDER BY reservation_score DESC NULLS LAST, payment_score DESC NULLS LAST, venue LIMIT 10",
     "m14_overall_profile": with_views(*_VENUE_VIEWS) + "SELECT count(*) AS entities, CAST(sum(reservation_count) AS BIGINT) AS reserved, CAST(sum(cancellation_count) AS BIGINT) AS cancelled, CAST(sum(review_count) AS BIGINT) AS reviews, count(*) FILTER (WHERE review_count = 0) AS without_review_count, round(avg(avg_rating), 6) AS mean_avg_rating, count(*) FILTER (WHERE cancellation_count > 0) AS cancelled_at_entities, count(*) FILTER (WHERE avg_rating >= 4) AS rated_well_entities, count(*) FILTER (WHERE avg_rating IS NULL) AS unrated_entities FROM rated",
-    "c1_capacity_by_key": with_views(BOOKINGS, _SESSIONS, REVIEWS) + "SELECT venue, coalesce((SELECT count(*) FROM reviews r WHERE r.venue = x.venue), 0) AS review_count, count(*) AS sessions, CAST(sum(reserved) AS BIGINT) AS reserved_total, CAST(sum(capacity) AS BIGINT) AS capacity_total, avg(capacity) AS capacity_mean, min(capacity) AS capacity_min, max(capacity) AS capacity_max, round(avg(f), 6) AS fill_mean, round(median(f), 6) AS fill_median, count(*) FILTER (WHERE f >= 1) AS sold_out, count(*) FILTER (WHERE f >= 0.8) AS high, count(*) FILTER (WHERE f < 0.5) AS low, count(*) FILTER (WHERE reserved = 0) AS empty, min(day) AS first_day, max(day) AS last_day, round(sum(reserved)::DOUBLE / sum(capacity), 6) AS fill_weighted, round(count(*) FILTER (WHERE f >= 1)::DOUBLE / count(*), 6) AS sold_out_share, round(count(*) FILTER (WHERE f < 0.5)::DOUBLE / count(*), 6) AS low_share FROM (SELECT *, reserved::DOUBLE / nullif(capacity, 0) AS f FROM sessions) x GROUP BY venue",
+    "c1_capacity_by_key": with_views(BOOKINGS, _SESSIONS, REVIEWS) + "SELECT venue, coalesce((SELECT count(*) FROM reviews r WHERE r.venue = x.venue), 0) AS review_count, count(*) AS sessions, CAST(sum(reserved) AS BIGINT) AS reserved_total, CAST(sum(capacity) AS BIGINT) AS capacity_total, avg(capacity) AS capacity_mean, min(capacity) AS capacity_min, max(capacity) AS capacity_max, round(avg(f), 6) AS fill_mean, round(median(f), 6) AS fill_median, count(*) FILTER (WHERE f >= 1) AS sold_out, count(*) FILTER (WHERE f >= 0.8) AS high, count(*) FILTER (WHERE f < 0.5) AS low, count(*) FILTER (WHERE reserved = 0) AS empty, min(day) AS first_day, max(day) AS last_day, round(sum(reserved)::DOUBLE / sum(capacity), 6) AS fill_weighted, round(count(*) FILTER (WHERE f >= 1)::DOUBLE / count(*), 6) AS sold_out_share, round(count(*) FILTER (WHERE f >= 0.8)::DOUBLE / count(*), 6) AS high_share, round(count(*) FILTER (WHERE f < 0.5)::DOUBLE / count(*), 6) AS low_share FROM (SELECT *, reserved::DOUBLE / nullif(capacity, 0) AS f FROM sessions) x GROUP BY venue",
     "c2_segment_capacity": with_views(BOOKINGS, _SESSIONS, _SEG) + "SELECT p_partkey, segment FROM seg",
     "c3_capacity_rollup": with_views(BOOKINGS, _SESSIONS, _SEG) + "SELECT * FROM (SELECT DISTINCT p_brand AS venue FROM part) LEFT JOIN (SELECT venue, count(*) AS capacity_keys, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(reserved_total) AS BIGINT) AS reserved_total, CAST(sum(capacity_total) AS BIGINT) AS capacity_total, count(*) FILTER (WHERE segment = 'expand_or_repeat_candidate') AS expand_count, count(*) FILTER (WHERE segment = 'message_or_schedule_review') AS review_count, count(*) FILTER (WHERE segment = 'demand_development_candidate') AS develop_count, round(sum(reserved_total)::DOUBLE / sum(capacity_total), 6) AS fill_weighted FROM seg WHERE sessions IS NOT NULL AND p_partkey % 5 <> 0 GROUP BY venue) USING (venue)",
     "c4_daily_fill": with_views(BOOKINGS, _SESSIONS) + "SELECT day, count(*) AS sessions, CAST(sum(reserved) AS BIGINT) AS reserved, CAST(sum(capacity) AS BIGINT) AS capacity, round(sum(reserved)::DOUBLE / sum(capacity), 6) AS fill_rate FROM sessions GROUP BY day",
@@ -279,6 +285,6 @@ SQL = {
     "p8_merge_breakdowns": with_views(*_OWN, _USAGE) + f"SELECT month, owner, string_agg(b || ':' || CAST(n AS VARCHAR), '; ' ORDER BY CASE b WHEN '1-9' THEN 0 WHEN '10-99' THEN 1 ELSE 2 END) AS breakdown FROM (SELECT month, owner, {_BAND.format(x='month_used')} AS b, CAST(sum(used) AS BIGINT) AS n FROM usage GROUP BY ALL) GROUP BY month, owner",
     "p9_pivot_methods": with_views(*_OWN) + "SELECT month, owner, CAST(coalesce(sum(people) FILTER (WHERE method = 'pass'), 0) AS BIGINT) AS pass_people, CAST(coalesce(sum(people) FILTER (WHERE method = 'one_time'), 0) AS BIGINT) AS one_time_people, CAST(coalesce(sum(people) FILTER (WHERE method = 'unknown'), 0) AS BIGINT) AS unknown_people FROM owned WHERE kind = 'reservation' GROUP BY ALL",
     "p10_settlement_basis": with_views(*_OWN, _USAGE, _WRATE, _BASIS) + "SELECT * FROM basis",
-    "p11_owner_month_rollup": with_views(*_OWN, _USAGE, _WRATE, _BASIS) + "SELECT month, owner, count(DISTINCT class_key) AS classes, count(DISTINCT venue) AS venues, string_agg(DISTINCT venue, ', ' ORDER BY venue) AS venue_list, CAST(sum(total_people) AS BIGINT) AS total_people, CAST(sum(pass_people) AS BIGINT) AS pass_people, CAST(sum(cancelled_history) AS BIGINT) AS cancelled_history, coalesce(round(sum(pass_people * CAST(round(applied_rate * 10000) AS BIGINT))::DOUBLE / nullif(sum(pass_people) * 10000, 0), 4), 0) AS pass_rate FROM basis GROUP BY ALL",
+    "p11_owner_month_rollup": with_views(*_OWN, _USAGE, _WRATE, _BASIS) + "SELECT month, owner, count(DISTINCT class_key) AS classes, count(DISTINCT venue) AS venues, string_agg(DISTINCT venue, ', ' ORDER BY venue) AS venue_list, CAST(sum(total_people) AS BIGINT) AS total_people, CAST(sum(pass_people) AS BIGINT) AS pass_people, CAST(sum(cancelled_history) AS BIGINT) AS cancelled_history, any_value(coalesce(rate, 0)) AS pass_rate, any_value(coalesce(breakdown, '')) AS breakdown FROM basis LEFT JOIN (SELECT month, owner, round(sum(n * c)::DOUBLE / (sum(n) * 100), 4) AS rate, string_agg(b || ':' || CAST(n AS VARCHAR), '; ' ORDER BY c DESC) AS breakdown FROM (" + f"SELECT month, owner, {_BAND.format(x='month_used')} AS b, {_RATE.format(x='month_used', a=55, b=65, c=75)} AS c, CAST(sum(used) AS BIGINT) AS n FROM usage GROUP BY ALL" + ") GROUP BY month, owner) USING (month, owner) GROUP BY month, owner",
     "p12_package_inference": with_views(BOOKINGS) + "SELECT CASE WHEN used >= 201 THEN 'large' WHEN used >= 51 THEN 'medium' WHEN used >= 1 THEN 'small' ELSE '0' END AS package, count(*) AS persons, CAST(sum(used) AS BIGINT) AS used, CAST(min(used) AS BIGINT) AS least, CAST(max(used) AS BIGINT) AS most FROM (SELECT person, sum(people) AS used FROM bookings WHERE kind = 'reservation' AND method = 'pass' GROUP BY person) GROUP BY 1",
 }

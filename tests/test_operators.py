@@ -1,9 +1,11 @@
 """Rules, ties and null handling of single operators on a few rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventpulse.functions import text as X
 from eventpulse.operators import capacity, checking, content, deident, flows, geo, match, mentions, metrics, quality, records, settlement
+from eventpulse.plans import fixed_values
 from eventpulse.sources import files
 
 
@@ -63,13 +65,21 @@ def test_weighted_average_ignores_what_does_not_count(spark):
 
 def test_bands_at_their_edges(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 9, 10, 99, 100)], "n long")
-    assert values(settlement.band_lookup(df, "n"), "band", "band_rate") == [("0", None), ("1-9", 0.75), ("1-9", 0.75), ("10-99", 0.65), ("10-99", 0.65), ("100+", 0.55)]
+    table = lambda *rows: spark.createDataFrame(rows, "low long, high long, label string, rate double")
+    bands = settlement.bands_of(table((100, None, "100+", 0.55), (1, 9, "1-9", 0.75), (10, 99, "10-99", 0.65)))
+    with_gap = settlement.bands_of(table((1, 1, "one", None), (10, 99, "many", 1.0)))
+    assert values(settlement.band_lookup(df, "n", with_gap), "band", "band_rate") == [("0", None), ("one", None), ("0", None), ("many", 1.0), ("many", 1.0), ("0", None)]
+    for bad in ([(1, 9, "a", 1.0), (9, None, "b", 1.0)], [(1, None, "a", 1.0), (5, None, "b", 1.0)], [(5, 4, "a", 1.0)], [(None, 4, "a", 1.0)], [(i, i, "a", 1.0) for i in range(1001)]):
+        with pytest.raises(ValueError):
+            settlement.bands_of(table(*bad))
+    assert values(settlement.band_lookup(df, "n", bands), "band", "band_rate") == [("0", None), ("1-9", 0.75), ("1-9", 0.75), ("10-99", 0.65), ("10-99", 0.65), ("100+", 0.55)]
 
 
 def test_segments(spark):
     df = spark.createDataFrame([(None, 90.0), (0.85, 70.0), (0.49, 70.0), (0.9, None), (0.2, 1.0), (0.6, 1.0)], "fill double, s double")
     expected = ["capacity_missing", "expand_or_repeat_candidate", "message_or_schedule_review", "small_capacity_or_niche_strength", "demand_development_candidate", "steady_middle"]
-    assert values(df.select(capacity.segment_capacity("fill", ["s"]).alias("x")), "x") == expected
+    out = capacity.segment_capacity(df, "fill", ["s"], fixed_values.SEGMENTS, fixed_values.NO_SEGMENT, fixed_values.NO_FILL)
+    assert values(out, "segment") == expected and out.columns == ["fill", "s", "segment"]
 
 
 def test_feasibility_edges(spark):
