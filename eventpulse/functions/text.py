@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventpulse.functions.registry import Registry
 from eventpulse.functions.terms import scan_terms
 
 ANY_SPACE = r"[\s\x0B\x85\p{Z}]"
@@ -109,29 +110,19 @@ def escaped(term: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and not ch.isspace() else ch for ch in term)
 
 
-def canonicalize(c: Column | str, aliases: list[tuple[str, str]]) -> Column:
-    """Registry of (raw, canonical): a whole value that equals a raw form ignoring case wins; else raw forms with Latin
-    letters are replaced inside the text, in registry order; a two-part label is judged by its part before the bar; at
-    last a match that ignores spaces. The registry is a small parameter, so this is one column expression."""
-    text = compact_spaces(c)
-    table = F.create_map(*[F.lit(x) for raw, canonical in reversed(list(dict((r.lower(), k) for r, k in aliases).items())) for x in (raw, canonical)])
-    spaceless = F.create_map(*[F.lit(x) for raw, canonical in dict((r.lower().replace(" ", ""), k) for r, k in aliases).items() for x in (raw, canonical)])
-    inside = text
-    for raw, canonical in aliases:
-        if any("a" <= ch.lower() <= "z" for ch in raw):
-            inside = F.regexp_replace(inside, "(?i)" + escaped(raw), canonical.replace("\\", "\\\\").replace("$", "\\$"))
-    head = F.trim(F.split_part(inside, F.lit("|"), F.lit(1)))
-    return F.coalesce(F.try_element_at(table, F.lower(text)), F.try_element_at(table, F.lower(head)), F.try_element_at(spaceless, F.replace(F.lower(head), F.lit(" "), F.lit(""))), head)
+def canonicalize(c: Column | str, registry: Registry) -> Column:
+    """The registry's canonical form of a text (see Registry.canonical)."""
+    return registry.column(compact_spaces(c))
 
 
-def canonical_title(c: Column | str, aliases: list[tuple[str, str]]) -> Column:
+def canonical_title(c: Column | str, registry: Registry) -> Column:
     """[canonical label] and the body."""
     label, body = bracket_label(c), strip_bracket(c)
-    return F.when(label == "", body).otherwise(F.concat(F.lit("["), canonicalize(label, aliases), F.lit("] "), body))
+    return F.when(label == "", body).otherwise(F.concat(F.lit("["), canonicalize(label, registry), F.lit("] "), body))
 
 
-def canonical_key(c: Column | str, aliases: list[tuple[str, str]]) -> Column:
-    return join_key(canonical_title(c, aliases))
+def canonical_key(c: Column | str, registry: Registry) -> Column:
+    return join_key(canonical_title(c, registry))
 
 
 def title_candidate(c: Column | str, longest: int = 40) -> Column:

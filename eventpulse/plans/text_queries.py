@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventpulse.functions import text as T
+from eventpulse.functions.registry import registry_of
 from eventpulse.operators import content as B
 
 from .tables import table
@@ -54,13 +55,17 @@ def t7_bracket_label(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.bracket_label(title).alias("label"), T.strip_bracket(title).alias("body"), T.bracket_label("p_name").alias("no_label"))
 
 
+def _registry(spark):
+    return registry_of(spark.createDataFrame([(*a, i) for i, a in enumerate(ALIASES)], "raw string, canonical string, place int"), "place")
+
+
 def t8_canonicalize(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.canonicalize("p_name", ALIASES).alias("canonical"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.canonicalize("p_name", _registry(spark)).alias("canonical"))
 
 
 def t9_canonical_key(spark, sf_dir):
     title = F.concat(F.lit("["), "p_name", F.lit("] "), "p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", T.canonical_title(title, ALIASES).alias("canonical_title"), T.canonical_key(title, ALIASES).alias("canonical_key"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.canonical_title(title, _registry(spark)).alias("canonical_title"), T.canonical_key(title, _registry(spark)).alias("canonical_key"))
 
 
 def t10_base_title(spark, sf_dir):

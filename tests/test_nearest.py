@@ -140,3 +140,24 @@ def test_a_hot_block_in_cells(spark):
     right = spark.range(10_000).select(F.lit("hot").alias("b"), F.md5((F.col("id") + 200).cast("string")).alias("text"), F.col("id").alias("rank"))
     found = nearest.nearest_by_edit(left, right, ["b"], ()).collect()
     assert len(found) == 300 and sum(r.score == 100 for r in found) == 100 and min(r.score for r in found) > 20
+
+
+def test_far_points_descend_without_pairing_all(spark):
+    """Points far from all nodes, nodes at one place, against all pairs; the plan has no join of everything."""
+    import math
+
+    from eventpulse.operators import geo
+
+    rng = random.Random(11)
+    nodes = [(f"c{i:03d}", 37.5 + rng.random() / 5, 127 + rng.random() / 5) for i in range(200)] + [(f"same{i}", 48.0, 2.0) for i in range(50)] + [("far", -33.0, 151.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(900, 48.0, 2.0), (901, None, 1.0), (902, 90.0, 0.0), (903, -90.0, 45.0)]
+
+    def km(a, b, c, d):
+        n, e = math.radians(c - a) / 2, math.radians(d - b) / 2
+        h = math.sin(n) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(e) ** 2
+        return 12742.0176 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    frame = geo.nearest_node(spark.createDataFrame(points, "point int, lat double, lon double"), spark.createDataFrame(nodes, "key string, lat double, lon double"))
+    want = {p: None if a is None else min((round(km(a, b, c, d), 6), n) for n, c, d in nodes)[1] for p, a, b in points}
+    assert {r.point: r.nearest for r in frame.collect()} == want
+    assert "Cross" not in frame._jdf.queryExecution().optimizedPlan().toString()
