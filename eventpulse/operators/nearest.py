@@ -156,7 +156,7 @@ def _by_bits(text: np.ndarray, kinds: np.ndarray, codes: np.ndarray, lengths: np
     return scores[lengths, np.arange(len(codes))]
 
 
-def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Texts as rows of code points, -1 beyond their end, and their lengths."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     out = np.full((len(texts), int(lengths.max(initial=0))), -1, dtype=np.int32)
@@ -190,14 +190,14 @@ class _Side:
         self.groups = []
         for at in range(0, len(order), 1024):
             own = order[at : at + 1024]
-            points, lengths = _code_points([self.texts[i] for i in own])
+            points, lengths = code_points([self.texts[i] for i in own])
             kinds, codes = np.unique(points, return_inverse=True)
             self.groups.append((own, points, kinds, codes.reshape(points.shape), lengths, _histograms(points)))
 
 
 def _best_in(side: _Side, text: str, label: str, venue: str, venue_cost: float) -> tuple[float, bool, int, float]:
     """(value, whether the label is the same, -rank, score) of the best right text: value is the score and the bonus."""
-    points, _ = _code_points([text])
+    points, _ = code_points([text])
     histogram, best = _histograms(points)[0], (-np.inf, False, 0, 0.0)
     for own, others, kinds, codes, lengths, theirs in side.groups:
         longest = np.maximum(lengths, len(text))

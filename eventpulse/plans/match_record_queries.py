@@ -297,6 +297,13 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "rjs" and n[1:2]
 _L = "ln AS (SELECT doc_id AS file, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 _CAL = "cal AS (SELECT o_custkey AS file, o_orderkey * 3 AS line_no, extract(day FROM o_orderdate) AS day, o_orderkey AS k FROM orders)"
 _R6 = "items AS (SELECT file, k * 3 + 1 AS line_no, CAST(day AS INTEGER) AS day, 'class ' || CAST(k AS VARCHAR) AS line, k % 30 AS reserved, CAST(20 AS BIGINT) AS capacity FROM cal WHERE k % 6 <> 0)"
+def _ratio(a: str, b: str) -> str:
+    """200 times the common subsequence over both lengths: a row of lengths for each character of b."""
+    step = f"list_transform(range(1, len(row)), lambda i: greatest(row[i + 1], CASE WHEN unicode({a}[i]) = ch[1] THEN row[i] + 1 ELSE 0 END))"
+    row = f"list_reduce(list_prepend(list_transform(range(0, length({a}) + 1), lambda i: 0), list_transform(string_split({b}, ''), lambda ch: [unicode(ch)])), lambda row, ch: list_prepend(0, list_transform(range(1, len(row)), lambda k: list_max(({step})[1:k]))))"
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE 200.0::DOUBLE * list_last({row}) / (length({a}) + length({b})) END"
+
+
 _ALT = "alt AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN p_name || 's' WHEN 1 THEN replace(p_name, 'e', 'a') WHEN 2 THEN '[' || p_type || '] ' || p_name WHEN 3 THEN '' ELSE p_name END AS typed FROM part)"
 
 
@@ -334,6 +341,11 @@ SQL = {
     "r17_query_hit_counts": "SELECT role AS query, count(*) AS hits, count(DISTINCT conv_id % 50) AS unique_items, count(DISTINCT (conv_id, turn)) AS unique_links, count(DISTINCT conv_id % 7) AS unique_owners FROM conversations GROUP BY role UNION ALL SELECT 'nobody', 0, 0, 0, 0",
     "j1_reference_dictionary": r"WITH s AS (SELECT '[' || p_type || '] ' || p_name AS title, 'catalog' AS source, 1 AS priority, p_type AS label, p_name AS body FROM part UNION SELECT p_name, 'plain', 2, '', p_name FROM part) SELECT title, source, priority, title AS title_base, label, replace(body, ' ', '') AS body_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_key, lower(regexp_replace(title, '[^A-Za-z]+', '', 'g')) AS class_base_key, lower(label) AS venue_key FROM s",
     "j2_similarity": with_views(_ALT) + f"SELECT p_partkey, {_ed('typed', 'p_name')} AS edit FROM alt",
+    "j2_token_similarity": with_views(_ALT) + f""", x AS (SELECT p_partkey, typed AS a, p_name AS b, list_sort(list_filter(string_split(typed, ' '), lambda t: t <> '')) AS ta, list_sort(list_filter(string_split(p_name, ' '), lambda t: t <> '')) AS tb FROM alt),
+  y AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(ta, lambda t: list_contains(tb, t)))), ' ') AS c, array_to_string(list_sort(list_distinct(list_filter(ta, lambda t: NOT list_contains(tb, t)))), ' ') AS da, array_to_string(list_sort(list_distinct(list_filter(tb, lambda t: NOT list_contains(ta, t)))), ' ') AS db FROM x),
+  z AS (SELECT *, trim(c || ' ' || da) AS f, trim(c || ' ' || db) AS s, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb FROM y),
+  r AS (SELECT p_partkey, {_ratio('a', 'b')} AS plain, {_ratio('sa', 'sb')} AS sorted, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0 ELSE greatest({_ratio('f', 's')}, CASE WHEN c = '' THEN 0 ELSE 200.0::DOUBLE * length(c) / (length(c) + least(length(f), length(s))) END) END AS tokens FROM z)
+  SELECT p_partkey, round(tokens, 2) AS token_set, round(greatest(plain, 0.95::DOUBLE * sorted, 0.95::DOUBLE * tokens), 2) AS weighted FROM r""",
     "j3_specificity_score": f"""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS q, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '') ELSE split_part(p_name, ' ', 2) END AS r, p_partkey % 7 = 0 AS exact, p_partkey % 2 = 0 AS label, p_partkey % 5 = 0 AS other FROM part),
   a AS (SELECT *, {_ed('q', 'r')} AS e, q = r AS same, length(q) >= 8 AND (r IN ('bolt', 'ring') OR length(r)::DOUBLE / length(q) < 0.45) AS short FROM p), b AS (SELECT *, CASE WHEN same AND other THEN least(e, 89) ELSE e END AS s0, contains(r, q) AS inside, contains(q, r) AND length(r) >= 5 AS around FROM a),
   c AS (SELECT *, CASE WHEN inside THEN greatest(s0, 94) WHEN around THEN greatest(s0, 92) ELSE s0 END - CASE WHEN other THEN 8 ELSE 0 END AS s1 FROM b), d AS (SELECT *, length(q) >= 8 AND length(r)::DOUBLE / length(q) < 0.65 AND s1 < 98 AS thin FROM c)

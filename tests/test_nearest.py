@@ -47,9 +47,9 @@ def test_every_similar_pair_shares_what_the_index_asks_for():
 
 def test_distances_at_once():
     texts = titles(60, 1) + ["", "漢字🙂", "a" * 300, "ab" * 32, "ab" * 31 + "c", "b" * 65]
-    points, lengths = nearest._code_points(texts)
+    points, lengths = nearest.code_points(texts)
     for t in texts[::5] + ["", "漢x🙂", "ab" * 32, "a" * 63, "a" * 65]:
-        assert nearest.edit_distances(nearest._code_points([t])[0][0], points, lengths).tolist() == [distance(t, o) for o in texts]
+        assert nearest.edit_distances(nearest.code_points([t])[0][0], points, lengths).tolist() == [distance(t, o) for o in texts]
 
 
 @pytest.mark.parametrize("least,q", nearest.PASSES)

@@ -134,7 +134,37 @@ def test_match_statuses(spark):
     right = spark.createDataFrame([("yoga flow", "v"), ("yoga flew", "v")], "key string, block string")
     out = match.exact_then_fuzzy(left, right, "id", "fuzzy_same_studio").orderBy("id")
     assert values(out, "match_status") == ["exact_normalized", "fuzzy_same_studio", "needs_review", "no_candidate_in_block"]
-    assert match._ratio("abcd", "bcda") == 75.0 and match._token_set("a b", "b a c") == 100.0
+
+
+def test_token_similarity_by_plain_tables(spark):
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = [0] + [max(row[j + 1], row[j] + 1) if c == d else row[j + 1] for j, d in enumerate(b)]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    def ratio(a, b):
+        return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+    def tokens(a, b):
+        x, y = set(a.split()), set(b.split())
+        both = " ".join(sorted(x & y))
+        first, second = f"{both} {' '.join(sorted(x - y))}".strip(), f"{both} {' '.join(sorted(y - x))}".strip()
+        return max(ratio(both, first) if both else 0.0, ratio(both, second) if both else 0.0, ratio(first, second)) if x and y else 0.0
+
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abc漢") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(6)))
+    pairs = [(text(), text()) for _ in range(400)] + [("", ""), ("a", ""), ("b a  c", "c b"), ("x" * 64, "x" * 63 + "y"), ("ab " * 60, "ba " * 50), ("a\tb\u3000c", "c b a")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    out = df.select("i", *[match.similarity(F.col("a"), F.col("b"), m).alias(m) for m in ("token_set", "weighted")]).collect()
+    for r in out:
+        a, b = pairs[r.i]
+        weighted = max(ratio(a, b), 0.95 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), 0.95 * tokens(a, b))
+        assert abs(r.token_set - tokens(a, b)) < 0.0051 and abs(r.weighted - weighted) < 0.0051, (a, b)
 
 
 def test_mentions_and_checks(spark):
