@@ -76,14 +76,17 @@ def platform_summary(df: DataFrame, numbers: list[str], source: str = "source_id
     return df.groupBy("platform").agg(F.count("*").alias("mentions"), F.count_distinct(source).alias("sources"), *[F.sum(number(c)).alias(c) for c in numbers])
 
 
-def _exploded(df: DataFrame, terms: str, aliases: dict[str, str], once: bool) -> DataFrame:
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    parts = F.transform(F.filter(F.split(F.coalesce(F.col(terms), F.lit("")), ";"), lambda t: F.trim(t) != ""), lambda t: F.coalesce(F.try_element_at(table, F.trim(t)), F.trim(t)))
-    parts = F.array_distinct(parts) if once else parts
-    return df.withColumn("term", F.explode(F.when(F.size(parts) == 0, F.array(F.lit("UNMATCHED"))).otherwise(parts)))
+def _exploded(df: DataFrame, terms: str, aliases: DataFrame, once: bool) -> DataFrame:
+    """A row for each term of a mention's list, under its name in the table (alias, name), of several the least; once: a row for
+    each mention and name. A mention without terms has one row, UNMATCHED."""
+    parts = F.transform(F.filter(F.split(F.coalesce(F.col(terms), F.lit("")), ";"), lambda t: F.trim(t) != ""), lambda t: F.trim(t))
+    rows = df.withColumn("term", F.explode(F.when(F.size(parts) == 0, F.array(F.lit(None).cast("string"))).otherwise(parts)))
+    names = aliases.filter("alias is not null").groupBy(F.col("alias").alias("_alias")).agg(F.min("name").alias("_name"))
+    named = rows.join(names, F.col("term") == F.col("_alias"), "left").withColumn("term", F.coalesce("_name", "term", F.lit("UNMATCHED"))).drop("_alias", "_name")
+    return named.dropDuplicates(["mention_id", "term"]) if once else named
 
 
-def term_summary(df: DataFrame, terms: str, aliases: dict[str, str], numbers: list[str], source: str) -> DataFrame:
+def term_summary(df: DataFrame, terms: str, aliases: DataFrame, numbers: list[str], source: str) -> DataFrame:
     """Per term distinct mentions, platforms and sources, and sums; a mention under two aliases of a term adds twice."""
     return _exploded(df, terms, aliases, once=False).groupBy("term").agg(
         F.count_distinct("mention_id").alias("mentions"), F.count_distinct("platform").alias("platforms"), F.count_distinct(source).alias("sources"), *[F.sum(number(c)).alias(c) for c in numbers]
@@ -104,7 +107,7 @@ def platform_metrics(df: DataFrame, numbers: list[str], source: str) -> DataFram
     return out.withColumn("share", rounded(F.col("mentions") / F.col("_total"), 4)).drop("_total")
 
 
-def term_metrics(df: DataFrame, terms: str, aliases: dict[str, str], platforms: list[str], numbers: list[str], source: str) -> DataFrame:
+def term_metrics(df: DataFrame, terms: str, aliases: DataFrame, platforms: list[str], numbers: list[str], source: str) -> DataFrame:
     """Per term, each mention once: counts by platform, sources, sums, first and last date."""
     rows = _exploded(df, terms, aliases, once=True).filter("term <> 'UNMATCHED'")
     return rows.groupBy("term").agg(

@@ -156,10 +156,11 @@ def entity_rollup(metrics: DataFrame, entity: str, counts: list[str], weighted:
     return rates(out, prices)
 
 
-def alias_rollup(metrics: DataFrame, key: str, aliases: dict[str, str], counts: list[str], weighted: dict[str, str]) -> DataFrame:
-    """Aliased entities merged: sorted source keys joined by ", ", sums and weighted means."""
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    named = metrics.withColumn("entity", F.coalesce(F.try_element_at(table, F.col(key)), F.col(key)))
+def alias_rollup(metrics: DataFrame, key: str, aliases: DataFrame, counts: list[str], weighted: dict[str, str]) -> DataFrame:
+    """Entities merged by a table (alias, name), of several names the least: sorted source keys joined by ", ", sums and weighted
+    means."""
+    names = aliases.filter("alias is not null").groupBy(F.col("alias").alias("_alias")).agg(F.min("name").alias("_name"))
+    named = metrics.join(names, F.col(key) == F.col("_alias"), "left").withColumn("entity", F.coalesce("_name", key))
     return named.groupBy("entity").agg(
         F.array_join(F.sort_array(F.collect_set(key)), ", ").alias("source_keys"), *[F.sum(c).alias(c) for c in counts], *[weighted_average(v, w).alias(v) for v, w in weighted.items()]
     )

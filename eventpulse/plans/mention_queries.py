@@ -16,7 +16,12 @@ from . import fixed_values as fixed
 from .tables import table, with_views
 
 TERMS = ["that", "heit", "tion", "ment", "ción"]
-ALIASES = {"tion": "ment", "heit": "Heit"}
+ALIASES = [("tion", "ment"), ("heit", "Heit")]
+
+
+def _aliases(spark):
+    return spark.createDataFrame(ALIASES, "alias string, name string")
+
 SCHEMA = ["platform", "url", "title", "description", "source", "published", "query", "rank", "views", "likes"]
 THEMES = {"english": ["the", "and"], "german": ["ung", "heit"], "romance": ["que", "los"], "latin": ["tion"]}
 
@@ -80,7 +85,7 @@ def v6_platform_summary(spark, sf_dir):
 
 
 def v7_term_summary(spark, sf_dir):
-    return V.term_summary(_kept(spark, sf_dir), "matched_terms", ALIASES, ["views", "likes"], "source")
+    return V.term_summary(_kept(spark, sf_dir), "matched_terms", _aliases(spark), ["views", "likes"], "source")
 
 
 def v8_viral_overall(spark, sf_dir):
@@ -92,7 +97,7 @@ def v9_platform_metrics(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    return V.term_metrics(_kept(spark, sf_dir), "matched_terms", ALIASES, ["blog", "video"], ["views", "likes"], "source")
+    return V.term_metrics(_kept(spark, sf_dir), "matched_terms", _aliases(spark), ["blog", "video"], ["views", "likes"], "source")
 
 
 def v10_term_metrics(spark, sf_dir):

@@ -90,7 +90,8 @@ def m10_entity_rollup(spark, sf_dir):
 
 
 def m11_alias_rollup(spark, sf_dir):
-    out = M.alias_rollup(_class_metrics(spark, sf_dir), "venue", {"Brand#1": "First", "Brand#2": "First", "Brand#11": "Eleven"}, ["reservation_count", "review_count"], {"rating": "reservation_count"})
+    aliases = spark.createDataFrame([("Brand#1", "First"), ("Brand#2", "First"), ("Brand#11", "Eleven")], "alias string, name string")
+    out = M.alias_rollup(_class_metrics(spark, sf_dir), "venue", aliases, ["reservation_count", "review_count"], {"rating": "reservation_count"})
     return out.withColumn("rating", rounded("rating", 6))
 
 

@@ -81,11 +81,30 @@ def to_geojson_features(df: DataFrame, lat: str, lon: str) -> DataFrame:
 
 def feature_collection(features: DataFrame, by: str) -> DataFrame:
     """(by, collection): a FeatureCollection text of each layer's features, in order of their text. A layer is one text by
-    nature; tables too large for that are written as features."""
+    nature; layers too large for that are written as features (write_features)."""
     layers = features.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("all"))
     return layers.select(by, F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("collection"))
 
 
+def write_features(features: DataFrame, by: str, path: str) -> None:
+    """Layers of any size as folders of text files, a feature a line, which readers of line-delimited GeoJSON take."""
+    features.select(by, F.col("feature").alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+
+
+def save_tables(spark: SparkSession, folder: str, required: list[str], optional: list[str], database: str) -> list[str]:
+    """Tables of the session's catalog from Parquet, which outlive the session; else as register_tables."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    done = []
+    for name in [*required, *optional]:
+        try:
+            spark.read.parquet(f"{folder}/{name}.parquet").write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+            done.append(name)
+        except AnalysisException as e:
+            if name in required or "PATH_NOT_FOUND" not in str(e.getCondition()):
+                raise
+    return done
+
+
 def register_tables(spark: SparkSession, folder: str, required: list[str], optional: list[str]) -> list[str]:
     """Temporary views from Parquet; a missing required table is an error, a missing optional one is skipped."""
     done = []

@@ -261,3 +261,23 @@ def test_terms_of_a_table(spark):
     terms = spark.createDataFrame([("sea", None), ("Deep Sea", "ocean"), ("de", None), ("ocean", None), ("", "x")], "term string, alias string")
     for most in (10, 1):
         assert {r["row"]: r["t"] for r in match_terms_by(df, "row", "text", terms, "t", most).collect()} == {1: "ocean;sea;de", 2: "", 3: "", 4: "de"}
+
+
+def test_alias_tables(spark):
+    aliases = spark.createDataFrame([("a", "A"), ("b", "A"), ("b", "Z"), (None, "n")], "alias string, name string")
+    df = spark.createDataFrame([(1, "p", "a;b", "u"), (2, "p", "", "u"), (3, "q", " c ;a", "v"), (4, "q", None, "v")], "mention_id int, platform string, terms string, source string").withColumn("published", F.lit("2026-01-01"))
+    assert sorted(values(mentions.term_summary(df, "terms", aliases, [], "source"), "term", "mentions")) == [("A", 2), ("UNMATCHED", 2), ("c", 1)]
+    assert sorted(values(mentions.term_metrics(df, "terms", aliases, ["p"], [], "source"), "term", "mentions")) == [("A", 2), ("c", 1)]
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, n long")
+    assert sorted(values(metrics.alias_rollup(rows, "k", aliases, ["n"], {}), "entity", "n"), key=str) == [("A", 3), ("c", 3), (None, 4)]
+
+
+def test_tables_of_the_catalog_and_features(spark, small, tmp_path):
+    try:
+        assert files.save_tables(spark, small, ["nation"], ["region", "none"], "kept") == ["nation", "region"]
+        assert spark.table("kept.nation").count() == 25
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS kept CASCADE")
+    features = spark.createDataFrame([("a", "{1}"), ("a", "{2}"), ("b", "{3}")], "layer string, feature string")
+    files.write_features(features, "layer", str(tmp_path / "out"))
+    assert sorted(values(spark.read.text(str(tmp_path / "out")), "value", "layer")) == [("{1}", "a"), ("{2}", "a"), ("{3}", "b")]
