@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventpulse.operators.numbering import numbered
+
 from .storage import saved, shuffle_partitions
 from .wordblocks import released
 
@@ -294,8 +296,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, query_modulus: int = 20,
 
     vectors has vec_id and embedding; other columns are not read. Null vec_ids and vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor do vectors of another than the most frequent dimension. Repeated
-    vectors are found like others; rows with one vec_id are one row for their own exclusion. An empty table gives an
-    empty result. Buckets hold about BUCKET members at every size. The probes of a table are `probes`, or `growth` times the
+    vectors are found like others; repeated rows are one row. Rows of one vec_id with different vectors are different rows: each is
+    a candidate, and if the vec_id is divisible, a query with a list of its own. An empty table gives an empty result. Buckets hold about BUCKET members at every size. The probes of a table are `probes`, or `growth` times the
     root of the number of different vectors if that is more, and twice as many for unequal lengths: on vectors without
     any clusters nothing less keeps the recall.
     """
@@ -307,8 +309,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, query_modulus: int = 20,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     valid, dim = valid.filter(F.length("vector") == sizes["bytes"]), sizes["bytes"] // (4 if kind == "float" else 8)
     order = W.partitionBy("key").orderBy("vec_id")
-    ids = valid.select("key", "vec_id").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
-    heads = saved(valid.groupBy("key").agg(F.min("vec_id").alias("head"), F.first("vector").alias("vector")))
+    ids = valid.select("key", "vec_id").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
+    # Different vectors are numbered in order of their smallest vec_id, as one vec_id may have several.
+    different = valid.groupBy("key").agg(F.min("vec_id").alias("_first"), F.first("vector").alias("vector"))
+    heads = saved(numbered(different, [], ["_first", "key"], "head").drop("_first"))
     asked = valid.filter(F.pmod("vec_id", F.lit(query_modulus)) == 0).select("key", F.col("vec_id").alias("query_id")).distinct()
     queries = saved(heads.join(asked.select("key").distinct(), "key", "left_semi").select("head", "vector"))
 
@@ -335,9 +339,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, query_modulus: int = 20,
         lists = lists.join(short.select(F.col("head").alias("query")), "query", "left_anti").unionByName(rest)
     pairs = lists.join(queries.select(F.col("head").alias("query"), "vector"), "query").join(heads.select("head", F.col("vector").alias("head_vector")), "head")
     scored = pairs.select("query", "head", "vector", "head_vector").mapInArrow(_rescored(dim), "query long, head long, score double")
-    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "head")
     spread = scored.join(names, "head").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     asked = asked.join(heads.select("key", F.col("head").alias("query")), "key").select("query_id", "query")
-    final = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    answers = asked.join(spread, "query").filter(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(final))
+    final = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id", "head")
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("head") == F.col("query"))
+    answers = asked.join(spread, "query").filter(~own).withColumn("rank", F.row_number().over(final))
     return answers.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

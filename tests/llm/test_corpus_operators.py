@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -250,3 +251,28 @@ def test_neighbours_of_unequal_lengths(spark):
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     expected = {q: set([i for i in np.argsort(-(x @ x[q])) if i != q][:5]) for q in range(0, 400, 20)}
     assert sum(len(found[q] & expected[q]) for q in expected) >= 0.9 * 5 * len(expected)
+
+
+def test_one_vec_id_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 16))
+    rows = [(i, x[i].tolist()) for i in range(30)] + [(7, (-x[7]).tolist()), (20, x[3].tolist()), (7, x[7].tolist())]
+    found = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=40).collect():
+        found.setdefault(r["query_id"], []).append((round(r["score"], 9), r["vec_id"], r["rank"]))
+    different = list({(i, tuple(v)) for i, v in rows})
+    for query in (0, 20):
+        want = []
+        for own in [d for d in different if d[0] == query]:
+            near = sorted(((round(-float(np.dot(own[1], v)), 9), i) for i, v in different if (i, v) != own))
+            want += [(-s, i, rank + 1) for rank, (s, i) in enumerate(near)]
+        assert sorted(found[query]) == sorted(want)
+
+
+def test_many_equal_rows_in_substring_dedup(spark):
+    text = " ".join(f"w{i}" for i in range(3000))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [(1, text)] * 2000 + [(None, text)] * 50 + [(2, other), (3, other + " " + " ".join(f"w{i}" for i in range(40, 90)))]
+    began = time.time()
+    found = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert found == {(1, 3000, 3000), (None, 3000, 3000), (2, 100, 100), (3, 150, 150)} and time.time() - began < 120
