@@ -141,8 +141,11 @@ def _flagged(table: pa.Table) -> pa.Table:
     docs = np.repeat(docs, counts)
     code, seen = pd.factorize(hashes)
     hit = np.flatnonzero(np.bincount(code, minlength=len(seen))[code] > 1)
-    hit = hit[np.argsort(docs[hit], kind="stable")]
+    hit = hit[np.lexsort((ordinals[hit], docs[hit]))]
     docs, ordinals = docs[hit], ordinals[hit]
+    # Equal rows come with the same numbers.
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (ordinals[1:] != ordinals[:-1])])[: len(docs)]
+    docs, ordinals = docs[new], ordinals[new]
     cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
     parts = [ordinals[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(docs)), strict=True)] if len(docs) else []
     return pa.table({"row_hash": pa.array(docs[cuts], pa.int64()), "ordinals": pa.array(parts, pa.binary())})
@@ -249,6 +252,13 @@ def _repeated(words: np.ndarray, at: np.ndarray, weight: np.ndarray, window: int
         seed += np.uint64(1)
 
 
+def _running_end(end: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The largest end so far, anew from each fresh place on."""
+    run = np.cumsum(fresh) - 1
+    lift = run * (int(end.max(initial=0)) + 1)
+    return np.maximum.accumulate(end + lift) - lift
+
+
 def _counted(window: int, span: int):
     """Bucket rows to the ranges of repeated windows of packed words; a window stands for span words of its document."""
 
@@ -286,9 +296,15 @@ def _counted(window: int, span: int):
         begin = np.repeat(begin, places[string]) + starts[take]
         end = np.repeat(end, places[string]) + starts[take]
         # one row for each document of this bucket
-        order = np.lexsort((begin, docs[1][take], docs[0][take], unknown[take]))
+        order = np.lexsort((end, begin, docs[1][take], docs[0][take], unknown[take]))
         take, begin, end = take[order], begin[order], end[order]
         key = np.stack([docs[0][take], docs[1][take], unknown[take]])
+        # Equal rows come with the same ranges, and ranges that meet are one.
+        fresh = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        reach = _running_end(end, fresh)
+        opens = fresh | np.concatenate([[True], begin[1:] > reach[:-1]])
+        at = np.flatnonzero(opens)
+        take, begin, end, key = take[at], begin[at], reach[np.append(at[1:], len(reach)) - 1], key[:, at]
         cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         both = np.stack([begin, end], axis=1).astype(np.int32)
         ranges = [both[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(both)), strict=True)]
