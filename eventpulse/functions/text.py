@@ -15,6 +15,13 @@ from eventpulse.functions.terms import scan_terms
 ANY_SPACE = r"[\s\x0B\x85\p{Z}]"
 
 
+#: The patterns of e-mail addresses, phones and signed numbers, and the characters that a normal form leaves out.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"\+?\d{2,3}[-. ]\d{3,4}[-. ]\d{4}"
+SIGNED_NUMBER = r"-?\d+(?:\.\d+)?"
+NOT_KEPT = "[^0-9a-z가-힣]+"
+
+
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -53,7 +60,7 @@ def nfkc_key(c: Column | str) -> Column:
     def nfkc(s: pd.Series) -> pd.Series:
         return s.fillna("").str.normalize("NFKC")
 
-    return F.regexp_replace(F.regexp_replace(F.lower(nfkc(as_column(c))), r"\([^)]*\)", ""), "[^0-9a-z가-힣]+", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(nfkc(as_column(c))), r"\([^)]*\)", ""), NOT_KEPT, "")
 
 
 def bare_key(c: Column | str, drop_brackets: bool = True) -> Column:
@@ -65,7 +72,7 @@ def bare_key(c: Column | str, drop_brackets: bool = True) -> Column:
 
 
 def first_number(c: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(F.replace(F.coalesce(as_column(c), F.lit("")), F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(F.replace(F.coalesce(as_column(c), F.lit("")), F.lit(","), F.lit("")), SIGNED_NUMBER, 0), F.lit(""))
 
 
 def safe_float(c: Column | str) -> Column:
@@ -215,9 +222,6 @@ def tag_flags(df: DataFrame, column: str, tags: dict[str, str]) -> DataFrame:
     return out.withColumn("tags_json", F.to_json(F.struct(*[F.col(f"tag_{t}").alias(t) for t in sorted(tags)])))
 
 
-PHONE = r"\+?\d{2,3}[-. ]\d{3,4}[-. ]\d{4}"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-
 
 def mask_contacts(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(as_column(c), F.lit("")), EMAIL, "[email]"), PHONE, "[phone]")

@@ -74,7 +74,7 @@ def g6_nearest_node(spark, sf_dir):
 
 
 def g7_geo_coverage(spark, sf_dir):
-    return G.geo_coverage(G.nearest_node(_points(spark, sf_dir), _nodes(spark, sf_dir)), 300.0)
+    return G.geo_coverage(G.nearest_node(_points(spark, sf_dir, "customer", "c_custkey"), _places(spark, sf_dir)), 300.0)
 
 
 def g8_distance_extremes(spark, sf_dir):
@@ -277,7 +277,7 @@ SQL = {
     "g4_distance_matrix": with_views(_PL, _PM) + "SELECT * FROM mat",
     "g5_walk_minutes": "SELECT o_orderkey, round(floor(o_totalprice) / 80, 2) AS minutes FROM orders",
     "g6_nearest_node": with_views(_PL, _pts("customer", "c_custkey"), _NEAR) + "SELECT * FROM near",
-    "g7_geo_coverage": with_views(_N, _pts("supplier", "s_suppkey"), _NEAR) + "SELECT count(*) AS rows, count(lat) AS with_coordinates, count(*) FILTER (WHERE needs_review) AS needs_review, count(*) FILTER (WHERE nearest_km <= 300) AS near_node FROM near",
+    "g7_geo_coverage": with_views(_PL, _pts("customer", "c_custkey"), _NEAR) + "SELECT count(*) AS rows, count(lat) AS with_coordinates, count(*) FILTER (WHERE needs_review) AS needs_review, count(*) FILTER (WHERE nearest_km <= 300) AS near_node FROM near",
     "g8_distance_extremes": with_views(_PL, _PM) + ", o AS (SELECT * FROM mat WHERE NOT same_location), s AS (SELECT round(sum(CAST(round(walk_minutes * 100) AS BIGINT))::DOUBLE / count(walk_minutes) / 100, 4) AS mean_walk, max(walk_minutes) AS longest_walk FROM o) SELECT side, origin, destination, straight_m, mean_walk, longest_walk FROM ((SELECT 'nearest' AS side, * FROM o ORDER BY straight_m, origin, destination LIMIT 5) UNION ALL (SELECT 'farthest', * FROM o ORDER BY straight_m DESC, origin, destination LIMIT 5)) CROSS JOIN s",
     "g9_bounding_box": with_views(_pts("supplier", "s_suppkey")) + "SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon, round(avg(lat), 6) AS mean_lat, round(avg(lon), 6) AS mean_lon FROM points",
     "f1_enrich_bookings": with_views(_E) + "SELECT event_id, kind, k AS class_key, CAST(people AS BIGINT) AS people, session_key FROM ev",

@@ -173,7 +173,8 @@ def j6_compare_by_slot(spark, sf_dir):
 
 
 def j7_containment_match(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node_order"), F.col("n_name").alias("node_key"), F.concat(F.lit("hall "), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("street "), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("address"))
+    number = F.col("s_suppkey").cast("string")
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_order"), F.col("s_name").alias("node_key"), F.concat(F.lit("hall "), number).alias("name"), F.concat(F.lit("street "), F.lpad(number, F.greatest(F.lit(2), F.length(number)), F.lit("0"))).alias("address"))
     k = F.col("c_custkey")
     texts = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, F.concat(F.lit("meet at Street "), F.lpad((k % 30).cast("string"), 2, "0"))).when(k % 3 == 1, F.concat(F.lit("Hall "), (k % 40).cast("string"))).otherwise("nowhere").alias("place_text"))
     return J.containment_match(texts, nodes, "c_custkey", "place_text")
@@ -289,7 +290,7 @@ def s9_table_row_counts(spark, sf_dir):
 
 
 def s10_file_manifest(spark, sf_dir):
-    return S.file_manifest(spark, f"{sf_dir}/nation.parquet").unionByName(S.file_manifest(spark, f"{sf_dir}/customer.parquet"))
+    return S.file_manifest(spark, sf_dir)
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "rjs" and n[1:2].isdigit()}
@@ -354,7 +355,7 @@ SQL = {
     "j4_best_reference_match": with_views(_ALT, _REFS, _ASKED, _LADDER) + "SELECT p_partkey, typed, b[1] AS title, round(least(b[2], 100.0::DOUBLE), 2) AS match_score, coalesce(round(least(b[2], 100.0::DOUBLE), 2) < 90, true) AS needs_review, b IS NULL AS unmatched FROM alt LEFT JOIN picked ON typed = query",
     "j5_exact_then_fuzzy": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS key, CASE WHEN p_partkey % 50 = 1 THEN 'none' ELSE p_brand END AS block FROM alt), r AS (SELECT DISTINCT p_name AS key, p_brand AS block FROM part WHERE p_name <> 'red bolt'), f AS (SELECT p_partkey, arg_min(rk, (-s, rk)) AS found, max(s) AS score FROM (SELECT p_partkey, r.key AS rk, {_ed('l.key', 'r.key')} AS s FROM l JOIN r ON l.block = r.block WHERE l.key NOT IN (SELECT key FROM r)) GROUP BY p_partkey) SELECT p_partkey, CASE WHEN l.key IN (SELECT key FROM r) THEN l.key ELSE coalesce(found, '') END AS found, CASE WHEN l.key IN (SELECT key FROM r) THEN 100 ELSE coalesce(score, 0) END::DOUBLE AS score, CASE WHEN l.key IN (SELECT key FROM r) THEN 'exact_normalized' WHEN found IS NULL THEN 'no_candidate_in_block' WHEN score >= 88 THEN 'fuzzy_same_studio' ELSE 'needs_review' END AS match_status FROM l LEFT JOIN f USING (p_partkey)",
     "j6_compare_by_slot": with_views(_ALT) + f", l AS (SELECT p_partkey, typed AS title, CAST(p_size AS BIGINT) AS value, p_brand, p_partkey % 40 AS slot FROM alt), r AS (SELECT p_name AS title, CASE WHEN p_partkey % 15 <> 0 THEN CAST(p_size AS BIGINT) END AS value, p_brand, p_partkey % 40 AS slot FROM part), f AS (SELECT p_partkey, arg_min((rt, rv), (-s, rt, coalesce(rv, -1))) AS b, max(s) AS score FROM (SELECT p_partkey, r.title AS rt, r.value AS rv, {_ed('lower(l.title)', 'lower(r.title)')} AS s FROM l JOIN r ON l.p_brand = r.p_brand AND l.slot = r.slot) GROUP BY p_partkey) SELECT p_partkey, b[1] AS found, CASE WHEN b IS NULL THEN 'no_candidate' WHEN score < 70 THEN 'low_confidence' WHEN b[2] IS NULL THEN 'missing_value' WHEN b[2] = value THEN 'same' ELSE 'different' END AS compare_status, CASE WHEN score >= 70 THEN b[2] - value END AS difference FROM l LEFT JOIN f USING (p_partkey)",
-    "j7_containment_match": "WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'meetatstreet' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0') WHEN 1 THEN 'hall' || CAST(c_custkey % 40 AS VARCHAR) ELSE 'nowhere' END AS s FROM customer), f AS (SELECT n_nationkey AS o, n_name AS node_key, 'street' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS form, 100 AS hint FROM nation UNION ALL SELECT n_nationkey, n_name, 'hall' || CAST(n_nationkey AS VARCHAR), 85 FROM nation), b AS (SELECT c_custkey, arg_min((node_key, hint), (-hint, o)) AS b FROM t JOIN f ON contains(s, form) OR contains(form, s) GROUP BY c_custkey) SELECT c_custkey, b[1] AS node_key, b[2] AS hint, CASE WHEN b IS NULL THEN 'unmatched' WHEN b[2] = 100 THEN 'address' ELSE 'name' END AS match_status FROM t LEFT JOIN b USING (c_custkey)",
+    "j7_containment_match": "WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'meetatstreet' || lpad(CAST(c_custkey % 30 AS VARCHAR), 2, '0') WHEN 1 THEN 'hall' || CAST(c_custkey % 40 AS VARCHAR) ELSE 'nowhere' END AS s FROM customer), f AS (SELECT s_suppkey AS o, s_name AS node_key, 'street' || CASE WHEN s_suppkey < 10 THEN '0' ELSE '' END || CAST(s_suppkey AS VARCHAR) AS form, 100 AS hint FROM supplier UNION ALL SELECT s_suppkey, s_name, 'hall' || CAST(s_suppkey AS VARCHAR), 85 FROM supplier), b AS (SELECT c_custkey, arg_min((node_key, hint), (-hint, o)) AS b FROM t JOIN f ON contains(s, form) OR contains(form, s) GROUP BY c_custkey) SELECT c_custkey, b[1] AS node_key, b[2] AS hint, CASE WHEN b IS NULL THEN 'unmatched' WHEN b[2] = 100 THEN 'address' ELSE 'name' END AS match_status FROM t LEFT JOIN b USING (c_custkey)",
     "j8_pick_best_evidence": with_views(_EV, _BEST.format(m=45)) + "SELECT class_key, b[1] AS status, b[2] AS evidence FROM best",
     "j9_add_missing_keys": with_views(_EV, _BEST.format(m=90)) + "SELECT class_key, b[1] AS status FROM best UNION ALL SELECT k, 'none' FROM (SELECT DISTINCT doc_id % 90 AS k FROM labels) WHERE k NOT IN (SELECT class_key FROM best)",
     "j10_fill_blank_from": "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment WHEN c_nationkey < 20 THEN 'NATION_' || CAST(c_nationkey AS VARCHAR) ELSE '' END AS segment, CASE WHEN c_custkey % 4 <> 0 THEN 'complete' WHEN c_nationkey >= 20 THEN 'no_lookup' ELSE 'filled' END AS fill_status, c_custkey % 4 = 0 AND c_nationkey >= 20 AS needs_review FROM customer",
