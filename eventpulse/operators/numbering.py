@@ -12,30 +12,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventpulse.sources.files import scratch_path
+from eventpulse.sources.files import saved, scratch_path
 
 RANGE, AT, FIRST, ROWS = "_range", "_at", "_first", "_rows"
 
 
-def _in_ranges(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+def _in_ranges(df: DataFrame, by: list[str], order: list[Column], written: bool = False) -> DataFrame:
     """df as sorted files of ranges, with the range and the place in it."""
     spark = df.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The last key spreads rows that are equal in all others, so that no range must hold a whole group of copies.
+    # The last key spreads rows that are equal in all others, so that no range must hold a whole group of copies. It is the row's
+    # place in a written file, as a task that runs again after a loss must deal each row where it was dealt before.
     keys = [*[F.col(c).asc_nulls_first() for c in by], *order, F.col("_spread")]
-    dealt = df.withColumn("_spread", F.rand(7)).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    source = df if written else saved(df)
+    spread = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_spread")
+    dealt = source.select("*", spread).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     path = scratch_path(spark)
     dealt.drop("_spread").withColumn(RANGE, F.spark_partition_id()).write.option("maxRecordsPerFile", 0).parquet(path)
     schema = T.StructType([*df.schema.fields, T.StructField(RANGE, T.IntegerType())])
     return spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.row_index").alias(AT))
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column | str], out: str, size: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[Column | str], out: str, size: str | None = None, written: bool = False) -> DataFrame:
     """df with `out`, the row's number from 1 in its group of equal `by` (null is a group of its own; no columns: the whole
     table) in the order given, and with `size`, if named, the group's rows. Rows that are equal in `order` are numbered in any
-    order, once and for all: the result reads a written table. An empty table gives an empty result."""
+    order, once and for all: the result reads a written table. df is written first, unless it is a table just read from Parquet
+    (written). An empty table gives an empty result."""
     order = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
-    placed = _in_ranges(df, by, order)
+    placed = _in_ranges(df, by, order, written)
     counts = placed.groupBy(RANGE, *by).agg(F.min(AT).alias(FIRST), F.count("*").alias(ROWS))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = F.coalesce(F.sum(ROWS).over(group.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
