@@ -113,7 +113,7 @@ def merkle_manifest(rows: DataFrame, leaf: Column, tree: str, order: list[str],
     refuse_clashes(keep, ["leaf", "subroot", "root", "path", *OWN])
     key = F.when(F.col(tree).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(tree).cast("string")))
     leaves = saved(rows.select(key.alias("_tree"), F.struct(*order).alias("_key"), leaf.alias("_digest"), F.struct(*keep).alias("_load")))
-    placed = numbered(leaves, ["_tree"], [*[F.col(f"_key.{c}").asc_nulls_first() for c in order], F.col("_digest").asc()], "_rank", "_n")
+    placed = numbered(leaves, ["_tree"], [*[F.col(f"_key.{c}").asc_nulls_first() for c in order], F.col("_digest").asc()], "_rank", "_n", written=True)
     items = placed.select("_tree", "_n", (F.col("_rank") - 1).alias("_rank"), "_digest", "_load")
     tiers = _tiers(items, _most(items))
     subroots = tiers[-1].select(F.lit("").alias("_tree"), F.col("_tree").alias("_key"), "_digest", F.struct(F.col("_tree").alias("tree")).alias("_load"))
