@@ -2,7 +2,7 @@
 
 #: phrase: label, as the base scan has them.
 PHRASES = {
-    "the mit license": "mit",
+    "under the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
@@ -19,6 +19,7 @@ TEMPLATES = [
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
+    ("mit", "the mit license"),
     ("apache-2", "licensed under the apache license version 2.0"),
     (
         "apache-2",

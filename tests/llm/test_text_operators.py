@@ -277,6 +277,18 @@ def test_licence_base_places(documents):
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in found)
 
 
+def test_licence_base_phrases_of_the_contract(spark):
+    rows = [
+        ("Released under the MIT License.", (5, 1, 1, 1, "mit")), ("the MIT license", (3, 0, None, None, "")), ("UNDER-THE\x00mit\x7flicense", (4, 1, 0, 0, "mit")),
+        ("by the MIT license, not under the MIT license", (9, 1, 5, 5, "mit")), ("under the mit licenses, under the \xa0mit license", (8, 0, None, None, "")),
+        ("Apache License, Version 2.0", (5, 1, 0, 0, "apache-2")), ("apache license version 20 cc by n", (7, 0, None, None, "")), ("cc by", (2, 0, None, None, "")), (None, (0, 0, None, None, "")),
+        ("CC BY-NC 4.0, under the MIT license, cc-by-nc", (12, 3, 0, 9, "cc-by-nc,mit")), ("under the", (2, 0, None, None, "")), ("mit license", (2, 0, None, None, "")),
+    ]
+    found = licenses.licence_scan(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string").coalesce(1), ["doc_id"]).collect()
+    same([tuple(r)[:6] for r in found], [(i, *expected) for i, (_, expected) in enumerate(rows)])
+    assert [r["labels"] for r in found if r["doc_id"] == 1] == ["mit"]  # by its template
+
+
 def brute_chain(matches, size):
     best = 0
     for n in range(1, len(matches) + 1):
