@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +125,61 @@ def table_row_counts(spark: SparkSession, names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [spark.table(n).agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count") for n in names])
 
 
-def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, bytes, sha256) of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one split of a file, as they come, as one row a batch."""
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in _PIECE[:-2]), strict=True))
+        at, lines = batch.column("at").to_pylist(), batch.column("piece").to_pylist()
+        starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+        rows = [(*keys[i], at[i], b"\n".join(lines[i:end])) for i, end in zip(starts, [*starts[1:], len(keys)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), batch.schema.types, strict=True)], schema=batch.schema) if rows else batch
+
+
+def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, bytes, sha256) of files whose lines come in order. The reader drops a byte order mark at the beginning and a line
+    feed at the end; the file's size tells which of them it has."""
+    last, name, size, seen, with_mark, without = None, "", 0, 0, hashlib.sha256(), hashlib.sha256()
+
+    def digest() -> pa.RecordBatch:
+        missing = size - seen
+        if missing not in (0, 1, len(_MARK), len(_MARK) + 1):
+            raise ValueError(f"{last}: {seen} of {size} bytes were read")
+        found = with_mark if missing >= len(_MARK) else without
+        found.update(b"\n" * (missing % len(_MARK)))
+        return pa.RecordBatch.from_pydict({"name": [name], "bytes": pa.array([size], pa.int64()), "sha256": [found.hexdigest()]})
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            begins = row["path"] != last
+            if begins:
+                if last is not None:
+                    yield digest()
+                last, name, size, seen, with_mark, without = row["path"], row["name"], row["size"], 0, hashlib.sha256(_MARK), hashlib.sha256()
+            for piece in (row["piece"],) if begins else (b"\n", row["piece"]):
+                seen += len(piece)
+                with_mark.update(piece)
+                without.update(piece)
+    if last is not None:
+        yield digest()
+
+
+_PIECE, _MARK = ["path", "name", "size", "start", "at", "piece"], b"\xef\xbb\xbf"
+#: Endings that the line reader takes as packed, and unpacks.
+_PACKED = ["gz", "bz2", "zst", "lz4", "snappy", "deflate", "passthrough"]
+
+
+def file_manifest(spark: SparkSession, folder: str, whole: int = 64_000_000) -> DataFrame:
+    """(name, bytes, sha256) of each file. A file of up to `whole` bytes is one value. A larger one is read in splits, as lines
+    of bytes, which are put in order and go through the digest one after another; no value holds more than a batch of lines.
+    Packed files are one value at any size, as the line reader would unpack them; Spark's readers skip empty files."""
+    whole = min(whole, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    read = {"format": "binaryFile", "recursiveFileLookup": "true"}
+    packed = spark.read.load(folder, **read, pathGlobFilter=f"*.{{{','.join(_PACKED)}}}").filter(F.col("length") > whole)
+    files = spark.read.load(folder, **read).filter(F.col("length") <= whole).unionByName(packed)
+    small = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.options(lineSep="\n", recursiveFileLookup="true").text(folder).filter((F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(_PACKED)})$"))
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    about = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_size", "size"), ("file_block_start", "start"))]
+    pieces = lines.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), *about, F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"))
+    pieces = pieces.mapInArrow(_joined_lines, pieces.schema).repartition("path").sortWithinPartitions("path", "start", "at")
+    return small.unionByName(pieces.mapInArrow(_line_digests, small.schema))

@@ -1,5 +1,9 @@
 """Rules, ties and null handling of single operators on a few rows."""
 
+import gzip
+import hashlib
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +285,20 @@ def test_tables_of_the_catalog_and_features(spark, small, tmp_path):
     features = spark.createDataFrame([("a", "{1}"), ("a", "{2}"), ("b", "{3}")], "layer string, feature string")
     files.write_features(features, "layer", str(tmp_path / "out"))
     assert sorted(values(spark.read.text(str(tmp_path / "out")), "value", "layer")) == [("{1}", "a"), ("{2}", "a"), ("{3}", "b")]
+
+
+def test_manifest_of_files_too_large_for_one_value(spark, tmp_path):
+    held = {"plain.bin": os.urandom(40_000), "ends.txt": b"ab\n" * 9000 + b"\r\n\n", "marked.txt": b"\xef\xbb\xbfa\n" + b"x" * 20_000, "marked end.txt": b"\xef\xbb\xbf\n" * 5000, "small": b"a\n"}
+    held |= {"a+b%20.gz.txt": b"+\n" * 9000, "packed.gz": gzip.compress(os.urandom(15_000)), "in/deep": bytes(20_000)}
+    for name, content in held.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    expected = sorted((n.split("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in held.items())
+    for conf, value in (("spark.sql.sources.binaryFile.maxLength", "16000"), ("spark.sql.files.maxPartitionBytes", "5000")):
+        spark.conf.set(conf, value)
+    try:
+        for whole in (20_000, 10_000):
+            assert sorted(values(files.file_manifest(spark, str(tmp_path), whole), "name", "bytes", "sha256")) == expected
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
