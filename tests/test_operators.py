@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventpulse.functions import text as X
+from eventpulse.functions.geo import haversine
+from eventpulse.functions.numbers import rounded
 from eventpulse.operators import capacity, checking, content, deident, flows, geo, match, mentions, metrics, quality, records, settlement
 from eventpulse.plans import fixed_values
 from eventpulse.sources import files
@@ -302,3 +304,23 @@ def test_manifest_of_files_too_large_for_one_value(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _places_and_links(spark):
+    nodes = spark.range(600).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("key"), F.when(F.col("id") != 7, (F.col("id") * 37 % 170 - 85).cast("double")).alias("lat"), (F.col("id") * 91 % 360 - 180).cast("double").alias("lon"))
+    links = [("n000", "n599", 12.345), ("n000", "n000", 3.0), ("n300", "n001", 5.0), ("n300", "n001", 6.0), ("n300", "n002", None), ("none", "n001", 1.0)]
+    return nodes, spark.createDataFrame(links, "origin string, destination string, length_m double")
+
+
+def test_matrix_has_every_pair_and_shuffles_none(spark):
+    nodes, network = _places_and_links(spark)
+    matrix = geo.distance_matrix(nodes, network)
+    a, b = (nodes.select(F.col("key").alias(k), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}")) for n, k in ((1, "origin"), (2, "destination")))
+    straight = F.when(F.col("origin") == F.col("destination"), 0.0).otherwise(haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) * 1000)
+    plain = a.crossJoin(b).withColumn("straight_m", rounded(straight, 2)).join(network, ["origin", "destination"], "left")
+    walk = F.coalesce("length_m", rounded(F.col("straight_m") * 1.3, 2))
+    plain = plain.select("origin", "destination", "straight_m", walk.alias("walk_m"), F.when(F.col("length_m").isNotNull(), "network").otherwise("straight_detour").alias("walk_method"), rounded(walk / 80, 2).alias("walk_minutes"))
+    assert matrix.count() == 600 * 600 + 1 and matrix.select(plain.columns).exceptAll(plain).isEmpty()
+    once = geo.distance_matrix(nodes, network.distinct().filter("length_m is null or length_m <> 6"))
+    above = once._jdf.queryExecution().executedPlan().toString().split("Generate posexplode")
+    assert len(above) == 2 and "Exchange" not in above[0] and "Join" not in above[0]
