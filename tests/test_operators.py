@@ -324,3 +324,16 @@ def test_matrix_has_every_pair_and_shuffles_none(spark):
     once = geo.distance_matrix(nodes, network.distinct().filter("length_m is null or length_m <> 6"))
     above = once._jdf.queryExecution().executedPlan().toString().split("Generate posexplode")
     assert len(above) == 2 and "Exchange" not in above[0] and "Join" not in above[0]
+
+
+def test_extremes_make_rows_of_few_origins_again(spark):
+    nodes, network = _places_and_links(spark)
+    matrix = geo.distance_matrix(nodes.filter("lat is not null"), network).filter("origin <> 'n300' or walk_m <> 6")
+    found = geo.distance_extremes(matrix, 4)
+    rows = [r for r in matrix.filter(~F.col("same_location")).collect()]
+    near = sorted((r["straight_m"], r["origin"], r["destination"]) for r in rows)[:4]
+    far = sorted((-r["straight_m"], r["origin"], r["destination"]) for r in rows)[:4]
+    assert sorted(values(found.filter("side = 'nearest'"), "straight_m", "origin", "destination")) == near
+    assert sorted(values(found.filter("side = 'farthest'"), "straight_m", "origin", "destination")) == sorted((-d, o, e) for d, o, e in far)
+    assert set(values(found, "mean_walk", "longest_walk")) == {(round(sum(round(r["walk_minutes"] * 100) for r in rows) / len(rows) / 100, 4), max(r["walk_minutes"] for r in rows))}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("IN (n") >= 2
