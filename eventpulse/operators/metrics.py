@@ -81,11 +81,12 @@ def _value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     it, and have any.
 
     The running sum is made within 256 ranges between approximate quantiles, whose sums are added before; the ranges
-    only share out the work, so their inexactness doesn't matter."""
+    only share out the work, so their inexactness doesn't matter. But they differ from one computation to the next, so each value's
+    range is written once, for its sum and for its place."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
     counts = long.filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("equal"))
     bounds = counts.groupBy("column").agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 2000).alias("bounds"))
-    counts = counts.join(F.broadcast(bounds), "column").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
+    counts = saved(counts.join(F.broadcast(bounds), "column").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds"))
     by_range = W.partitionBy("column").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = counts.groupBy("column", "range").agg(F.sum("equal").alias("n"))
     ranges = ranges.select("column", "range", F.coalesce(F.sum("n").over(by_range), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("column")).alias("all"))

@@ -337,3 +337,11 @@ def test_extremes_make_rows_of_few_origins_again(spark):
     assert sorted(values(found.filter("side = 'farthest'"), "straight_m", "origin", "destination")) == sorted((-d, o, e) for d, o, e in far)
     assert set(values(found, "mean_walk", "longest_walk")) == {(round(sum(round(r["walk_minutes"] * 100) for r in rows) / len(rows) / 100, 4), max(r["walk_minutes"] for r in rows))}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("IN (n") >= 2
+
+
+def test_ranges_of_ranks_are_made_once(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 7 % 1000).alias("v"))
+    for scores in (metrics.avgrank_scores, metrics.midrank_scores):
+        scored = scores(df, {"v": "s"})
+        assert "percentile_approx" not in scored._jdf.queryExecution().optimizedPlan().toString()  # approximate bounds may differ when made again
+        assert {r["v"]: r["s"] for r in scored.collect()}[999] == (99.95 if scores is metrics.midrank_scores else 99.96)
