@@ -11,6 +11,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +56,29 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> tuple
         return spark.createDataFrame([], schema), "missing"
 
 
-def read_paged_lines(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """(file, page, line_no, line) of text files whose name gives the page number."""
-    files = spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = files.select("file", F.regexp_extract("file", name, 1).try_cast("int").alias("page"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"), F.size(F.split("value", r"\r?\n")).alias("n"))
-    return lines.filter(~((F.col("i") == F.col("n") - 1) & (F.col("line") == ""))).select("file", "page", (F.col("i") + 1).alias("line_no"), "line")
+#: Endings that the line reader takes as packed, and unpacks.
+_PACKED = ["gz", "bz2", "zst", "lz4", "snappy", "deflate", "passthrough"]
+_PACKED_NAME = rf"\.({'|'.join(_PACKED)})$"
+
+
+def read_paged_lines(spark: SparkSession, folder: str, name: str, returns: bool = False) -> DataFrame:
+    """(file, page, line_no, line) of text files whose name gives the page number. A line ends at a line feed; a carriage return
+    before it is no part of the line, unless `returns`.
+
+    Files are read in splits, so none is one value; only the counts of splits meet in a window. The reader drops a byte order
+    mark, which the file's size tells, and which is put back."""
+    about = {"file": "file_name", "path": "file_path", "size": "file_size", "start": "file_block_start"}
+    raw = spark.read.option("lineSep", "\n").text(folder).select(*[F.col(f"_metadata.{c}").alias(n) for n, c in about.items()], F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = raw.groupBy("path", "size", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    own = W.partitionBy("path")
+    missing = F.when(F.col("path").rlike(_PACKED_NAME), 0).otherwise(F.col("size") - F.sum("bytes").over(own))
+    before = F.coalesce(F.sum("n").over(own.orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("path", "start", (before - F.col("first") + 1).alias("shift"), F.sum("n").over(own).alias("last"), (missing >= 2).alias("marked"), missing.isin(0, 3).alias("ended"))
+    lines = raw.join(F.broadcast(offsets), ["path", "start"]).withColumn("line_no", F.col("at") + F.col("shift"))
+    lines = lines.withColumn("line", F.when(F.col("marked") & (F.col("line_no") == 1), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")))
+    if not returns:
+        lines = lines.withColumn("line", F.when(F.col("ended") | (F.col("line_no") < F.col("last")), F.regexp_replace("line", r"\r\z", "")).otherwise(F.col("line")))
+    return lines.select("file", F.regexp_extract("file", name, 1).try_cast("int").alias("page"), "line_no", "line")
 
 
 def attach_companion_text(items: DataFrame, texts: DataFrame, stem: str) -> DataFrame:
@@ -164,8 +183,6 @@ def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 _PIECE, _MARK = ["path", "name", "size", "start", "at", "piece"], b"\xef\xbb\xbf"
-#: Endings that the line reader takes as packed, and unpacks.
-_PACKED = ["gz", "bz2", "zst", "lz4", "snappy", "deflate", "passthrough"]
 
 
 def file_manifest(spark: SparkSession, folder: str, whole: int = 64_000_000) -> DataFrame:
@@ -177,7 +194,7 @@ def file_manifest(spark: SparkSession, folder: str, whole: int = 64_000_000) ->
     packed = spark.read.load(folder, **read, pathGlobFilter=f"*.{{{','.join(_PACKED)}}}").filter(F.col("length") > whole)
     files = spark.read.load(folder, **read).filter(F.col("length") <= whole).unionByName(packed)
     small = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    lines = spark.read.options(lineSep="\n", recursiveFileLookup="true").text(folder).filter((F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(rf"\.({'|'.join(_PACKED)})$"))
+    lines = spark.read.options(lineSep="\n", recursiveFileLookup="true").text(folder).filter((F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(_PACKED_NAME))
     name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
     about = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_size", "size"), ("file_block_start", "start"))]
     pieces = lines.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), *about, F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"))

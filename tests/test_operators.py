@@ -11,7 +11,7 @@ from eventpulse.functions import text as X
 from eventpulse.functions.geo import haversine
 from eventpulse.functions.numbers import rounded
 from eventpulse.operators import capacity, checking, content, deident, flows, geo, match, mentions, metrics, quality, records, settlement
-from eventpulse.plans import fixed_values
+from eventpulse.plans import fixed_values, match_record_queries
 from eventpulse.sources import files
 
 
@@ -345,3 +345,24 @@ def test_ranges_of_ranks_are_made_once(spark):
         scored = scores(df, {"v": "s"})
         assert "percentile_approx" not in scored._jdf.queryExecution().optimizedPlan().toString()  # approximate bounds may differ when made again
         assert {r["v"]: r["s"] for r in scored.collect()}[999] == (99.95 if scores is metrics.midrank_scores else 99.96)
+
+
+def test_paged_lines_of_split_files(spark, tmp_path):
+    held = {"p-1.txt": "\ufeffa\r\nb\n\n" * 900, "p-2.txt": "x\ny\r", "p-3.txt": "\ufeff\r\n", "p-4.txt": "\n", "p-5.txt": "é\rz\n" * 700 + "end"}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for returns in (False, True):
+            cut = {n: (c if returns else c.replace("\r\n", "\n")).split("\n") for n, c in held.items()}
+            expected = sorted((n, int(n[2]), i, line) for n, lines in cut.items() for i, line in enumerate(lines[:-1] if lines[-1] == "" else lines, 1))
+            assert sorted(values(files.read_paged_lines(spark, str(tmp_path), r"p-(\d)", returns), "file", "page", "line_no", "line")) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_paged_lines_keep_returns_of_texts(spark, tmp_path):
+    texts = ["a\r\nbc\r", None, "", "\ufeffd\n"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = match_record_queries.s4_read_paged_lines(spark, str(tmp_path)).first()
+    assert tuple(found) == (2 + 1 + 2, 2 + 3 + 2)
