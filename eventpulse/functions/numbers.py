@@ -19,3 +19,9 @@ def with_rounded(df: DataFrame, out: str, c: Column, digits: int) -> DataFrame:
     x, near = F.col("_x"), F.col("_near")
     away = ((x - near == 0.5) & (x > 0)).cast("double") - ((x - near == -0.5) & (x < 0)).cast("double")
     return df.withColumn(out, (near + away) / float(10**digits)).drop("_x", "_near")
+
+
+def padded(number: Column, digits: int) -> Column:
+    """A whole number with zeros before it up to so many digits; a longer one stays whole, where lpad would cut it."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), "0")

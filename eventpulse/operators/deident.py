@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventpulse.functions.numbers import padded
 from eventpulse.functions.text import EMAIL, PHONE, as_column
 from eventpulse.operators.numbering import numbered
 
@@ -15,7 +16,7 @@ def ordinal_ids(df: DataFrame, keys: list[str], prefix: str, out: str, digits: i
     keyed = df.withColumn("_key", text)
     names = keyed.select("_key").distinct().filter(F.trim(F.replace("_key", F.lit("\u0001"), F.lit(""))) != "")
     ids = numbered(names, [], ["_key"], "_number")
-    shown = F.concat(F.lit(prefix), F.when(F.length(F.col("_number").cast("string")) >= digits, F.col("_number").cast("string")).otherwise(F.lpad(F.col("_number").cast("string"), digits, "0")))
+    shown = F.concat(F.lit(prefix), padded(F.col("_number"), digits))
     return keyed.join(ids, "_key", "left").withColumn(out, F.when(F.col("_number").isNull(), "").otherwise(shown)).drop("_key", "_number")
 
 
@@ -26,8 +27,7 @@ def assign_stable_ids(facts: DataFrame, existing: DataFrame, person: list[str],
     largest = existing.agg(F.coalesce(F.max(F.substring("person_id", len(prefix) + 1, 20).cast("long")), F.lit(0)).alias("_largest"))
     new = facts.join(known, person, "left_anti").groupBy(*person).agg(F.min(seen).alias("_seen"))
     new = numbered(new, [], ["_seen", *person], "_number").join(F.broadcast(largest))
-    number = (F.col("_largest") + F.col("_number")).cast("string")
-    new = new.select(*person, F.concat(F.lit(prefix), F.lpad(number, 6, "0")).alias("person_id"))
+    new = new.select(*person, F.concat(F.lit(prefix), padded(F.col("_largest") + F.col("_number"), 6)).alias("person_id"))
     return facts.join(known.unionByName(new), person, "left")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventpulse.functions.numbers import rounded
+from eventpulse.functions.numbers import padded, rounded
 
 from eventpulse.functions.geo import haversine, walk_minutes
 from eventpulse.functions.text import mask_contacts
@@ -191,7 +191,7 @@ def _people(spark, sf_dir):
 
 def _ids(spark, sf_dir):
     people = _people(spark, sf_dir)
-    old = people.filter("record % 1000 = 7").groupBy("name").agg(F.min("record").alias("record")).select("record", F.concat(F.lit("P"), F.lpad(F.col("record").cast("string"), 6, "0")).alias("person_id"))
+    old = people.filter("record % 1000 = 7").groupBy("name").agg(F.min("record").alias("record")).select("record", F.concat(F.lit("P"), padded(F.col("record"), 6)).alias("person_id"))
     return D.assign_stable_ids(people, old, ["name", "phone"], "record", "record")
 
 

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from eventpulse.functions import text as X
 from eventpulse.functions.geo import haversine
 from eventpulse.functions.numbers import rounded
 from eventpulse.operators import capacity, checking, content, deident, flows, geo, match, mentions, metrics, quality, records, settlement
-from eventpulse.plans import fixed_values, match_record_queries
+from eventpulse.plans import fixed_values, geo_flow_queries, match_record_queries
 from eventpulse.sources import files
 
 
@@ -366,3 +367,23 @@ def test_paged_lines_keep_returns_of_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     found = match_record_queries.s4_read_paged_lines(spark, str(tmp_path)).first()
     assert tuple(found) == (2 + 1 + 2, 2 + 3 + 2)
+
+
+def test_ids_beyond_their_digits_stay_whole(spark):
+    old = spark.createDataFrame([(1, "P999998")], "record long, person_id string")
+    people = spark.range(1, 40).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.col("id").alias("record"))
+    found = deident.assign_stable_ids(people, old, ["name"], "record", "record")
+    assert sorted(values(found, "record", "person_id")) == [(r, f"P{999997 + r}") for r in range(1, 40)]
+    nodes = spark.range(10_005).select(F.format_string("k%06d", "id").alias("key"), F.lit("1.5").alias("lat"), F.lit("2").alias("lon"))
+    ends = geo.location_nodes(nodes, "key").filter("key >= 'k009997'")
+    assert sorted(values(ends, "key", "node_id")) == [(f"k{i:06d}", f"LOC_{i + 1}") for i in range(9997, 10_005)]
+
+
+def test_query_of_stable_ids_keeps_seven_digits(spark, tmp_path):
+    orders = [(1_000_007, 1), (1_000_010, 2), (1_000_011, 3), (1_000_012, 2)]
+    spark.createDataFrame([(k, c, date(1998, 1, 1)) for k, c in orders], "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, f"c{c}", "X") for c in (1, 2, 3)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    ids = geo_flow_queries.d1_stable_ids(spark, str(tmp_path))
+    assert sorted(values(ids, "record", "person_id")) == [(1_000_007, "P1000007"), (1_000_010, "P1000008"), (1_000_011, "P1000009"), (1_000_012, "P1000008")]
+    raw = geo_flow_queries.d2_mask_record(spark, str(tmp_path)).filter("record = 1000010").first()
+    assert raw["name"] == "P1000008" and raw["raw"].split("\n")[3:5] == ["P1000008", "[phone]"]
